@@ -27,14 +27,26 @@ def gram_levels(docs: DataFrame, n: int, lower: bool, text: str = "text") -> np.
 
     def count(stream):
         total = np.zeros(CELLS, np.int64)
-        for batch in stream:
-            for _, _, raw, at in W.slices(batch.column(0)):
-                words = W.Words(raw, at)
-                g = W.windows(words.hashes(lower), n)[W.whole(words.first, n)]
-                total += np.bincount(cells(g), minlength=CELLS)
-        for k in range(0, CELLS, CHUNK):
-            if total[k : k + CHUNK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([total[k : k + CHUNK].astype(np.uint32 if total.max() < 1 << 32 else np.uint64).tobytes()], pa.binary())], ["chunk", "counts"])
+        for _, raw, at in W.batches(text)(stream):
+            words = W.Words(raw, at)
+            g = W.windows(words.hashes(lower), n)[W.whole(words.first, n)]
+            total += np.bincount(cells(g), minlength=CELLS)
+        for k, part in chunks(total):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.binary())], ["chunk", "counts"])
+
+    return collect_levels(docs.select(F.col(text)).mapInArrow(count, "chunk int, counts binary"))
+
+
+def chunks(total: np.ndarray):
+    """(chunk, bytes) of a task's counts."""
+    kind = np.uint32 if total.max() < 1 << 32 else np.uint64
+    for k in range(0, CELLS, CHUNK):
+        if (part := total[k : k + CHUNK]).any():
+            yield k // CHUNK, part.astype(kind).tobytes()
+
+
+def collect_levels(parts: DataFrame) -> np.ndarray:
+    """Levels from all tasks' chunks. CELLS bytes reach the driver."""
 
     def add(stream):
         sums: dict[int, np.ndarray] = {}
@@ -46,10 +58,8 @@ def gram_levels(docs: DataFrame, n: int, lower: bool, text: str = "text") -> np.
             level = np.minimum(255, np.round(STEPS * np.log2(1.0 + total))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["chunk", "counts"])
 
-    schema = "chunk int, counts binary"
-    parts = docs.select(F.col(text)).mapInArrow(count, schema)
     out = np.zeros(CELLS, np.uint8)
-    for row in parts.repartition(16, "chunk").mapInArrow(add, schema).collect():  # CELLS bytes in all
+    for row in parts.repartition(32, "chunk").mapInArrow(add, "chunk int, counts binary").collect():
         out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, np.uint8)
     return out
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import substring_dedup
+from ledgerlark.llm import ngram_join, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def _table(name: str, make: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op6_substring_dedup": _table("documents", substring_dedup.digests),
+        "op10_ngram_jaccard_join": _table("documents", ngram_join.similar),
     }
 
 
