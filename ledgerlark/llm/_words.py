@@ -17,6 +17,8 @@ U = np.uint64
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+NEWLINE = np.zeros(256, bool)
+NEWLINE[0x0A] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -70,10 +72,10 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int
 class Words:
     """Words of a slice: byte positions `start`, `end`, and `first`, the index of each text's first word (n + 1)."""
 
-    def __init__(self, raw: np.ndarray, at: np.ndarray):
+    def __init__(self, raw: np.ndarray, at: np.ndarray, separator: np.ndarray = SEPARATOR):
         self.raw, self.at = raw, at
         n = len(raw)
-        sep = SEPARATOR[raw]
+        sep = separator[raw]
         cut = np.zeros(n + 1, bool)
         cut[at] = True
         edge = sep.copy()
@@ -152,6 +154,19 @@ def whole(first: np.ndarray, n: int) -> np.ndarray:
     return left[:m] >= n
 
 
+def sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of x[first[i]:first[i + 1]] for each i; counts, if x is a mask."""
+    total = np.zeros(len(x) + 1, np.int64 if x.dtype == bool else x.dtype)
+    np.cumsum(x, out=total[1:])
+    return total[first[1:]] - total[first[:-1]]
+
+
+def by_row(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """The order that sorts by row, then h."""
+    order = np.argsort(h, kind="stable")
+    return order[np.argsort(row[order].astype(np.uint16 if rows < 1 << 16 else np.int64), kind="stable")]
+
+
 def spread(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for each c of counts, one after the other."""
     total = int(counts.sum())

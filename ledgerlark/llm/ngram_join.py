@@ -58,9 +58,7 @@ def _sets(words: W.Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
         if len(short):
             g = np.append(g, W.windows(h, k, base=0xA0761D6478BD642F + 2 * k)[words.first[short]])
             row = np.append(row, short)
-    order = np.argsort(g)
-    by = row[order].astype(np.uint16 if len(n) < 1 << 16 else np.int64)
-    order = order[np.argsort(by, kind="stable")]
+    order = W.by_row(row, g, len(n))
     g, row = g[order], row[order]
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
@@ -68,16 +66,10 @@ def _sets(words: W.Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return g, np.searchsorted(row, np.arange(len(n) + 1))
 
 
-def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(x) + 1, x.dtype)
-    np.cumsum(x, out=total[1:])
-    return total[first[1:]] - total[first[:-1]]
-
-
 def _prints(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit fingerprints of each set."""
     n = np.diff(first).astype(W.U)
-    return tuple(W.mix(_sums(W.mix(g ^ W.U(k)), first) + n * W.U(k)).view(np.int64) for k in (0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7))
+    return tuple(W.mix(W.sums(W.mix(g ^ W.U(k)), first) + n * W.U(k)).view(np.int64) for k in (0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7))
 
 
 def _scan(shingle: int):
@@ -129,8 +121,7 @@ def _postings(levels: bytes, shingle: int, percent: int, long_list: float):
             fresh &= (size > 0) & (100 * size >= percent * (size + 1)) & rows.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             rank = level[_sketch.cells(g)]
             row = np.repeat(np.arange(len(size)), size)
-            order = np.argsort(rank, kind="stable")
-            order = order[np.argsort(row[order].astype(np.uint16 if len(size) < 1 << 16 else np.int64), kind="stable")]
+            order = W.by_row(row, rank, len(size))
             g, rank = g[order], rank[order]
             count = _sketch.times(rank)
             prefix = size - (percent * size + 99) // 100

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import ngram_join, substring_dedup
+from ledgerlark.llm import language_id, ngram_join, quality_gam, quality_rules, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,9 +15,16 @@ def _table(name: str, make: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: make(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op2_quality_rules": _table("documents", quality_rules.verdicts),
+        "op5_quality_gam": _op5,
         "op6_substring_dedup": _table("documents", substring_dedup.digests),
+        "op8_language_id": _table("documents", language_id.identify),
         "op10_ngram_jaccard_join": _table("documents", ngram_join.similar),
     }
 
