@@ -2,11 +2,11 @@
 
 A document's set holds the hashes (64 bits) of its distinct word shingles,
 rarest first by a sketch of the corpus counts. Two sets of n and m shingles that are
-similar enough share `need(n, m)` of them, and so share l of the first
+similar enough share need(n, m) of them, and so share l of the first
 n - ceil(t n) + l of each. Each document chooses the l of 1 to MOST_MATCHES with
 the lowest estimated cost: the postings of its longer prefix have to be
 read, but a candidate must share l of them before it is verified. A pair has to
-share as many as the lower of its two documents asks for, each early enough to
+share as many as the lower of its two documents asks for, the first of them early enough to
 leave room for the rest (position filter), and its sizes must agree (size filter).
 Candidates are verified exactly, on the sets of their whole texts.
 
@@ -197,18 +197,20 @@ def _facts(prefix: str = "") -> list[Column]:
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
-    """Size and position filter on a shared posting of a and b."""
+    """Size and position filter on the first shingle that a and b share; later ones may fail it."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     need = F.expr(f"({percent} * ({a}.n + {b}.n) + {99 + percent}) div {100 + percent}")
-    slack = need - F.least(F.col(f"{a}.ask"), F.col(f"{b}.ask")) + 1
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (n - F.col(f"{a}.pos") >= slack) & (m - F.col(f"{b}.pos") >= slack)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (n - F.col(f"{a}.pos") >= need) & (m - F.col(f"{b}.pos") >= need)
 
 
-def _early(a: str, b: str, percent: int) -> Column:
-    """Is the shared posting in the prefixes that the pair's number of matches goes with?"""
-    ask = F.least(F.col(f"{a}.ask"), F.col(f"{b}.ask"))
-    ends = [F.col(f"{x}.pos") < F.expr(f"{x}.n - ({percent} * {x}.n + 99) div 100") + ask for x in (a, b)]
-    return ends[0] & ends[1]
+def _matching(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """The pairs that share as many shingles of their prefixes as the less demanding of the two asks for."""
+    concerned = pairs.select(F.col("fa").alias("f")).unionByName(pairs.select(F.col("fb").alias("f"))).distinct()
+    prefix = entries.select("f", "n", "ask", "pos", "token").distinct().join(concerned, "f").groupBy("f").agg(F.max("n").alias("n"), F.min("ask").alias("ask"), F.collect_list(F.struct("pos", "token")).alias("prefix"))
+    sides = [prefix.select(F.col("f").alias(f"f{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "ask", "prefix"))) for x in "ab"]
+    both = pairs.join(sides[0], "fa").join(sides[1], "fb").withColumn("ask", F.least("ask_a", "ask_b"))
+    parts = [f"transform(filter(prefix_{x}, e -> e.pos < n_{x} - ({percent} * n_{x} + 99) div 100 + ask), e -> e.token)" for x in "ab"]
+    return both.filter(F.expr(f"size(array_intersect({parts[0]}, {parts[1]})) >= ask")).select("fa", "fb")
 
 
 def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -245,9 +247,9 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     largest = placed.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
     open_lists = tables.keep(placed.join(largest.filter("comps > 1").drop("comps"), "token"))
     a, b = open_lists.filter("comp != top").alias("a"), open_lists.alias("b")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.top")) | (F.col("a.f") < F.col("b.f"))) & _may_link("a", "b", percent) & _early("a", "b", percent))
-    pairs = met.groupBy(F.least("a.f", "b.f").alias("fa"), F.greatest("a.f", "b.f").alias("fb")).agg(F.count("*").alias("shared"), F.min(F.least("a.ask", "b.ask")).alias("ask"))
-    second = links(pairs.filter("shared >= ask").select("fa", "fb"))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.top")) | (F.col("a.f") < F.col("b.f"))) & _may_link("a", "b", percent))
+    pairs = met.select(F.least("a.f", "b.f").alias("fa"), F.greatest("a.f", "b.f").alias("fb")).distinct()
+    second = links(_matching(tables.keep(pairs), placed, percent))
     comps = components(first.unionByName(second), tables)
     for done in (lists, placed, open_lists, texts):
         tables.drop(done)
