@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import language_id, media_jpeg, ngram_join, quality_gam, quality_rules, substring_dedup
+from ledgerlark.llm import language_id, media_jpeg, ngram_join, quality_gam, quality_rules, sentencepiece_codec, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_quality_rules": _table("documents", quality_rules.verdicts),
+        "op3_sentencepiece": _table("documents", sentencepiece_codec.digests),
         "op4_media_jpeg": _table("documents", media_jpeg.digests),
         "op5_quality_gam": _op5,
         "op6_substring_dedup": _table("documents", substring_dedup.digests),
