@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import language_id, media_jpeg, ngram_join, quality_gam, quality_rules, sentencepiece_codec, substring_dedup
+from ledgerlark.llm import html_extract, language_id, media_jpeg, ngram_join, quality_gam, quality_rules, sentencepiece_codec, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op4_media_jpeg": _table("documents", media_jpeg.digests),
         "op5_quality_gam": _op5,
         "op6_substring_dedup": _table("documents", substring_dedup.digests),
+        "op7_html_extract": _table("pages", html_extract.extract),
         "op8_language_id": _table("documents", language_id.identify),
         "op10_ngram_jaccard_join": _table("documents", ngram_join.similar),
     }
