@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import html_extract, language_id, media_jpeg, ngram_join, quality_gam, quality_rules, sentencepiece_codec, substring_dedup
+from ledgerlark.llm import html_extract, language_id, license_scan, media_jpeg, mixing, ngram_join, quality_gam, quality_rules, sentencepiece_codec, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_mixing": _table("documents", mixing.plan),
         "op2_quality_rules": _table("documents", quality_rules.verdicts),
         "op3_sentencepiece": _table("documents", sentencepiece_codec.digests),
         "op4_media_jpeg": _table("documents", media_jpeg.digests),
@@ -28,6 +29,7 @@ def queries() -> dict[str, Query]:
         "op6_substring_dedup": _table("documents", substring_dedup.digests),
         "op7_html_extract": _table("pages", html_extract.extract),
         "op8_language_id": _table("documents", language_id.identify),
+        "op9_license_scan": _table("documents", license_scan.digests),
         "op10_ngram_jaccard_join": _table("documents", ngram_join.similar),
     }
 
