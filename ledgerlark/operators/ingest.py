@@ -106,7 +106,7 @@ def prefiltered(lines: DataFrame, patterns: tuple[str, ...], column: str = "valu
 
 def decoded(lines: DataFrame, column: str = "value") -> DataFrame:
     """Lines that hold a JSON object, as a variant `obj`."""
-    brace = F.ltrim(F.col(column)).startswith("{")
+    brace = F.ltrim(F.col(column)).startswith("{") & F.rtrim(F.col(column)).endswith("}")
     return lines.filter(brace).withColumn("obj", F.try_parse_json(column)).filter("obj is not null").drop(column)
 
 

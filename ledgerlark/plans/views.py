@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerlark.functions.models import canonical_model
 
@@ -75,8 +75,6 @@ def external(spark: SparkSession, sf_dir: str) -> DataFrame:
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log for each user: running totals that start again at an error, and context lines (signup) that name a model."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("user_id").orderBy("event_id")
     runs = e.withColumn("run", F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(w))
     total = F.sum("k").over(Window.partitionBy("user_id", "run").orderBy("event_id"))
