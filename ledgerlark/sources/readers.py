@@ -43,7 +43,7 @@ def documents(spark: SparkSession, paths: Iterable[str], prefilter: tuple[str, .
     if texts is None:
         return _none(spark).select("file", "dir", "line", F.lit(None).cast("variant").alias("obj"))
     # the parser stops after one value: a first line that is one, with more behind it, makes a file of lines
-    body = F.trim(F.translate("value", "\r", ""))
+    body = F.btrim("value", F.lit(" \t\r\n"))
     by_line = F.contains(body, F.lit("\n")) & F.try_parse_json(F.substring_index(body, "\n", 1)).isNotNull()
     whole = ingest.prefiltered(texts, prefilter).withColumn("obj", F.when(~by_line, F.try_parse_json("value")))
     shape = F.schema_of_variant("obj")
