@@ -87,13 +87,14 @@ def _fences(sketches: DataFrame, by: list[str]) -> DataFrame:
 
 def thresholds(measured: DataFrame) -> DataFrame:
     """lang, source and a fence for each measure, from the smallest group with enough documents."""
-    sketches = sketch(measured)
-    own, lang, everything = _fences(sketches, ["lang", "source"]), _fences(sketches, ["lang"]), _fences(sketches, [])
+    sketches = Tables(measured.sparkSession, "sketches").keep(sketch(measured))
+    own, lang = _fences(sketches, ["lang", "source"]), _fences(sketches, ["lang"])
     lang = lang.select(F.col("lang").alias("l"), F.col("n").alias("ln"), *(F.col(f"max_{m}").alias(f"l_{m}") for m in MEASURES))
-    everything = everything.select(*(F.col(f"max_{m}").alias(f"a_{m}") for m in MEASURES))
-    all_levels = own.join(lang, own.lang.eqNullSafe(lang.l)).join(F.broadcast(everything))  # one row
-    pick = lambda m: F.when(F.col("n") >= LEAST_GROUP, F.col(f"max_{m}")).when(F.col("ln") >= LEAST_GROUP, F.col(f"l_{m}")).otherwise(F.col(f"a_{m}"))
-    return all_levels.select("lang", "source", *(pick(m).alias(f"max_{m}") for m in MEASURES))
+    everything = _fences(sketches, []).first()  # one number for each measure
+    last = {m: F.lit(None if everything is None else everything[f"max_{m}"]).cast("double") for m in MEASURES}
+    both = own.join(lang, own.lang.eqNullSafe(lang.l))
+    pick = lambda m: F.when(F.col("n") >= LEAST_GROUP, F.col(f"max_{m}")).when(F.col("ln") >= LEAST_GROUP, F.col(f"l_{m}")).otherwise(last[m])
+    return both.select("lang", "source", *(pick(m).alias(f"max_{m}") for m in MEASURES))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
