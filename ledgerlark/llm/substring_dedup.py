@@ -73,7 +73,7 @@ def _runs(words: W.Words, window: int, gram: int, heavy: np.ndarray):
     ok = W.whole(words.first, window)
     row = words.row()[:m]
     new = np.ones(m, bool)
-    new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1]) | ~ok[:-1]
+    new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1]) | (ok[1:] != ok[:-1])
     begin = np.maximum.accumulate(np.where(new, np.arange(m), 0))
     new |= (np.arange(m) - begin) % RUN == 0
     at = np.flatnonzero(new)

@@ -68,6 +68,19 @@ def test_hot_strings_and_passes(spark, monkeypatch):
     assert {(r.doc_id, i) for r in ranges.collect() for i in range(r.start, r.start + r.len)} == whole
 
 
+def test_no_window_reaches_into_the_next_text(spark):
+    r = random.Random(9)
+    rows = []
+    for k in range(60):
+        # pairs of neighbours that occur twice: what crosses from one to the next repeats as well
+        pair = [" ".join(f"v{r.randrange(40)}" for _ in range(r.randrange(13, 30))) for _ in range(2)]
+        rows += [(4 * k + i, t) for i, t in enumerate(pair + [pair[0] + f" x{k}", pair[1]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert got(S.digests(df)) == brute(rows, 13)
+    lengths = {d: len(t.split()) for d, t in rows}
+    assert all(x.start + x.len <= lengths[x.doc_id] for x in S.repeated_ranges(df).collect())
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.digests(empty).collect() == []
