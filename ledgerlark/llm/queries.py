@@ -50,8 +50,8 @@ JACCARD = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
 shingles AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS k FROM w, unnest(range(1, greatest(len(ws) - 2, 2))) AS u(i) WHERE len(ws) > 0),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
-shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM shingles a JOIN shingles b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS (SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * both >= 85 * (x.n + y.n - both)),
+shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n_both FROM shingles a JOIN shingles b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)),
 edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
 reach AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT e.v, r.c FROM reach r JOIN edges e ON e.u = r.d)
 SELECT d AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(c) AS component_id FROM reach LEFT JOIN sizes ON doc_id = d GROUP BY d"""
