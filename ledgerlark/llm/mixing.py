@@ -88,13 +88,15 @@ def _ranked(docs: DataFrame, key: str) -> DataFrame:
     buckets = max(1, n // BUCKET)
     hashed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.lit(7)))
     hashed = hashed.withColumn("bucket_", F.expr(f"(({key} >> 1) + {1 << 62}) div {max(1, (1 << 63) // buckets + 1)}"))
-    sizes = hashed.groupBy("source", "bucket_").agg(F.count("*").alias("n"))
+    # a key without nulls, so the window and the join deal rows out alike and rows move once
+    hashed = hashed.withColumn("group_", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
+    sizes = hashed.groupBy("group_", "bucket_").agg(F.count("*").alias("n"))
     # buckets of a source, one row each
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(F.col("source").alias("source_"), F.col("bucket_").alias("b_"), F.coalesce(before, F.lit(0)).alias("before_"))
-    inside = F.row_number().over(Window.partitionBy("source", "bucket_").orderBy(key, "doc_id")) - 1
-    placed = hashed.withColumn("inside_", inside).join(offsets, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket_") == F.col("b_")))
-    return placed.withColumn("rank_", F.col("before_") + F.col("inside_")).drop("inside_", "source_", "b_", "before_", "bucket_", key)
+    before = F.sum("n").over(Window.partitionBy("group_").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("group_", "bucket_", F.coalesce(before, F.lit(0)).alias("before_"))
+    inside = F.row_number().over(Window.partitionBy("group_", "bucket_").orderBy(key, "doc_id")) - 1
+    placed = hashed.withColumn("inside_", inside).join(offsets, ["group_", "bucket_"])
+    return placed.withColumn("rank_", F.col("before_") + F.col("inside_")).drop("inside_", "group_", "before_", "bucket_", key)
 
 
 def plan(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
