@@ -6,12 +6,13 @@ on the bytes of many texts at once, without decoding them.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20  #: texts are worked on in slices of about this many bytes
+SLICE_BYTES = 1 << 20  #: texts are worked on in slices of about this many bytes
 HASH_BYTES = 1 << 20  #: bytes hashed at once; bounds the tables of powers
 U = np.uint64
 
@@ -182,5 +183,16 @@ def batches(column: str):
             texts = batch.column(column)
             for i, j, raw, at in slices(texts):
                 yield batch.slice(i, j - i), raw, at
+            del batch, texts
+        give_back()
 
     return cut
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task; Python workers live on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -158,8 +159,7 @@ def _verify(shingle: int, percent: int):
     def work(stream):
         loose = zstandard.ZstdDecompressor()
         for batch in stream:
-            for lo in range(0, len(batch), 1024):
-                part = batch.slice(lo, 1024)
+            for part in _parts(batch):
                 index: dict[bytes, int] = {}
                 a, b = ([index.setdefault(x, len(index)) for x in part.column(c).to_pylist()] for c in ("za", "zb"))
                 sets: list[np.ndarray] = []
@@ -174,10 +174,23 @@ def _verify(shingle: int, percent: int):
                     if 100 * both >= percent * (len(x) + len(y) - both) and both:
                         good.append(k)
                 yield part.take(pa.array(good, pa.int64())).select(["u", "v"])
+        W.give_back()
 
     return work
 
 
+def _parts(batch: pa.RecordBatch, most: int = 8 << 20):
+    """Pairs whose compressed texts have about `most` bytes decompressed, at five to one."""
+    size = sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in ("za", "zb"))
+    total = np.cumsum(size) * 5
+    lo = 0
+    while lo < len(batch):
+        before = total[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, before + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _runs(texts: list[bytes]):
     """texts in runs of about a slice's bytes."""
     run, size = [], 0

@@ -38,9 +38,10 @@ from ledgerlark.llm._shared import Tables, partitions
 WINDOW = 13
 GRAM = 4
 RUN = 64  #: most windows in a packed string
-INLINE = 16  #: most occurrences of a packed string that a slice sends to its bucket
+INLINE = 4  #: most occurrences of a packed string that a slice sends to its bucket
 HEAVY_SHARE = 2.0**-13  #: of all n-grams; a cell of the sketch above it holds frequent ones
 PASS_BYTES = 96 << 20  #: packed bytes that a bucket sorts at once
+COMPARED = 200_000  #: windows whose words are compared at once
 SPOOL_BYTES = 192 << 20  #: compressed bytes that a bucket keeps in memory
 NONE = np.iinfo(np.int64).max
 
@@ -228,20 +229,26 @@ def _turn(blobs, window: int, turn: int, passes: int):
     twice = np.zeros(len(h), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    del order, ordered, same, h
-    # equal hashes: the words themselves decide
-    code_of: dict[bytes, int] = {}
-    codes = []
-    for k, raw in enumerate(blobs()):
-        at = np.flatnonzero(twice[edge[k] : edge[k + 1]])
-        _, a, b = spans[k]
-        text = bytes(_unpack(raw)[4])
-        codes += [code_of.setdefault(text[x:y], len(code_of)) for x, y in zip(a[at].tolist(), b[at].tolist())]
-    at, code = np.flatnonzero(twice), np.array(codes, np.int64)
-    smallest = np.full(len(code_of), NONE, np.int64)
-    np.minimum.at(smallest, code, least[at])
-    del code_of, codes
-    least[at] = smallest[code]
+    del order, ordered, same
+    # equal hashes: the words themselves decide, for a share of the hashes at a time
+    shares = max(1, -(-int(twice.sum()) // COMPARED))
+    for share in range(shares):
+        mine = np.flatnonzero(twice)
+        mine = mine[(h[mine] >> W.U(40)) % W.U(shares) == W.U(share)]
+        code_of: dict[bytes, int] = {}
+        codes = []
+        for k, raw in enumerate(blobs()):
+            at = mine[np.searchsorted(mine, edge[k]) : np.searchsorted(mine, edge[k + 1])] - edge[k]
+            if len(at):
+                _, a, b = spans[k]
+                text = bytes(_unpack(raw)[4])
+                codes += [code_of.setdefault(text[x:y], len(code_of)) for x, y in zip(a[at].tolist(), b[at].tolist())]
+        code = np.array(codes, np.int64)
+        smallest = np.full(len(code_of), NONE, np.int64)
+        np.minimum.at(smallest, code, least[mine])
+        del code_of, codes
+        least[mine] = smallest[code]
+    del h
     # ranges of the occurrences at hand, and answers for the others
     answered: set[bytes] = set()
     for k, raw in enumerate(blobs()):
