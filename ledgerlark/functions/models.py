@@ -11,8 +11,8 @@ VENDOR_PREFIXES = (
     "azure-", "openai/", "kimi/", "moonshotai/", "moonshot-", "x-ai/", "z-ai/", "google/", "anthropic/", "deepseek/",
     "qwen/", "zai-org/", "minimax/", "xiaomi/", "stepfun/", "subconscious/", "bothub/", "modelis/", "greenpt/",
 )
-# Suffixes that mark a route, a release state or a date, in the order in which they go.
-MODEL_SUFFIXES = (r"--?int\z", r"--?(ga|preview|exp|latest|beta)[-_]?[0-9]*\z", r"-[0-9]{6}\z", r"-(preview|exp)\z")
+# Suffixes that mark a release state, a date, a state with a date, and a route; a name may end in one of each, in this order.
+MODEL_SUFFIXES = (r"-(?:preview|exp)", r"-[0-9]{6}", r"--?(?:ga|preview|exp|latest|beta)[-_]?[0-9]*", r"--?int")
 UNKNOWN_MODEL = "(unknown)"
 NO_PROJECT = "(无项目)"
 # Stop reasons that end a turn badly.
@@ -21,12 +21,11 @@ ABORT_STOPS = ("aborted", "abort")
 
 
 def canonical_model(model: Column) -> Column:
-    """The name under which usage of a model is added up."""
+    """The name under which usage of a model is added up. One pattern for each end of the id, as this runs on every record."""
     low = F.lower(F.trim(model))
-    out = F.regexp_replace(low, "^(" + "|".join(re.escape(p) for p in VENDOR_PREFIXES) + ")+", "")
-    for suffix in MODEL_SUFFIXES:
-        out = F.regexp_replace(out, suffix, "")
-    return F.when(F.coalesce(model, F.lit("")) == "", UNKNOWN_MODEL).when(out == "", low).otherwise(out)
+    out = F.regexp_replace(low, "^(?:" + "|".join(re.escape(p) for p in VENDOR_PREFIXES) + ")+", "")
+    out = F.regexp_replace(out, "".join(f"(?:{s})?" for s in MODEL_SUFFIXES) + r"\z", "")
+    return F.when(F.coalesce(model, F.lit("")) == "", UNKNOWN_MODEL).otherwise(F.coalesce(F.nullif(out, F.lit("")), low))
 
 
 def project_name(cwd: Column) -> Column:

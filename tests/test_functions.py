@@ -35,6 +35,21 @@ def test_prefixes_in_any_order_equal_a_loop(spark):
     assert one(spark, M.canonical_model(F.col("m")), [(i,) for i in ids], "m string") == want
 
 
+def test_suffixes_go_one_after_the_other(spark):
+    import re
+
+    steps = [r"--?int\Z", r"--?(ga|preview|exp|latest|beta)[-_]?[0-9]*\Z", r"-[0-9]{6}\Z", r"-(preview|exp)\Z"]
+    r = random.Random(1)
+    ids = ["x" + "".join(r.choice(["-exp", "--int", "-preview", "-260731", "--ga", "-ga-2607", "-", "b", "-latest_3", "1"]) for _ in range(r.randrange(6))) for _ in range(600)]
+
+    def loop(s):
+        for p in steps:
+            s = re.sub(p, "", s)
+        return s
+
+    assert one(spark, M.canonical_model(F.col("m")), [(i,) for i in ids], "m string") == [loop(i) for i in ids]
+
+
 def test_project_status_and_time(spark):
     paths = {"C:\\work\\gamma": "gamma", "/home/u/beta/": "beta", "alpha": "alpha", "": "(无项目)", "///": "(无项目)"}
     assert one(spark, M.project_name(F.col("p")), [(p,) for p in paths], "p string") == list(paths.values())
