@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlark.functions import models as fm
-from ledgerlark.operators import compare, cost as C, external as X, rollups as Y, warehouse as W
+from ledgerlark.functions import format as fmt, models as fm
+from ledgerlark.operators import compare, cost as C, exports, external as X, resolve as R, rollups as Y, warehouse as W
 from ledgerlark.plans import views as V
-from ledgerlark.plans.registry import BUDGET, FIVE, NOW, _ext, _ext_costs, _ext_days, _own_costs, _own_day_cost, _own_days, _round, _sql_sums, query
+from ledgerlark.plans.registry import BUDGET, FIVE, NOW, _catalogue, _ext, _ext_costs, _ext_days, _ids, _own_costs, _own_day_cost, _own_days, _round, _sql_sums, query
 
 
 def _anchor(spark: SparkSession, d: str) -> DataFrame:
@@ -194,3 +194,28 @@ query("payload_diff", "SELECT a.key, 'total' AS field, CAST(a.total AS DOUBLE) A
     )
 )
 query("override_counters", "SELECT count(*) FILTER (WHERE priced) AS priced_models, count(*) AS models FROM model_costs")(lambda s, d: _own_costs(s, d).agg(F.count_if("priced").alias("priced_models"), F.count("*").alias("models")))
+
+# --- exports and formats
+
+query("number_formats", """SELECT key, CASE WHEN total >= 1000000000 THEN printf('%.2fB', total / 1e9::DOUBLE) WHEN total >= 1000000 THEN printf('%.2fM', total / 1e6::DOUBLE) WHEN total >= 1000 THEN printf('%.1fK', total / 1e3::DOUBLE) ELSE CAST(total AS VARCHAR) END AS tokens,
+  CASE WHEN x = 0 THEN '$0' WHEN x < 0.01 THEN printf('$%.4f', x) WHEN x < 1 THEN printf('$%.3f', x) ELSE '$' || format('{:,.2f}', x) END AS cost, printf('%.1f%%', y) AS hit FROM (SELECT key, total, round(output / 1e6::DOUBLE, 3) AS x, round(100.0::DOUBLE * cache_read / total, 3) AS y FROM model_sums)""")(
+    lambda s, d: W.models(V.turns(s, d)).select("key", fmt.compact(F.col("total")).alias("tokens"), fmt.money(F.round(F.col("output") / 1e6, 3)).alias("cost"), fmt.percent(F.round(100.0 * F.col("cache_read") / F.col("total"), 3)).alias("hit"))
+)
+query("catalogue_stats", "SELECT CAST(4 AS BIGINT) AS providers, CAST(sum(3 + CASE WHEN n % 5 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS models, CAST(sum(CASE WHEN n % 2 = 0 AND price_input IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN n % 5 = 0 THEN 0 ELSE 1 END + 1) AS BIGINT) AS with_input FROM (SELECT *, CAST(regexp_extract(model_canon, '([0-9]+)$', 1) AS BIGINT) AS n FROM prices)")(
+    lambda s, d: exports.catalogue_stats(_catalogue(s, d))
+)
+query("resolution_confidence", "SELECT DISTINCT model_raw AS model, CASE WHEN starts_with(model_raw, 'kimi/') AND NOT contains(model_raw, '--int') AND NOT contains(model_raw, '-ga-') AND CAST(regexp_extract(model_canon, '([0-9]+)$', 1) AS BIGINT) % 5 <> 0 THEN 'high' ELSE 'medium' END AS confidence FROM turns")(
+    lambda s, d: exports.confidence(R.resolve(_ids(s, d), _catalogue(s, d))).select("model", "confidence")
+)
+query("compare_sources", "SELECT round(sum(cost), 4) AS ratio10, round(sum(CASE WHEN u.price_input IS NULL THEN 0.0::DOUBLE ELSE cache_read / 1e6::DOUBLE * coalesce(price_cache_read, 0.0::DOUBLE) + cache_write / 1e6::DOUBLE * coalesce(price_cache_write, 0.0::DOUBLE) + input / 1e6::DOUBLE * price_input + output / 1e6::DOUBLE * price_output END), 4) AS zero FROM model_costs LEFT JOIN prices u ON model_canon = key")(
+    lambda s, d: _own_costs(s, d).select("key", F.col("cost").alias("a")).join(_own_costs(s, d, "zero").select("key", F.col("cost").alias("b")), "key").agg(F.round(F.sum("a"), 4).alias("ratio10"), F.round(F.sum("b"), 4).alias("zero"))
+)
+query("custom_prices", "SELECT lower(p_brand) AS key, CAST(max(p_size) AS DOUBLE) AS price_input, 2.5::DOUBLE AS price_output FROM part GROUP BY 1")(
+    lambda s, d: exports.custom_prices(
+        V.table(s, d, "part").groupBy("p_brand").agg(F.max("p_size").alias("n")).select(F.to_json(F.create_map(F.concat(F.lit(" "), "p_brand"), F.struct(F.struct(F.col("n").alias("input"), F.lit("2.5").alias("output")).alias("cost")))).alias("value"))
+    ).select("key", "price_input", "price_output")
+)
+query("dashboard_export")(
+    lambda s, d: exports.document([exports.nested("models", W.models(V.turns(s, d)).select("key", "total", "turns"), [-F.col("total"), F.col("key")]), exports.nested("days", _own_days(s, d).select("d", "total"), [F.col("d")]), W.totals(V.turns(s, d))])
+)
+query("external_export")(lambda s, d: exports.document([exports.nested("tools", X.tool_totals(_ext(s, d)), [-F.col("total"), F.col("tool")])]))
