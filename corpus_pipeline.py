@@ -23,14 +23,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id. Rows with a null doc_id stay."""
-    found = ngram_join.similar(docs)
-    first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).withColumnsRenamed({"doc_id": "kept_id", "rows": "kept_rows"})
-    first = Tables(spark, "representatives").keep(first)
-    kept = docs.join(first, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    """One row of each group of near duplicates: one with the smallest doc_id. Rows with a null doc_id or without words stay."""
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    # rows that share a doc_id are told apart by their texts
+    keyed = docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    tables = Tables(spark, "representatives")
+    found = tables.keep(ngram_join.similar(keyed.select(F.col(key).alias("doc_id"), "text")))
+    ids = keyed.filter("doc_id is not null").groupBy("doc_id", F.col(key).alias("k_")).agg(F.count("*").alias("rows"))
+    groups = found.filter("n_shingles > 0").select(F.col("doc_id").alias("k_"), "component_id")
+    first = ids.join(groups, "k_").groupBy("component_id").agg(F.min(F.struct("doc_id", "k_", "rows")).alias("first"))
+    wordless = found.filter("n_shingles = 0 and doc_id is not null").select(F.col("doc_id").alias("kept_key"), F.lit(1).cast("long").alias("kept_rows"))
+    first = tables.keep(first.select(F.col("first.k_").alias("kept_key"), F.col("first.rows").alias("kept_rows")).unionByName(wordless))
+    tables.drop(found)
+
+    def kept(rows: str) -> DataFrame:
+        return keyed.join(first.filter(rows), F.col(key) == F.col("kept_key"), "left_semi")
+
+    out = kept("kept_rows = 1")
     if not first.filter("kept_rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+        # of equal rows one
+        out = out.unionByName(kept("kept_rows > 1").dropDuplicates([key]))
+    return out.drop(key).unionByName(docs.filter("doc_id is null"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,3 +73,20 @@ def test_run_and_edges(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/none/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/none/labels.parquet")
     assert P.run(spark, f"{path}/none").collect() == []
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def near(spark, rows):
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t or "")) for d, t in rows], SCHEMA)
+    return Counter((x.doc_id, x.text) for x in P.near_duplicates(spark, docs, DIR).collect())
+
+
+def test_different_texts_under_one_doc_id_stay(spark):
+    copy, clean, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    rows = [(1, copy), (9, copy), (9, clean), (5, other), (5, other), (7, ""), (7, ""), (7, None), (None, copy)]
+    for repeated in (rows, [x for x in rows if x[0] != 5]):
+        want = Counter([(1, copy), (9, clean), (7, ""), (7, ""), (7, None), (None, copy)] + [(5, other)] * (repeated is rows))
+        assert near(spark, repeated) == want
+    assert near(spark, [(9, clean), (9, other), (9, other), (9, copy), (1, copy)]) == Counter([(9, clean), (9, other), (1, copy)])
