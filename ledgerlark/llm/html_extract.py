@@ -1,12 +1,13 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that each block of the page becomes a line. A line weighs as many
-characters as it has outside links; lines in menus, headers, footers, sidebars, notices, adverts, forms and
-comments, by element, role or class, weigh nothing, and if the page marks an article, so do
-lines outside it. The weights are summed over sliding windows of WINDOW lines. The text
+Markup is stripped so that each block of the page becomes a line. Lines in menus, headers, footers,
+sidebars, notices, adverts, forms and comments, by element, role or class, go. If the page marks an
+article, all its other lines are kept, and lines outside it go. Else a line weighs as many
+characters as it has outside links, and the weights are summed over sliding windows of WINDOW lines. The text
 surges where a window has SURGE characters or more, and dives where the following
-windows have none; lines between a surge and its dive that weigh anything are kept. So are pages
-whose text never surges, as far as their lines weigh anything inside a marked article.
+windows have none; lines from the first to the last of such a stretch that weigh anything are kept, links
+among them too. So are shorter stretches if no stretch of the page surges; else of these the lines that are
+at least half outside links and in an element of their own, not loose in a div.
 
 Character references are decoded as HTML5 says, white space inside a block becomes one
 space, and blocks are joined by newlines.
@@ -45,7 +46,9 @@ ASIDE_WORDS = frozenset(
 )
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+OPEN_END = re.compile(r"</?[a-zA-Z][^<>]*\Z")  #: a tag that the page's end cuts
+LOOSE = frozenset(["", "html", "div", "section", "center"])
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
 
@@ -61,21 +64,24 @@ def _apart(attributes: str) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters outside links, apart, in an article) of each block of the page."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines(page: str) -> list[tuple[str, int, bool, bool, str]]:
+    """(text, characters outside links, apart, in an article, element) of each block of the page."""
+    out: list[tuple[str, int, bool, bool, str]] = []
     text: list[str] = []
+    outside: list[str] = []  # of the text, what isn't in links
+    block = ""
     stack: list[tuple[str, bool, bool, bool]] = []  # element; unseen, apart, article: inside of it
     unseen = apart = article = False
-    links = linked = 0
+    links = 0
 
     def flush():
-        nonlocal linked
+        nonlocal block
         line = SPACE.sub(" ", "".join(text)).strip()
         if line:
-            out.append((line, max(0, len(line) - linked), apart, article))
+            out.append((line, len(SPACE.sub(" ", "".join(outside)).strip()), apart, article, block))
         text.clear()
-        linked = 0
+        outside.clear()
+        block = ""
 
     def close(depth: int):
         nonlocal unseen, apart, article, links
@@ -87,19 +93,21 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             unseen, apart, article = was_unseen, was_apart, was_article
 
     def add(piece: str):
-        nonlocal linked
+        nonlocal block
         if piece and not unseen:
             if "&" in piece:
                 piece = html.unescape(piece)
             text.append(piece)
-            if links:
-                linked += len(piece)
+            if not links:
+                outside.append(piece)
+            if not block and not piece.isspace():
+                block = next((name for name, *_ in reversed(stack) if name in BLOCK), "")
 
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.search(page, at)
         if not m:
-            add(page[at:])
+            add(OPEN_END.sub("", page[at:]))
             break
         add(page[at : m.start()])
         at = m.end()
@@ -160,13 +168,16 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
 def main_text(page: str | None) -> str:
     """The main text of a page."""
     found = lines(page or "")
-    marked = any(article and not apart for _, _, apart, article in found)
-    weight = np.array([0 if apart or (marked and not article) else n for _, n, apart, article in found], np.int64)
+    marked = any(article and not apart for _, _, apart, article, _ in found)
+    if marked:
+        return "\n".join(line for line, _, apart, article, _ in found if article and not apart)
+    weight = np.array([0 if apart else n for _, n, apart, *_ in found], np.int64)
     if not weight.any():
         return ""
     # block i: lines i..i + WINDOW - 1
     total = np.concatenate(([0], np.cumsum(weight), np.full(WINDOW, weight.sum())))
     block = total[WINDOW:][: len(weight)] - total[: len(weight)]
+    surges = block.max() >= SURGE
     keep = np.zeros(len(weight), bool)
     i = 0
     while i < len(block):
@@ -176,10 +187,13 @@ def main_text(page: str | None) -> str:
         dive = i
         while dive < len(block) and block[dive] > 0:
             dive += 1
-        if marked or block[i:dive].max() >= SURGE:
-            keep[i:dive] = True
+        heavy = i + np.flatnonzero(weight[i:dive])
+        if not surges or block[i:dive].max() >= SURGE:
+            keep[heavy[0] : heavy[-1] + 1] = True
+        else:
+            keep[[k for k in heavy if 2 * weight[k] >= len(found[k][0]) and found[k][4] not in LOOSE]] = True
         i = dive
-    return "\n".join(line for (line, *_), k, w in zip(found, keep, weight) if k and w > 0)
+    return "\n".join(line for (line, _, apart, *_), k in zip(found, keep) if k and not apart)
 
 
 def extract(pages: DataFrame) -> DataFrame:

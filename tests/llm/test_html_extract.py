@@ -24,6 +24,21 @@ def test_page_without_an_article_mark():
     assert H.main_text(page) == f"{LONG.strip()}\nTiny.\n{LONG.strip()}"
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><h2><a href=x>Linked head</a></h2><ul><li><a href=y>Item</a></ul><p>See <a href=x>\n the guide\n </a> now.</p></article>", "Linked head\nItem\nSee the guide now."),
+        (f'<div style="overflow:hidden" title="The hidden cost" data-class=ad data-x="id=nav"><p>{LONG}</p></div>', LONG.strip()),
+        (f"<body><p>{LONG}</p><p><a href=x>A linked paragraph</a></p><p>{LONG}</p></body>", f"{LONG.strip()}\nA linked paragraph\n{LONG.strip()}"),
+        ("<body><h1>Title</h1><p>Short text.</p></body>", "Title\nShort text."),
+        (f"<body><p>Short.</p>{'<p><a href=x>Link</a></p>' * 5}<p>{LONG}</p></body>", f"Short.\n{LONG.strip()}"),
+        (f"<div hidden><p>no</p></div><div class='x ad'>no</div><p>{LONG}</p>", LONG.strip()),
+    ],
+)
+def test_nothing_else_goes(page, want):
+    assert H.main_text(page) == want
+
+
 def test_edges(spark):
     rows = [(1, "u", None, "t"), (2, None, "", "t"), (None, "u", "<p>" + "w " * 50_000, "t"), (3, "v", "plain &lt; text that has no markup at all, but is long enough", "t"), (3, "v", "<p", "t"), (4, "v", "<article><p>a < b && c</article>", "t")]
     out = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
