@@ -1,7 +1,8 @@
 """License scans by sentence rules.
 
-A text is cut into sentences at line ends and after closing punctuation. Only sentences with a
-key word are looked at further. They are normalised (lower case, spelling of licence,
+A text is cut into sentences after closing punctuation, at empty lines and where a line begins like a known
+sentence or a list's item. Other line ends, and the prefixes of comments, are joined over; where the joined
+lines are no known sentence, each line counts by itself. Only sentences with a key word are looked at further. They are normalised (lower case, spelling of licence,
 white space, quotes, punctuation at the ends) and mapped to the identifier of a known licence
 sentence. The sequence of a document's identifiers, in order, is then matched against ordered
 rules: a rule names identifiers that follow each other and the licence that they stand for. The first
@@ -23,6 +24,8 @@ KEYS = r"licen[cs]|copyright|copyleft|redistribut|spdx|warrant|permission|permit
 
 # Known sentences, as patterns of the normalised sentence. The first that matches counts.
 VERSION = r"(?:,? (?:version|v\.?) ?(?P<v>[0-9]+(?:\.[0-9]+)*))"
+FSF = r"(?:,? as published by the free software foundation)?[,;:]? ?(?:either )?"
+LATER = r"\b.*?\b(?:version|v\.?) ?(?P<v>[0-9]+(?:\.[0-9]+)*)\b.*?\b(?:or later|or newer|any later version).*"
 SENTENCES: list[tuple[str, str]] = [
     ("SPDX", r"spdx-license-identifier: ?(?P<v>[a-z0-9.+-]+(?: (?:and|or|with) [a-z0-9.+-]+)*)"),
     ("APACHE", r"(?:this work is |this (?:file|software|project) is )?licensed under the apache (?:software )?license" + VERSION + "?.*"),
@@ -36,10 +39,14 @@ SENTENCES: list[tuple[str, str]] = [
     ("ISC_GRANT", r"permission to use, copy, modify,? and/?(?:or)? distribute this software for any purpose with or without fee is hereby granted.*"),
     ("AS_IS", r"the software is provided as is.*"),
     ("LIABLE", r"in no event shall the (?:authors?|copyright (?:holders?|owners?)).*be liable.*"),
-    ("AGPL", r".*\b(?:under|of) the (?:terms of the )?(?:gnu )?affero general public license" + VERSION + "?.*"),
-    ("LGPL", r".*\b(?:under|of) the (?:terms of the )?(?:gnu )?(?:lesser|library) general public license" + VERSION + "?.*"),
-    ("GPL", r".*\b(?:under|of) the (?:terms of the )?(?:gnu )?general public license" + VERSION + "?.*"),
-    ("LATER", r"(?:either version [0-9.]+ of the license, )?or \(?at your option\)? any later version.*"),
+    ("GPL_COPY", r"you should have received a copy of the (?:gnu )?(?:affero |lesser |library )?general public license.*"),
+    ("AGPL_LATER", r".*\b(?:under|of) the (?:terms of the )?(?:gnu )?affero general public license" + LATER),
+    ("AGPL", r".*\b(?:under|of) the (?:terms of the )?(?:gnu )?affero general public license(?:" + FSF + VERSION + ")?.*"),
+    ("LGPL_LATER", r".*\b(?:under|of) the (?:terms of the )?(?:gnu )?(?:lesser|library) general public license" + LATER),
+    ("LGPL", r".*\b(?:under|of) the (?:terms of the )?(?:gnu )?(?:lesser|library) general public license(?:" + FSF + VERSION + ")?.*"),
+    ("GPL_LATER", r".*\b(?:under|of) the (?:terms of the )?(?:gnu )?general public license" + LATER),
+    ("GPL", r".*\b(?:under|of) the (?:terms of the )?(?:gnu )?general public license(?:" + FSF + VERSION + ")?.*"),
+    ("LATER", r"(?:either version (?P<v>[0-9]+(?:\.[0-9]+)*) of the license, )?or \(?at your option\)? any later version.*"),
     ("MPL", r".*\b(?:under|of|to) the (?:terms of the )?mozilla public license" + VERSION + "?.*"),
     ("BSD_GRANT", r"redistribution and use in source and binary forms, with or without modification, are permitted.*"),
     ("BSD_SOURCE", r"(?:1\. |\* )?redistributions of source code must retain.*"),
@@ -55,19 +62,22 @@ SENTENCES: list[tuple[str, str]] = [
     ("COPYRIGHT", r"copyright (?:\(c\)|©|[0-9]{4}).*|(?:\(c\)|©) ?copyright.*"),
 ]
 
-# Rules in order; a name ends in ? where the sentence may be missing. %s is the version of the first sentence, after its default.
+# Rules in order; a name ends in ? where the sentence may be missing. %s is the first version that its sentences give, after its default.
 RULES: list[tuple[str, str | None, tuple[str, ...]]] = [
     ("%s", None, ("SPDX",)),
     ("Apache-%s", "2.0", ("APACHE", "APACHE_USE?", "APACHE_COPY?", "APACHE_BASIS?", "APACHE_LANG?")),
     ("MIT", None, ("MIT_GRANT", "MIT_NOTICE", "AS_IS?", "LIABLE?")),
     ("MIT", None, ("MIT",)),
     ("ISC", None, ("ISC_GRANT", "AS_IS?", "LIABLE?")),
-    ("AGPL-%s-or-later", "3.0", ("AGPL", "LATER")),
-    ("AGPL-%s-only", "3.0", ("AGPL",)),
-    ("LGPL-%s-or-later", "2.1", ("LGPL", "LATER")),
-    ("LGPL-%s-only", "2.1", ("LGPL",)),
-    ("GPL-%s-or-later", "2.0", ("GPL", "LATER")),
-    ("GPL-%s-only", "2.0", ("GPL",)),
+    ("AGPL-%s-or-later", "3.0", ("AGPL_LATER", "LATER?", "GPL_COPY?")),
+    ("AGPL-%s-or-later", "3.0", ("AGPL", "LATER", "GPL_COPY?")),
+    ("AGPL-%s-only", "3.0", ("AGPL", "GPL_COPY?")),
+    ("LGPL-%s-or-later", "2.1", ("LGPL_LATER", "LATER?", "GPL_COPY?")),
+    ("LGPL-%s-or-later", "2.1", ("LGPL", "LATER", "GPL_COPY?")),
+    ("LGPL-%s-only", "2.1", ("LGPL", "GPL_COPY?")),
+    ("GPL-%s-or-later", "2.0", ("GPL_LATER", "LATER?", "GPL_COPY?")),
+    ("GPL-%s-or-later", "2.0", ("GPL", "LATER", "GPL_COPY?")),
+    ("GPL-%s-only", "2.0", ("GPL", "GPL_COPY?")),
     ("MPL-%s", "2.0", ("MPL",)),
     ("BSD-3-Clause", None, ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_ENDORSE", "BSD_AS_IS?", "LIABLE?")),
     ("BSD-2-Clause", None, ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_AS_IS?", "LIABLE?")),
@@ -79,8 +89,15 @@ RULES: list[tuple[str, str | None, tuple[str, ...]]] = [
     ("proprietary", None, ("COPYRIGHT?", "RESERVED")),
 ]
 
-CUT = re.compile(r"\n|(?<=[.!?;])\s+(?=[A-Z\"“(*0-9])")
+CUT = re.compile(r"(?<=[.!?;])\s+(?=[A-Z\"“(*0-9])")
 KEY = re.compile(KEYS)
+#: in a text, where the words of a key may be on two lines
+KEY_IN_TEXT = re.compile(KEYS.replace(" ", r"[\s#*/;%<>!-]+"))
+COMMENT = re.compile(r"\s*(?:(?://+|/\*+|\*+/?|#+|;+|--+|%+|<!--+)\s*)?")
+CLOSED = re.compile(r"[.!?;:][\"'”)\s]*$")
+BEGINS = re.compile(
+    r"(?:[-•(]?\(?[0-9a-z][.)] )|(?=[A-Z(©\"“])[\"“]?(?i:spdx-|(?:this (?:work|file|software|project|program|library) is )?(?:released|licensed|distributed|available|free software|free and unencumbered|provided|dedicated) |this (?:work|file|software|project|program|library) is |everything |the (?:above copyright notice|software is provided)|permission (?:is hereby|to use)|you (?:may|should) |unless required|see the license|in no event|either version|redistributions? |neither the name|all rights reserved|copyright (?:\(c\)|©|[0-9])|(?:\(c\)|©) ?copyright)"
+)
 KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
 STRIP = " \t\r.,;:!\"'*#/-<>"
 
@@ -90,19 +107,49 @@ def normalise(sentence: str) -> str:
     return re.sub(r"\s+", " ", s).strip(STRIP)
 
 
+def _sentences(text: str):
+    """The parts of each sentence, line by line."""
+    open_: list[str] = []
+    for line in text.split("\n"):
+        line = line[COMMENT.match(line).end() :].removesuffix("*/").removesuffix("-->").rstrip()
+        # a version behind a semicolon belongs to its licence
+        if open_ and (not line or BEGINS.match(line) or (CLOSED.search(open_[-1]) and not (open_[-1].endswith(";") and line.lower().startswith(("version", "either version"))))):
+            yield open_
+            open_ = []
+        if not line:
+            continue
+        first, *others = CUT.split(line)
+        open_.append(first)
+        for other in others:
+            yield open_
+            open_ = [other]
+        if open_[-1].lower().startswith("spdx-"):
+            yield open_
+            open_ = []
+    if open_:
+        yield open_
+
+
+def _known(sentence: str) -> tuple[str, str | None] | None:
+    s = normalise(sentence)
+    if s and (KEY.search(s) or s.startswith(("either version", "or (at your option", "or at your option", "this is free and unencumbered"))):
+        for name, pattern in KNOWN:
+            if m := pattern.fullmatch(s):
+                return name, m.groupdict().get("v")
+    return None
+
+
 def identify(text: str) -> list[tuple[str, str | None]]:
     """(identifier, version) of the known licence sentences, in order."""
+    if not KEY_IN_TEXT.search(text.lower()):
+        return []
     found = []
-    for line in text.split("\n"):
-        if not KEY.search(line.lower()):
-            continue
-        for sentence in CUT.split(line):
-            s = normalise(sentence)
-            if s and (KEY.search(s) or s.startswith(("either version", "or (at your option", "or at your option", "this is free and unencumbered"))):
-                for name, pattern in KNOWN:
-                    if m := pattern.fullmatch(s):
-                        found.append((name, m.groupdict().get("v")))
-                        break
+    for parts in _sentences(text):
+        whole = _known(" ".join(parts))
+        if whole:
+            found.append(whole)
+        elif len(parts) > 1:
+            found += [x for x in map(_known, parts) if x]
     return found
 
 
@@ -125,16 +172,15 @@ def match(found: list[tuple[str, str | None]]) -> tuple[list[str], list[str]]:
     left, at = [], 0
     while at < len(found):
         for licence, default, sequence in RULES:
-            k, first = at, None
+            k = at
             for part in sequence:
                 if k < len(found) and found[k][0] == part.rstrip("?"):
-                    first = found[k] if first is None else first
                     k += 1
                 elif not part.endswith("?"):
                     k = -1
                     break
             if k > at:
-                licences[_version(licence, default, first[1])] = None
+                licences[_version(licence, default, next((v for _, v in found[at:k] if v), None))] = None
                 at = k
                 break
         else:

@@ -43,3 +43,53 @@ def test_rows(spark):
     got = sorted(((x.doc_id or 0, x.n_sentences, x.licenses) for x in L.digests(docs).collect()))
     assert got == [(0, 1, "CC-BY-4.0"), (1, 0, ""), (1, 1, "MIT"), (2, 1, "Apache-2.0")]
     assert L.digests(docs.limit(0)).collect() == []
+
+
+GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+TWO = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice.
+2. Redistributions in binary form must reproduce the above copyright
+   notice.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+"AS IS" AND ANY EXPRESS WARRANTIES ARE DISCLAIMED."""
+THREE = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation, either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful.
+
+You should have received a copy of the GNU {}General Public License
+along with this program."""
+
+
+@pytest.mark.parametrize("prefix", ["", " * ", "# ", "// "])
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("MIT License\n\nCopyright (c) 2020 X\n\n" + GRANT, ["MIT"]),
+        (TWO, ["BSD-2-Clause"]),
+        (THREE.format("", "3", ""), ["GPL-3.0-or-later"]),
+        (THREE.format("", "3", "").replace("\n", " "), ["GPL-3.0-or-later"]),
+        (THREE.format("Lesser ", "2.1", "Lesser "), ["LGPL-2.1-or-later"]),
+        (THREE.format("Affero ", "3", "Affero "), ["AGPL-3.0-or-later"]),
+        ("it under the terms of the GNU General Public License as published by\nthe Free Software Foundation; version 3 of the License.", ["GPL-3.0-only"]),
+        ("words of a text\nAll rights reserved\nmore words", ["proprietary"]),
+        ("This file is in the public\ndomain.", ["public-domain"]),
+    ],
+)
+def test_wrapped_lines(prefix, text, want):
+    assert L.match(L.identify("\n".join(prefix + line for line in text.split("\n"))))[0] == want
