@@ -6,13 +6,13 @@ floor((j - 1) / w) and has to have it placed by ceil(j / w). In each slot the re
 with the earliest deadline goes first. All deadlines can be met, so after any number t of slots
 each source has been given w * t blocks to within less than one.
 
-Weights are exact fractions of the mix: source i gets N_i of T slots. T is the least for
-which every source is mixed in whole; sources with more slots than
-blocks begin again, so no document is left out. By default a source's target is its number of documents to
+Weights are met in documents: the mix is as short as holds every document of each source, and source
+i gets D_i rows of it. Its blocks run on across the end of the source, which begins again there, so
+every slot is full but a source's last, and a source is short or over by less than a block. By default a source's target is its number of documents to
 the power TEMPER, which brings small sources up a little.
 
-The schedule is made on the driver, on at most about MOST_SLOTS slots: blocks grow with the
-input. Documents find their block by rank, which takes no global order: ranks are counted in
+The schedule is made on the driver, on at most about MOST_SLOTS slots, and one more for each source: blocks grow with the
+mix. Documents find their block by rank, which takes no global order: ranks are counted in
 buckets of a hash of doc_id, and buckets are added up.
 
 Cases: a null source is a source of its own. Rows that share a doc_id (or have a null one) count as often as they occur; which of them
@@ -54,31 +54,30 @@ def schedule(slots: list[int]) -> list[int]:
 
 
 def allot(blocks: list[int], weights: list[float]) -> list[int]:
-    """Slots of each source: in proportion to the weights, in as short a mix as holds every block of each source with a weight."""
+    """Rows (or blocks) of each source in the mix: in proportion to the weights, in as short a mix as holds every one of each source with a weight."""
     exact = [Fraction(w).limit_denominator(1 << 30) if b else Fraction(0) for w, b in zip(weights, blocks)]
     if not any(exact):
         return [0] * len(blocks)
     scale = max(b / w for w, b in zip(exact, blocks) if w)
-    # rounding up keeps every block; the shares that result are the exact targets of the schedule
+    # rounding up keeps every one
     return [max(b, -(-(w * scale).numerator // (w * scale).denominator)) if w else 0 for w, b in zip(exact, blocks)]
 
 
 def _slots(docs: DataFrame, weights: dict[str | None, float] | None, block: int) -> tuple[DataFrame, int, int]:
-    """(source, slot, block_no, epoch) of every slot, documents in a block, and the number of slots."""
+    """(source, slot, block_no, documents and rows of the source) of every slot, documents in a block, and the number of slots."""
     spark = docs.sparkSession
     counts = sorted(((r.source, r.n) for r in docs.groupBy("source").agg(F.count("*").alias("n")).collect()), key=lambda x: (x[0] is None, x[0]))
-    total = sum(n for _, n in counts)
-    block = max(block, -(-total // MOST_SLOTS))
-    blocks = [-(-n // block) for _, n in counts]
     target = [float(n) ** TEMPER if weights is None else float(weights.get(s, 0.0)) for s, n in counts]
-    order = schedule(allot(blocks, target))
-    given = [0] * len(counts)
+    given = allot([n for _, n in counts], target)
+    block = max(block, -(-sum(given) // MOST_SLOTS))
+    order = schedule([-(-n // block) for n in given])
+    placed = [0] * len(counts)
     rows = []
     for slot, i in enumerate(order):
-        rows.append((i, slot, given[i] % blocks[i], given[i] // blocks[i]))
-        given[i] += 1
-    names = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(counts)], "source_no int, source string")
-    table = spark.createDataFrame(rows, "source_no int, slot long, block_no long, epoch int").join(F.broadcast(names), "source_no").drop("source_no")
+        rows.append((i, slot, placed[i]))
+        placed[i] += 1
+    names = spark.createDataFrame([(i, s, n, given[i]) for i, (s, n) in enumerate(counts)], "source_no int, source string, docs_ long, rows_ long")
+    table = spark.createDataFrame(rows, "source_no int, slot long, block_no long").join(F.broadcast(names), "source_no").drop("source_no")
     return table, block, len(order)
 
 
@@ -103,15 +102,19 @@ def plan(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     """doc_id, source, epoch, slot and position (unique; the mix is in its order), a row for each time a document is in the mix."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
     table, size, _ = _slots(rows, weights, block)
-    ranked = _ranked(rows, "h_").withColumn("block_no", F.expr(f"rank_ div {size}"))
+    ranked = _ranked(rows, "h_")
     return _placed(ranked, table, size).select("doc_id", "source", "epoch", "slot", "position")
 
 
 def _placed(ranked: DataFrame, table: DataFrame, size: int) -> DataFrame:
-    slots = table.select(F.col("source").alias("s_"), F.col("block_no").alias("k_"), "slot", "epoch")
-    # MOST_SLOTS rows, times what small sources repeat
-    joined = ranked.join(F.broadcast(slots), F.col("source").eqNullSafe(F.col("s_")) & (F.col("block_no") == F.col("k_")))
-    return joined.withColumn("position", F.col("slot") * size + F.col("rank_") % size)
+    """ranked with epoch, slot and position, a row for each time a document is in the mix."""
+    sources = table.select(F.col("source").alias("name_"), "docs_", "rows_").distinct()
+    again = ranked.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name_"))).withColumn("epoch", F.explode(F.expr("sequence(0L, (rows_ - 1 - rank_) div docs_)")))
+    again = again.withColumn("at_", F.col("rank_") + F.col("epoch") * F.col("docs_")).withColumns({"block_no": F.expr(f"at_ div {size}"), "epoch": F.col("epoch").cast("int")}).drop("docs_", "rows_", "name_")
+    # MOST_SLOTS rows, about
+    slots = table.select(F.col("source").alias("s_"), F.col("block_no").alias("k_"), "slot")
+    joined = again.join(F.broadcast(slots), F.col("source").eqNullSafe(F.col("s_")) & (F.col("block_no") == F.col("k_")))
+    return joined.withColumn("position", F.col("slot") * size + F.col("at_") % size)
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
@@ -121,7 +124,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     clash = {c: f"kept{k}_" for k, c in enumerate(names)}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.struct(*(F.col(f"`{c}`").alias(clash[c]) for c in names)).alias("row_"))
     table, size, slots = _slots(rows, weights, block)
-    ranked = _ranked(rows, "h_").withColumn("block_no", F.expr(f"rank_ div {size}"))
+    ranked = _ranked(rows, "h_")
     parts = partitions(spark)
     placed = _placed(ranked, table, size).select("position", F.expr(f"cast(slot * {parts} div {max(1, slots)} as int)").alias("part_"), "row_")
     ordered = placed.repartitionById(parts, F.col("part_")).sortWithinPartitions("position")

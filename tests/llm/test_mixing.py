@@ -70,3 +70,20 @@ def test_edges(spark):
     assert M.plan(empty).collect() == [] and M.mix(empty).collect() == []
     one = M.plan(docs(spark), {"c": 1.0}).collect()
     assert {x.source for x in one} == {"c"} and len(one) == 333
+
+
+def test_shares_of_rows(spark):
+    sizes = {"big": 3000, "small": 10, "odd": 65}
+    table = spark.createDataFrame([(k, s) for s, n in sizes.items() for k in range(n)], "doc_id long, source string")
+    out = M.plan(table, {"big": 0.5, "small": 0.3, "odd": 0.2}).collect()
+    have = Counter(x.source for x in out)
+    assert have == {"big": 3000, "small": 1800, "odd": 1200}
+    times = Counter((x.source, x.doc_id) for x in out)
+    assert all(have[s] // n <= times[s, k] <= -(-have[s] // n) for s, n in sizes.items() for k in range(n))
+    assert len({x.position for x in out}) == len(out)
+
+
+def test_a_tiny_source_does_not_stretch_the_mix(spark):
+    sizes = {"a": 6000, "b": 2000, "c": 65, "d": 1}
+    table = spark.createDataFrame([(k, s) for s, n in sizes.items() for k in range(n)], "doc_id long, source string")
+    assert len(M.plan(table).collect()) < 1.1 * sum(sizes.values())
