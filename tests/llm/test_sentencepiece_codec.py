@@ -78,3 +78,8 @@ def test_queries(spark):
     assert sorted((x.doc_id or -1, x.text or "") for x in back) == sorted((d or -1, (t or "").replace("▁", " ")) for d, t, _ in rows)
     assert [x.text for x in back if x.doc_id == 99] == [None]
     assert S.digests(docs.limit(0)).collect() == []
+
+
+def test_parity_is_checked_on_every_row(spark):
+    rows = [(k, f"text {k}") for k in range(50)] + [(None, "no id"), (60, None)]
+    assert all(x.parity for x in S.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
