@@ -116,10 +116,11 @@ def _postings(levels: bytes, shingle: int, percent: int, long_list: float):
             g, first = _sets(W.Words(raw, at), shingle)
             f, f2 = _prints(g, first)
             size = np.diff(first)
-            # a smaller set is similar to equal ones only; equal sets of this slice need one entry
+            # a smaller set is similar to equal ones only; equal sets of this slice need one entry, of a row that may link
+            able = np.flatnonzero((size > 0) & (100 * size >= percent * (size + 1)) & rows.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
             fresh = np.zeros(len(size), bool)
-            fresh[np.unique(np.stack([f, f2]), axis=1, return_index=True)[1]] = True
-            fresh &= (size > 0) & (100 * size >= percent * (size + 1)) & rows.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            if len(able):
+                fresh[able[np.unique(np.stack([f[able], f2[able]]), axis=1, return_index=True)[1]]] = True
             rank = level[_sketch.cells(g)]
             row = np.repeat(np.arange(len(size)), size)
             order = W.by_row(row, rank, len(size))

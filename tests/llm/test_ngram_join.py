@@ -77,3 +77,9 @@ def test_edges(spark):
     rows = [(5, "a b c d e", "f"), (4, "a b c d e", None), (4, "a b c d e", "n"), (None, "a b c d e", "x"), (3, None, "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, f string")
     assert got(N.similar(df)) == sorted([(5, 2, 4), (4, 2, 4), (4, 2, 4), (None, 2, None), (3, 0, 3)], key=str)
+
+
+def test_copies_behind_a_row_without_an_id_still_link(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text), (7, text), (9, text + " end"), (8, text)]
+    assert got(N.similar(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))) == brute(rows)
