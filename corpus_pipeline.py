@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerlark.llm import mixing, ngram_join, quality_gam, sentencepiece_codec, substring_dedup
 from ledgerlark.llm._shared import Tables
 
+#: Of near duplicates: words of a shingle, and the similarity from which texts count as such.
+SHINGLE = 5
+PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
@@ -30,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # rows that share a doc_id are told apart by their texts
     keyed = docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
     tables = Tables(spark, "representatives")
-    found = tables.keep(ngram_join.similar(keyed.select(F.col(key).alias("doc_id"), "text")))
+    found = tables.keep(ngram_join.similar(keyed.select(F.col(key).alias("doc_id"), "text"), SHINGLE, PERCENT))
     ids = keyed.filter("doc_id is not null").groupBy("doc_id", F.col(key).alias("k_")).agg(F.count("*").alias("rows"))
     groups = found.filter("n_shingles > 0").select(F.col("doc_id").alias("k_"), "component_id")
     first = ids.join(groups, "k_").groupBy("component_id").agg(F.min(F.struct("doc_id", "k_", "rows")).alias("first"))

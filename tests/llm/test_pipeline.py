@@ -90,3 +90,11 @@ def test_different_texts_under_one_doc_id_stay(spark):
         want = Counter([(1, copy), (9, clean), (7, ""), (7, ""), (7, None), (None, copy)] + [(5, other)] * (repeated is rows))
         assert near(spark, repeated) == want
     assert near(spark, [(9, clean), (9, other), (9, other), (9, copy), (1, copy)]) == Counter([(9, clean), (9, other), (1, copy)])
+
+
+def test_copies_from_four_fifths_on_go(spark):
+    words = [f"w{k}" for k in range(500)]
+    longer = [" ".join(words + [f"x{k}" for k in range(n)]) for n in (120, 130)]
+    # 496 of 616 shingles, and of 626
+    assert near(spark, [(1, " ".join(words)), (2, longer[0])]) == Counter([(1, " ".join(words))])
+    assert near(spark, [(1, " ".join(words)), (2, longer[1])]) == Counter([(1, " ".join(words)), (2, longer[1])])
