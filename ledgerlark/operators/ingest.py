@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerlark.functions.models import iso_millis
+from ledgerlark.operators.drivers import DRIVERS
 
 KINDS = ("jsonl", "json", "zstd-jsonl", "sqlite")
-DRIVERS = ("codex",)
 # What a nested record takes from its parent where it has no such key.
 INHERITED = ("sessionId", "session_id", "id", "model", "modelVersion", "timestamp", "startTime", "createTime")
 
@@ -104,8 +105,14 @@ def prefiltered(lines: DataFrame, patterns: tuple[str, ...], column: str = "valu
     return lines.filter(hit)
 
 
+def allow_duplicate_keys(spark: SparkSession) -> None:
+    """Of repeated keys of an object the last counts, as logs have them; by default Spark gives up on such a line."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def decoded(lines: DataFrame, column: str = "value") -> DataFrame:
     """Lines that hold a JSON object, as a variant `obj`."""
+    allow_duplicate_keys(lines.sparkSession)
     brace = F.ltrim(F.col(column)).startswith("{") & F.rtrim(F.col(column)).endswith("}")
     return lines.filter(brace).withColumn("obj", F.try_parse_json(column)).filter("obj is not null").drop(column)
 
@@ -122,8 +129,11 @@ def required(m: Manifest, obj: Column) -> Column:
             ok &= dig(obj, p, "double").eqNullSafe(float(want))
         elif want is None:
             ok &= dig(obj, p).isNull()
+        elif isinstance(want, str):
+            ok &= dig(obj, p).eqNullSafe(want)
         else:
-            ok &= dig(obj, p).eqNullSafe(str(want))
+            # objects and arrays as a whole; variants keep their keys sorted
+            ok &= F.to_json(F.try_variant_get(obj, _path(p), "variant")).eqNullSafe(F.to_json(F.parse_json(F.lit(json.dumps(want)))))
     return F.coalesce(ok, F.lit(False))
 
 

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlark.operators import ingest
+from ledgerlark.operators.drivers import DRIVERS
 from ledgerlark.operators.ingest import Manifest
 from ledgerlark.sources import paths as P, readers
 
@@ -19,8 +20,9 @@ CONTRIBUTION = "tool string, file string, line bigint, dedup_key string, model s
 
 
 def contributions(spark: SparkSession, m: Manifest, files: list[str]) -> DataFrame:
-    """Every record of the files with its dedup key, before deduplication."""
-    found = ingest.normalized(readers.records(spark, m, files), m)
+    """Every record of the files with its dedup key, before deduplication. A manifest's driver takes the place of the normalisation."""
+    records = readers.records(spark, m, files)
+    found = DRIVERS[m.driver](records, m) if m.driver else ingest.normalized(records, m)
     return found.select(*(c.split()[0] for c in CONTRIBUTION.split(", ")))
 
 
@@ -42,16 +44,33 @@ def cached_contributions(spark: SparkSession, m: Manifest, files: list[str], cac
     for stale in set(os.listdir(folder)) - set(keys.values()):
         shutil.rmtree(os.path.join(folder, stale), ignore_errors=True)
     missing = [p for p in files if not os.path.exists(os.path.join(folder, keys[p], "_SUCCESS"))]
-    for p in missing:
-        contributions(spark, m, [p]).coalesce(1).write.mode("overwrite").parquet(os.path.join(folder, keys[p]))
+    if missing:
+        _read_into(spark, m, {p: keys[p] for p in missing}, folder)
     if not files:
         return spark.createDataFrame([], CONTRIBUTION), []
     return spark.read.schema(CONTRIBUTION).parquet(*(os.path.join(folder, k) for k in keys.values())), missing
 
 
+def _read_into(spark: SparkSession, m: Manifest, keys: dict[str, str], folder: str) -> None:
+    """Reads the files in one job, and then gives each its part of the result."""
+    fresh = os.path.join(folder, ".new")
+    shutil.rmtree(fresh, ignore_errors=True)
+    names = spark.createDataFrame(list(keys.items()), "file string, key string")
+    contributions(spark, m, list(keys)).join(names, "file").repartition("key").write.partitionBy("key").parquet(fresh)
+    for key in keys.values():
+        part, own = os.path.join(fresh, f"key={key}"), os.path.join(folder, key)
+        shutil.rmtree(own, ignore_errors=True)
+        # a file without records has no part
+        os.replace(part, own) if os.path.isdir(part) else os.makedirs(own)
+        open(os.path.join(own, "_SUCCESS"), "w").close()
+    shutil.rmtree(fresh, ignore_errors=True)
+
+
 def usage_records(spark: SparkSession, manifests: list[Manifest], home: str, env=None, cache: str | None = None) -> DataFrame:
-    """Deduplicated records of all enabled, valid manifests. Each file belongs to the first manifest that names it."""
-    chosen = [m for m in manifests if m.enabled and not m.problems() and not m.driver]
+    """Deduplicated records of all enabled manifests. Each file belongs to the first manifest that names it. A manifest with problems raises."""
+    chosen = [m for m in manifests if m.enabled]
+    if wrong := {m.id or m.file_name: p for m in chosen if (p := m.problems())}:
+        raise ValueError(f"manifests with problems: {wrong}")
     owned, _ = P.claim((m, P.files(m, home, env)) for m in chosen)
     parts = [ingest.deduplicated(cached_contributions(spark, m, owned[m.id], cache)[0] if cache and cacheable(m) else contributions(spark, m, owned[m.id])) for m in chosen if owned[m.id]]
     if not parts:

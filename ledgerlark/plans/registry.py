@@ -271,12 +271,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from ledgerlark.plans import registry_ranges  # noqa: F401  registers the rest
+    from ledgerlark.plans import registry_ranges, registry_sources  # noqa: F401  register the rest
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from ledgerlark.plans import registry_ranges  # noqa: F401
+    from ledgerlark.plans import registry_ranges, registry_sources  # noqa: F401
 
     return dict(_ORACLES)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerlark.operators import ingest
 from ledgerlark.operators.ingest import Manifest
 
 LINES = "file string, dir string, line bigint, value string"
+MOST_LINE = 16 << 20  #: bytes of a line; longer ones are damaged
 MAGIC = b"\x28\xb5\x2f\xfd"
 
 
@@ -28,12 +29,19 @@ def _none(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LINES)
 
 
+def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines of text files, numbered from 1 in each. Files are split as Spark likes; numbers come from the order of splits and of lines in them."""
+    raw = _located(spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path_"), F.col("_metadata.file_block_start").alias("start_"))).withColumn("at_", F.monotonically_increasing_id())
+    order = Window.partitionBy("file").orderBy("start_", "at_")
+    return raw.withColumn("line", F.row_number().over(order).cast("long")).select("file", "dir", "line", "value")
+
+
 def jsonl(spark: SparkSession, paths: Iterable[str], prefilter: tuple[str, ...] = ()) -> DataFrame:
-    """Trimmed lines from 1, only those that begin like JSON. A file is one value until it is split, so files of over 1 GB should be rotated."""
-    texts = _texts(spark, paths)
-    if texts is None:
+    """Trimmed lines from 1, only those that begin like JSON and have at most MOST_LINE bytes."""
+    paths = list(paths)
+    if not paths:
         return _none(spark)
-    each = texts.select("file", "dir", F.posexplode(F.split("value", "\n")).alias("line", "value")).withColumns({"line": (F.col("line") + 1).cast("long"), "value": F.trim(F.translate("value", "\r", ""))})
+    each = _lines(spark, paths).filter(F.octet_length("value") <= MOST_LINE).withColumn("value", F.trim(F.translate("value", "\r", "")))
     return ingest.prefiltered(each.filter(F.col("value").rlike(r"^[\[{]")), prefilter)
 
 
@@ -42,6 +50,7 @@ def documents(spark: SparkSession, paths: Iterable[str], prefilter: tuple[str, .
     texts = _texts(spark, paths)
     if texts is None:
         return _none(spark).select("file", "dir", "line", F.lit(None).cast("variant").alias("obj"))
+    ingest.allow_duplicate_keys(spark)
     # the parser stops after one value: a first line that is one, with more behind it, makes a file of lines
     body = F.btrim("value", F.lit(" \t\r\n"))
     by_line = F.contains(body, F.lit("\n")) & F.try_parse_json(F.substring_index(body, "\n", 1)).isNotNull()
@@ -108,7 +117,7 @@ def records(spark: SparkSession, m: Manifest, paths: list[str]) -> DataFrame:
     if m.kind == "sqlite":
         from ledgerlark.sources import sqlite
 
-        rows = sqlite.scan(spark, paths, m.query, m.json_column)
-        return ingest.decoded(rows)
+        rows = sqlite.scan(spark, paths, m.query, m.json_column, errors="raise")  # a result without a database's rows would look whole
+        return ingest.decoded(rows.select("file", "dir", "line", "value"))
     lines = zstd_jsonl(spark, paths, m.prefilter) if m.kind == "zstd-jsonl" else jsonl(spark, paths, m.prefilter)
     return ingest.decoded(lines)

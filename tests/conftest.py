@@ -16,7 +16,6 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
