@@ -57,7 +57,7 @@ query("session_search", f"SELECT id, title, project, total FROM {_BURN} WHERE co
 query("session_kpis", f"SELECT count(*) AS sessions, CAST(sum(total) AS BIGINT) AS tokens, round(sum(total / days * 2.5::DOUBLE / 1e6::DOUBLE), 4) AS cost_per_day FROM {_BURN}")(
     lambda s, d: C.session_burn(W.session_usage(V.turns(s, d), V.sessions(s, d)), 2.5).agg(F.count("*").alias("sessions"), F.sum("total").alias("tokens"), F.round(F.sum("cost_per_day"), 4).alias("cost_per_day"))
 )
-query("session_sort", f"SELECT id, title, total FROM {_BURN} ORDER BY title DESC, id LIMIT 25")(lambda s, d: Y.sorted_by(W.session_usage(V.turns(s, d), V.sessions(s, d)), "title", True, "id").select("id", "title", "total").limit(25))
+query("session_sort", f"SELECT id, title, total FROM {_BURN} ORDER BY title DESC, id")(lambda s, d: Y.sorted_by(W.session_usage(V.turns(s, d), V.sessions(s, d)), "title", True, "id").select("id", "title", "total"))
 query("streak", """WITH a AS (SELECT DISTINCT CAST(d AS DATE) AS day FROM day_sums WHERE total > 0), r AS (SELECT count(*) AS streak, max(day) AS e FROM (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island FROM a) GROUP BY island),
  x AS (SELECT * FROM r WHERE e >= (SELECT max(CAST(d AS DATE)) FROM day_sums) - 1 ORDER BY e DESC LIMIT 1) SELECT coalesce((SELECT streak FROM x), 0) AS streak, (SELECT strftime(e, '%Y-%m-%d') FROM x) AS end_date""")(lambda s, d: C.streak(_own_days(s, d), _anchor(s, d)))
 _MATRIX = "(SELECT g.dow, g.hour, CAST(coalesce(sum(m.total), 0) AS BIGINT) AS total FROM (SELECT CAST(a AS INTEGER) AS dow, CAST(b AS INTEGER) AS hour FROM range(7) x(a), range(24) y(b)) g LEFT JOIN (SELECT CAST(dayofweek(CAST(substr(h, 1, 10) AS DATE)) AS INTEGER) AS dow, CAST(substr(h, 12, 2) AS INTEGER) AS hour, total FROM (SELECT h, total FROM turns WHERE h IS NOT NULL AND total > 0 UNION ALL SELECT h, total FROM external)) m USING (dow, hour) GROUP BY 1, 2)"
