@@ -7,19 +7,31 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 _OWN: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where that is unset, as in tests, a folder of this machine."""
+    """The folder of spark.checkpoint.dir. Only where that is unset and everything runs on this machine, as in tests, a folder of its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="ledgerlark-"))
     return _OWN[0]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Makes Spark hand rows to Python in Arrow batches of about BATCH_BYTES at most, for this session; the default is 64 MB, of which a task holds several."""
+    most = spark.conf.get(BATCH_SETTING)
+    if not most.rstrip("bB").isdigit() or not 0 < int(most.rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 class Tables:
     """Intermediate tables: each is written once and read back, which cuts the lineage and survives lost executors."""
 

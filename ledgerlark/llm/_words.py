@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20  #: texts are worked on in slices of about this many bytes
-HASH_BYTES = 1 << 20  #: bytes hashed at once; bounds the tables of powers
+HASH_BYTES = 1 << 17  #: bytes hashed at once; bounds the tables of powers, also for longer words
 U = np.uint64
 
 SEPARATOR = np.zeros(256, bool)
@@ -101,21 +101,37 @@ class Words:
     def hashes(self, lower: bool = False, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
         out = np.empty(len(self), U)
+        up, down = powers(base, HASH_BYTES + 1)
+        size = self.end - self.start
         i = 0
         while i < len(self):
-            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + HASH_BYTES, "right")))
             a = self.start[i]
+            j = int(np.searchsorted(self.end, a + HASH_BYTES, "right"))
+            if j <= i:
+                out[i] = self._long(self.raw[a : self.end[i]], lower, up, base)
+                i += 1
+                continue
             part = self.raw[a : self.end[j - 1]]
             part = (LOWER[part] if lower else part).astype(U) + U(1)
-            up, down = powers(base, len(part) + 1)
             part *= up[: len(part)]
             total = np.zeros(len(part) + 1, U)
             np.cumsum(part, out=total[1:])
             s, e = self.start[i:j] - a, self.end[i:j] - a
-            out[i:j] = (total[e] - total[s]) * down[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93)
+            out[i:j] = (total[e] - total[s]) * down[s]
             i = j
+        out += size.astype(U) * U(0xD6E8FEB86659FD93)
         return mix(out)
 
+    @staticmethod
+    def _long(raw: np.ndarray, lower: bool, up: np.ndarray, base: int) -> int:
+        """The sum that hashes() makes, for a word of more than HASH_BYTES."""
+        out = 0
+        for k in range(0, len(raw), HASH_BYTES):
+            part = raw[k : k + HASH_BYTES]
+            part = ((LOWER[part] if lower else part).astype(U) + U(1)) * up[: len(part)]
+            out += int(part.sum(dtype=U)) * pow(base, k, 1 << 64)
+        return out % (1 << 64)
+
     def joined(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The (kept) words, each followed by one space, and where each begins (n + 1)."""
         start, end = (self.start, self.end) if keep is None else (self.start[keep], self.end[keep])

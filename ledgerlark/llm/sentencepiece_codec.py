@@ -39,11 +39,12 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 from ledgerlark.llm import _words as W
+from ledgerlark.llm._shared import bound_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
 PARITY_SHARE = 1  #: one row in so many is also encoded by the original library
-SLICE = 1 << 20
+SLICE = 1 << 18  #: bytes of text encoded at once; the library needs some hundred bytes for each token of them
 KEPT = 50_000  #: words with runs of markers that a process remembers
 
 # Fixed values of the format.
@@ -163,7 +164,9 @@ class Codec:
         self.scores = {p: (score, k) for k, (p, score, kind) in enumerate(self.proto.pieces) if kind in (NORMAL, USER_DEFINED)}
         self.known: dict[str, list[int]] = {}
         if self.exact:
-            self.inner = build(self.proto)
+            # the same model, for texts that are normalised already
+            self.inner = Tokenizer(self.tokenizer.model)
+            self.inner.pre_tokenizer = self.tokenizer.pre_tokenizer
             self.inner.normalizer = normalizers.Sequence([])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -260,7 +263,9 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def _codec(raw: bytes, threads: int) -> Codec:
-    return Codec(raw, threads)
+    codec = Codec(raw, threads)
+    W.give_back()  # building it takes more than keeping it
+    return codec
 
 
 def load(path: str = MODEL) -> bytes:
@@ -270,6 +275,7 @@ def load(path: str = MODEL) -> bytes:
 
 def encode(docs: DataFrame, path: str = MODEL, threads: int = THREADS, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """docs with a further column of token ids (array<int>); null where the text is null."""
+    bound_batches(docs.sparkSession)
     raw = load(path)
     schema = docs.withColumn(ids, F.lit(None).cast("array<int>")).schema
     names = schema.names
@@ -286,12 +292,15 @@ def encode(docs: DataFrame, path: str = MODEL, threads: int = THREADS, text: str
                 missing = pa.array([t is None for t in texts])
                 column = pa.ListArray.from_arrays(pa.array(at), pa.array(flat), mask=missing) if part.column(text).null_count else pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names)
+            del batch
+        W.give_back()
 
     return docs.mapInArrow(work, schema)
 
 
 def decode(tokens: DataFrame, path: str = MODEL, ids: str = "token_ids", text: str = "text") -> DataFrame:
     """tokens with a further column: the text that the ids stand for; null where they are null."""
+    bound_batches(tokens.sparkSession)
     raw = load(path)
     schema = tokens.withColumn(text, F.lit(None).cast("string")).schema
 
@@ -309,6 +318,7 @@ DIGEST = "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean, par
 
 def digests(docs: DataFrame, path: str = MODEL, threads: int = THREADS, parity_share: int = PARITY_SHARE) -> DataFrame:
     """doc_id, number and SHA-256 of the ids (4 bytes each, little-endian), whether they decode to the normalised text, and whether the original library gives the same ids (null where not checked)."""
+    bound_batches(docs.sparkSession)
     raw = load(path)
 
     def work(stream):
@@ -331,6 +341,8 @@ def digests(docs: DataFrame, path: str = MODEL, threads: int = THREADS, parity_s
                     if picked[i + k]:
                         parity[k] = original.encode(text) == found
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(trip, pa.bool_()), pa.array(parity, pa.bool_())], [x.split()[0] for x in DIGEST.split(", ")])
+            del batch
+        W.give_back()
 
     check = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(parity_share)) == 0
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(check, F.lit(False)).alias("check")).mapInArrow(work, DIGEST)
