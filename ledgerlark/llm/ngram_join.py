@@ -13,14 +13,18 @@ Candidates are verified exactly, on the sets of their whole texts.
 Equal sets form one class from the start. Links among classes are looked for in two
 rounds, and never as all pairs of a group:
 
-1. in each posting list, every class against the one with the fewest rare shingles;
-2. in each list whose classes are not yet in one component, all pairs of
+1. in each posting list, every class against the one with the fewest rare shingles, if
+   the two meet that way in as many lists as they ask for;
+2. in lists whose classes are not yet in one component, pairs of
    different components. One of a pair is always outside the list's largest
-   component, so only classes outside it are paired with the others.
+   component, so only classes outside it are paired with the others. Lists of up to LIST classes
+   are joined; longer ones are compared in blocks of BLOCK_BYTES, where shared prefix shingles are counted in
+   memory and only pairs that share enough of them come out.
 
-No link between components is missed, so the components are exact. Posting
+In round 2 a pair has to share as many shingles of its prefixes as its two sizes ask for, which is
+the more the closer they are. No link between components is missed, so the components are exact. Posting
 lists that may be long (by the sketch) are found by pre-aggregation and a join
-that Spark can split; the others are short by the sketch's bound.
+that Spark can split; the others are short by the sketch's estimate.
 
 Cases: null or empty texts have no shingles and link with nothing, not with each other
 either. Texts of fewer than SHINGLE words are one shingle. Rows with a null doc_id
@@ -38,13 +42,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlark.llm import _sketch, _words as W
 from ledgerlark.llm._components import components
-from ledgerlark.llm._shared import Tables, partitions
+from ledgerlark.llm._shared import Tables, bound_batches, partitions
 
 SHINGLE = 4
 PERCENT = 85
 MOST_MATCHES = 4
 VERIFY_COST = 8.0  #: of a candidate, in postings read
 POSTING_COST = 4.0  #: of one more posting, in postings read
+LIST = 128  #: classes of a list whose pairs are joined
+BLOCK_BYTES = 1 << 20  #: prefixes of a block
 LONG_LIST = 1024  #: a shingle that may be in more sets than this is looked up by a join that can be split
 
 
@@ -80,7 +86,7 @@ def _scan(shingle: int):
         total = np.zeros(_sketch.CELLS, np.int64)
         for rows, raw, at in W.batches("text")(stream):
             g, first = _sets(W.Words(raw, at), shingle)
-            total += np.bincount(_sketch.cells(g), minlength=_sketch.CELLS)
+            _sketch.add(total, g)
             one, two = _prints(g, first)
             n = len(rows)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), pa.array(one), pa.array(two), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], _SCANNED_NAMES)
@@ -109,9 +115,10 @@ def _matches(size: np.ndarray, first: np.ndarray, estimate: np.ndarray, prefix:
 
 
 def _postings(levels: bytes, shingle: int, percent: int, long_list: float):
+    """A row for each shingle of each prefix. facts: size of the set << 32 | place in it << 3 | matches asked for."""
+
     def work(stream):
         level = np.frombuffer(levels, np.uint8)
-        noise = float(np.median(_sketch.times(level)))
         for rows, raw, at in W.batches("text")(stream):
             g, first = _sets(W.Words(raw, at), shingle)
             f, f2 = _prints(g, first)
@@ -121,13 +128,13 @@ def _postings(levels: bytes, shingle: int, percent: int, long_list: float):
             fresh = np.zeros(len(size), bool)
             if len(able):
                 fresh[able[np.unique(np.stack([f[able], f2[able]]), axis=1, return_index=True)[1]]] = True
-            rank = level[_sketch.cells(g)]
+            rank = _sketch.lower(level, g)
             row = np.repeat(np.arange(len(size)), size)
             order = W.by_row(row, rank, len(size))
             g, rank = g[order], rank[order]
             count = _sketch.times(rank)
             prefix = size - (percent * size + 99) // 100
-            ask = _matches(size, first, np.maximum(count - 1 - noise, 0), prefix)
+            ask = _matches(size, first, np.maximum(count - 1, 0), prefix)
             take = np.where(fresh, np.minimum(prefix + ask, size), 0)
             own = np.repeat(np.arange(len(size)), take)
             pos = W.spread(take)
@@ -217,29 +224,92 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (n - F.col(f"{a}.pos") >= need) & (m - F.col(f"{b}.pos") >= need)
 
 
-def _matching(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
-    """The pairs that share as many shingles of their prefixes as the less demanding of the two asks for."""
-    concerned = pairs.select(F.col("fa").alias("f")).unionByName(pairs.select(F.col("fb").alias("f"))).distinct()
-    prefix = entries.select("f", "n", "ask", "pos", "token").distinct().join(concerned, "f").groupBy("f").agg(F.max("n").alias("n"), F.min("ask").alias("ask"), F.collect_list(F.struct("pos", "token")).alias("prefix"))
-    sides = [prefix.select(F.col("f").alias(f"f{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "ask", "prefix"))) for x in "ab"]
-    both = pairs.join(sides[0], "fa").join(sides[1], "fb").withColumn("ask", F.least("ask_a", "ask_b"))
-    parts = [f"transform(filter(prefix_{x}, e -> e.pos < n_{x} - ({percent} * n_{x} + 99) div 100 + ask), e -> e.token)" for x in "ab"]
-    return both.filter(F.expr(f"size(array_intersect({parts[0]}, {parts[1]})) >= ask")).select("fa", "fb")
+def _asked(percent: int) -> str:
+    """How many shingles of their prefixes two sets that are similar enough share, at least; SQL of n_a, n_b, ask_a, ask_b.
+
+    What is left behind a prefix of p of n shingles is n - p. The set whose prefix ends first, in the order
+    of all shingles, shares nothing of its prefix outside the other's, so the prefixes share need - (n - p) at least.
+    """
+    left = [f"greatest(0, ({percent} * n_{x} + 99) div 100 - ask_{x})" for x in "ab"]
+    need = f"(({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent})"
+    return f"greatest(least(ask_a, ask_b), {need} - greatest({left[0]}, {left[1]}))"
+
+
+def _matching(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share enough shingles."""
+    sides = [prefixes.select(F.col("f").alias(f"f{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "ask", "prefix"))) for x in "ab"]
+    both = pairs.join(sides[0], "fa").join(sides[1], "fb")
+    return both.filter(F.expr(f"size(array_intersect(prefix_a, prefix_b)) >= {_asked(percent)}")).select("fa", "fb")
+
+
+def _block(percent: int):
+    """Pairs of one pair of blocks of a list that are of different components and share enough shingles of their prefixes."""
+
+    def work(table: pa.Table) -> pa.Table:
+        def side(block: int) -> dict:
+            rows = table.filter(pc.equal(table.column("block"), block))
+            prefix = rows.column("prefix").combine_chunks()
+            out = {c: rows.column(c).to_numpy() for c in ("f", "comp", "n", "pos", "ask")}
+            size = pc.list_value_length(prefix).to_numpy(zero_copy_only=False)
+            return out | {"token": prefix.flatten().to_numpy(zero_copy_only=False), "row": np.repeat(np.arange(len(size)), size)}
+
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        a, b = side(lo), side(hi)
+        both = np.zeros((len(a["f"]), len(b["f"])), np.int32)
+        order = np.argsort(b["token"], kind="stable")
+        token, row = b["token"][order], b["row"][order]
+        left, right = np.searchsorted(token, a["token"], "left"), np.searchsorted(token, a["token"], "right")
+        met = np.cumsum(right - left)
+        i = 0
+        while i < len(met):
+            # about a million meetings at a time
+            j = max(i + 1, int(np.searchsorted(met, (met[i - 1] if i else 0) + (1 << 20), "right")))
+            count = (right - left)[i:j]
+            index = np.repeat(left[i:j], count) + W.spread(count)
+            both += np.bincount(np.repeat(a["row"][i:j], count) * both.shape[1] + row[index], minlength=both.size).reshape(both.shape)
+            i = j
+        x, y = np.nonzero(both)
+        n, m, ask_a, ask_b = a["n"][x], b["n"][y], a["ask"][x], b["ask"][y]
+        need = (percent * (n + m) + 99 + percent) // (100 + percent)
+        rest = np.maximum(np.maximum((percent * n + 99) // 100 - ask_a, (percent * m + 99) // 100 - ask_b), 0)
+        good = both[x, y] >= np.maximum(np.minimum(ask_a, ask_b), need - rest)
+        good &= (a["comp"][x] != b["comp"][y]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (n - a["pos"][x] >= need) & (m - b["pos"][y] >= need)
+        u, v = a["f"][x[good]], b["f"][y[good]]
+        return pa.table({"fa": np.minimum(u, v), "fb": np.maximum(u, v)})
+
+    return work
+
+
+def _open_pairs(open_lists: DataFrame, prefixes: DataFrame, tables: Tables, percent: int) -> DataFrame:
+    """Pairs of classes of different components that share a shingle of their prefixes, and as many as they ask for. open_lists: token, f, n, pos, ask, comp, top and the list's k classes with p shingles in their prefixes."""
+    short, long = open_lists.filter(F.col("k") <= LIST), open_lists.filter(F.col("k") > LIST)
+    a, b = short.filter("comp != top").alias("a"), short.alias("b")
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.top")) | (F.col("a.f") < F.col("b.f"))) & _may_link("a", "b", percent))
+    pairs = tables.keep(met.select(F.least("a.f", "b.f").alias("fa"), F.greatest("a.f", "b.f").alias("fb")).distinct())
+    out = _matching(pairs, prefixes, percent)
+    if not long.isEmpty():
+        blocks = F.expr(f"cast((8 * p + 64 * k) div {BLOCK_BYTES} + 1 as int)")
+        rows = long.join(prefixes.select("f", "prefix"), "f").withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(f), blocks) as int)"))
+        dealt = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+        found = dealt.select("token", "lo", "hi", "block", "f", "comp", "n", "pos", "ask", "prefix").groupBy("token", "lo", "hi").applyInArrow(_block(percent), "fa long, fb long")
+        out = out.unionByName(found).distinct()
+    return out
 
 
 def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     tables = Tables(spark, "ngrams")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = tables.keep(docs.mapInArrow(_scan(shingle), _SCANNED))
-    levels = _sketch.collect_levels(scanned.filter("chunk is not null").select("chunk", "counts"))
-    long_list = max(LONG_LIST, 8 * float(_sketch.times(levels).mean()))
+    levels = _sketch.collect_levels(scanned.filter("chunk is not null").select("chunk", "counts")).level
     sets = scanned.filter("chunk is null").select("doc_id", "n", "f", "f2")
     classes = tables.keep(sets.filter("n > 0 and doc_id is not null").groupBy("f", "f2").agg(F.min("doc_id").alias("rep")))
 
-    sent = docs.mapInArrow(_postings(levels.tobytes(), shingle, percent, long_list), "token long, f long, facts long, long_list boolean")
+    sent = tables.keep(docs.mapInArrow(_postings(levels.tobytes(), shingle, percent, LONG_LIST), "token long, f long, facts long, long_list boolean"))
     lists = tables.keep(_shared_lists(sent, partitions(spark)))
+    tables.drop(sent)
     wanted = lists.select("f").distinct().join(classes.select("f", "rep"), "f")
     texts = docs.mapInArrow(_texts(shingle), "doc_id long, f long, z binary")
     texts = tables.keep(texts.join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "f"]).select("f", F.col("doc_id").alias("rep"), "z"))
@@ -250,22 +320,23 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
         return tables.keep(both.select("u", "v", "za", "zb").mapInArrow(_verify(shingle, percent), "u long, v long"))
 
     entries = lists.select("token", "f", "head", *_facts(), "head_facts")
-    head = entries.select("f", "head", "n", "pos", "ask", F.struct(*_facts("head_")).alias("h"))
+    head = entries.filter("f != head").select("f", "head", "n", "pos", "ask", F.struct(*_facts("head_")).alias("h"))
     head = head.select(F.struct("n", "pos", "ask").alias("a"), F.col("h").alias("b"), "f", "head")
-    star = head.filter("f != head").filter(_may_link("a", "b", percent))
-    first = links(star.select(F.col("head").alias("fa"), F.col("f").alias("fb")).distinct())
+    star = head.groupBy("f", "head").agg(F.count("*").alias("both"), F.min(F.least("a.ask", "b.ask")).alias("ask"), F.max(_may_link("a", "b", percent)).alias("may")).filter("may and both >= ask")
+    first = links(star.select(F.col("head").alias("fa"), F.col("f").alias("fb")))
     comps = components(first, tables)
 
     own = texts.select("f", F.col("rep").alias("node")).join(comps, "node", "left").select("f", F.coalesce("comp", "node").alias("comp"))
     placed = tables.keep(entries.drop("head", "head_facts").join(own, "f"))
-    largest = placed.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
+    asked = F.expr(f"least(n, n - ({percent} * n + 99) div 100 + ask)")
+    largest = placed.groupBy("token", "comp").agg(F.count("*").alias("k"), F.sum(asked).alias("p")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("k").alias("k"), F.sum("p").alias("p"))
     open_lists = tables.keep(placed.join(largest.filter("comps > 1").drop("comps"), "token"))
-    a, b = open_lists.filter("comp != top").alias("a"), open_lists.alias("b")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.top")) | (F.col("a.f") < F.col("b.f"))) & _may_link("a", "b", percent))
-    pairs = met.select(F.least("a.f", "b.f").alias("fa"), F.greatest("a.f", "b.f").alias("fb")).distinct()
-    second = links(_matching(tables.keep(pairs), placed, percent))
+    concerned = open_lists.select("f").distinct()
+    prefixes = placed.join(concerned, "f").groupBy("f").agg(F.max("n").alias("n"), F.max("ask").alias("ask"), F.collect_set("token").alias("prefix"))
+    prefixes = tables.keep(prefixes)
+    second = links(_open_pairs(open_lists, prefixes, tables, percent))
     comps = components(first.unionByName(second), tables)
-    for done in (lists, placed, open_lists, texts):
+    for done in (lists, placed, open_lists, prefixes, texts):
         tables.drop(done)
 
     roots = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("f", "f2", F.coalesce("comp", "rep").alias("root"))

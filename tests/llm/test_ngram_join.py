@@ -83,3 +83,21 @@ def test_copies_behind_a_row_without_an_id_still_link(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(None, text), (7, text), (9, text + " end"), (8, text)]
     assert got(N.similar(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))) == brute(rows)
+
+
+def test_open_lists_of_unlinked_sets(spark, monkeypatch):
+    # many texts that share half of their words and aren't similar, among them some that are
+    shared = [f"s{k}" for k in range(60)]
+    rows = []
+    for d in range(90):
+        own = [f"o{d}x{k}" for k in range(30)]
+        rows.append((d, " ".join(own + shared)))
+        if d % 9 == 0:
+            rows.append((200 + d, " ".join(own[1:] + shared)))
+    rows += [(400 + d, " ".join(shared[d:] + shared[:d])) for d in range(0, 40, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert got(N.similar(df)) == want
+    monkeypatch.setattr(N, "LIST", 2)
+    monkeypatch.setattr(N, "BLOCK_BYTES", 4096)
+    assert got(N.similar(df)) == want

@@ -94,3 +94,19 @@ def test_removal_keeps_other_columns(spark):
     out = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, ranges int"))
     assert out.columns == ["doc_id", "text", "ranges"]
     assert sorted(map(tuple, out.collect())) == [rows[0], (2, "c d", 6), rows[2]]
+
+
+@pytest.mark.parametrize("pass_bytes", [S.PASS_BYTES, 1000])
+def test_rows_that_share_a_doc_id_lose_only_their_own(spark, pass_bytes):
+    r = random.Random(3)
+    words = [f"v{k}" for k in range(60)]
+    some = lambda n: " ".join(r.choice(words) for _ in range(n))
+    a, b = some(40), some(40)
+    rows = [(1, a), (2, a), (2, b), (2, a), (3, b + " " + a)]
+    for k in range(60):
+        # many rows under few ids, hot strings among them
+        rows.append((k % 5 + 10, r.choice([a, b, some(30)]) + " " + some(r.randrange(25))))
+    rows += [(None, a), (None, b)] + [(40, a)] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(S.digests(df, pass_bytes=pass_bytes)) == brute(rows, 13)
+    assert (2, 40, 0, hashlib.sha256(b.encode()).hexdigest()) in got(S.digests(df))
