@@ -11,17 +11,21 @@ i gets D_i rows of it. Its blocks run on across the end of the source, which beg
 every slot is full but a source's last, and a source is short or over by less than a block. By default a source's target is its number of documents to
 the power TEMPER, which brings small sources up a little.
 
-The schedule is made on the driver, on at most about MOST_SLOTS slots, and one more for each source: blocks grow with the
-mix. Documents find their block by rank, which takes no global order: ranks are counted in
+Blocks have the same size whatever the mix. The schedule repeats after a period of at most PERIOD slots, and one more for
+each source, at whose end every source has exactly its share: the driver makes one period, and the slot of
+any block follows from its number. So in mixes of several periods the
+weights are taken to multiples of 1 / PERIOD, upwards, and a source with less than that gets one block in each period. Documents find their block by
+rank, which takes no global order: ranks are counted in
 buckets of a hash of doc_id, and buckets are added up.
 
-Cases: a null source is a source of its own. Rows that share a doc_id (or have a null one) count as often as they occur; which of them
-comes first among themselves isn't defined. Sources with target weight 0 or without a target get no slot. An empty table gives an empty mix.
+Cases: a null source is a source of its own. Rows that share a doc_id (or have a null one) count as often as they occur; among
+themselves they are ordered by a hash of their columns. Sources with target weight 0 or without a target get no slot. An empty table gives an empty mix.
 Extra columns are kept by mix() and ignored by plan(). Texts aren't looked at.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from fractions import Fraction
 from heapq import heapify, heappop, heappush
 
@@ -29,8 +33,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerlark.llm._shared import partitions
 
-BLOCK = 64  #: documents in a block, at least
-MOST_SLOTS = 1 << 17
+BLOCK = 64  #: documents in a block
+PERIOD = 1 << 17  #: slots after which the schedule repeats, about
 TEMPER = 0.9
 BUCKET = 4096  #: documents of a bucket in which ranks are counted, about
 
@@ -63,26 +67,53 @@ def allot(blocks: list[int], weights: list[float]) -> list[int]:
     return [max(b, -(-(w * scale).numerator // (w * scale).denominator)) if w else 0 for w, b in zip(exact, blocks)]
 
 
-def _slots(docs: DataFrame, weights: dict[str | None, float] | None, block: int) -> tuple[DataFrame, int, int]:
-    """(source, slot, block_no, documents and rows of the source) of every slot, documents in a block, and the number of slots."""
+@dataclass
+class Schedule:
+    """slots: source_no, nth, offset of each slot of a period; sources: source_no, source, documents, rows in the mix, slots in a period. Both bounded by PERIOD and the number of sources."""
+
+    slots: DataFrame
+    sources: DataFrame
+    block: int
+    period: int
+    total: int
+
+
+def periods(rows: list[int], block: int, most: int) -> tuple[list[int], int]:
+    """Slots of each source in a period, and the number of periods, so that all have `rows` rows at least."""
+    slots = [-(-n // block) for n in rows]
+    times = max(1, -(-sum(slots) // most))
+    return [-(-n // times) for n in slots], times
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= 2 * PERIOD else df
+
+
+def _schedule(docs: DataFrame, weights: dict[str | None, float] | None, block: int) -> Schedule:
     spark = docs.sparkSession
     counts = sorted(((r.source, r.n) for r in docs.groupBy("source").agg(F.count("*").alias("n")).collect()), key=lambda x: (x[0] is None, x[0]))
     target = [float(n) ** TEMPER if weights is None else float(weights.get(s, 0.0)) for s, n in counts]
     given = allot([n for _, n in counts], target)
-    block = max(block, -(-sum(given) // MOST_SLOTS))
-    order = schedule([-(-n // block) for n in given])
+    each, times = periods(given, block, PERIOD)
+    order = schedule(each)
     placed = [0] * len(counts)
     rows = []
     for slot, i in enumerate(order):
-        rows.append((i, slot, placed[i]))
+        rows.append((i, placed[i], slot))
         placed[i] += 1
-    names = spark.createDataFrame([(i, s, n, given[i]) for i, (s, n) in enumerate(counts)], "source_no int, source string, docs_ long, rows_ long")
-    table = spark.createDataFrame(rows, "source_no int, slot long, block_no long").join(F.broadcast(names), "source_no").drop("source_no")
-    return table, block, len(order)
+    # every slot is full but a source's last
+    sources = [(i, s, n, k * times * block - -given[i] % block, k) for i, ((s, n), k) in enumerate(zip(counts, each)) if k]
+    return Schedule(
+        _small(spark.createDataFrame(rows, "slot_of int, nth_ long, offset_ long"), len(rows)),
+        _small(spark.createDataFrame(sources, "source_no int, name_ string, docs_ long, rows_ long, each_ long"), len(sources)),
+        block,
+        len(order),
+        len(order) * times,
+    )
 
 
 def _ranked(docs: DataFrame, key: str) -> DataFrame:
-    """docs with rank_: 0, 1, ... in each source, in an order that a hash of doc_id gives."""
+    """docs with rank_: 0, 1, ... in each source, in an order that a hash of doc_id gives, and for rows of one doc_id a hash of the row."""
     n = docs.count()
     buckets = max(1, n // BUCKET)
     hashed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.lit(7)))
@@ -93,7 +124,7 @@ def _ranked(docs: DataFrame, key: str) -> DataFrame:
     # buckets of a source, one row each
     before = F.sum("n").over(Window.partitionBy("group_").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("group_", "bucket_", F.coalesce(before, F.lit(0)).alias("before_"))
-    inside = F.row_number().over(Window.partitionBy("group_", "bucket_").orderBy(key, "doc_id")) - 1
+    inside = F.row_number().over(Window.partitionBy("group_", "bucket_").orderBy(key, "doc_id", F.xxhash64(*docs.columns))) - 1
     placed = hashed.withColumn("inside_", inside).join(offsets, ["group_", "bucket_"])
     return placed.withColumn("rank_", F.col("before_") + F.col("inside_")).drop("inside_", "group_", "before_", "bucket_", key)
 
@@ -101,20 +132,16 @@ def _ranked(docs: DataFrame, key: str) -> DataFrame:
 def plan(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, source, epoch, slot and position (unique; the mix is in its order), a row for each time a document is in the mix."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    table, size, _ = _slots(rows, weights, block)
-    ranked = _ranked(rows, "h_")
-    return _placed(ranked, table, size).select("doc_id", "source", "epoch", "slot", "position")
+    return _placed(_ranked(rows, "h_"), _schedule(rows, weights, block)).select("doc_id", "source", "epoch", "slot", "position")
 
 
-def _placed(ranked: DataFrame, table: DataFrame, size: int) -> DataFrame:
+def _placed(ranked: DataFrame, plan: Schedule) -> DataFrame:
     """ranked with epoch, slot and position, a row for each time a document is in the mix."""
-    sources = table.select(F.col("source").alias("name_"), "docs_", "rows_").distinct()
-    again = ranked.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name_"))).withColumn("epoch", F.explode(F.expr("sequence(0L, (rows_ - 1 - rank_) div docs_)")))
-    again = again.withColumn("at_", F.col("rank_") + F.col("epoch") * F.col("docs_")).withColumns({"block_no": F.expr(f"at_ div {size}"), "epoch": F.col("epoch").cast("int")}).drop("docs_", "rows_", "name_")
-    # MOST_SLOTS rows, about
-    slots = table.select(F.col("source").alias("s_"), F.col("block_no").alias("k_"), "slot")
-    joined = again.join(F.broadcast(slots), F.col("source").eqNullSafe(F.col("s_")) & (F.col("block_no") == F.col("k_")))
-    return joined.withColumn("position", F.col("slot") * size + F.col("at_") % size)
+    again = ranked.join(plan.sources, F.col("source").eqNullSafe(F.col("name_"))).withColumn("epoch", F.explode(F.expr("sequence(0L, (rows_ - 1 - rank_) div docs_)")))
+    again = again.withColumn("at_", F.col("rank_") + F.col("epoch") * F.col("docs_")).withColumn("block_no", F.expr(f"at_ div {plan.block}"))
+    joined = again.join(plan.slots, (F.col("source_no") == F.col("slot_of")) & (F.col("block_no") % F.col("each_") == F.col("nth_")))
+    slot = F.expr(f"block_no div each_ * {plan.period}") + F.col("offset_")
+    return joined.withColumns({"slot": slot, "position": slot * plan.block + F.col("at_") % plan.block, "epoch": F.col("epoch").cast("int")})
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
@@ -123,9 +150,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     names = docs.columns
     clash = {c: f"kept{k}_" for k, c in enumerate(names)}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.struct(*(F.col(f"`{c}`").alias(clash[c]) for c in names)).alias("row_"))
-    table, size, slots = _slots(rows, weights, block)
-    ranked = _ranked(rows, "h_")
+    plan = _schedule(rows, weights, block)
     parts = partitions(spark)
-    placed = _placed(ranked, table, size).select("position", F.expr(f"cast(slot * {parts} div {max(1, slots)} as int)").alias("part_"), "row_")
+    placed = _placed(_ranked(rows, "h_"), plan).select("position", F.expr(f"cast(slot * {parts} div {max(1, plan.total)} as int)").alias("part_"), "row_")
     ordered = placed.repartitionById(parts, F.col("part_")).sortWithinPartitions("position")
     return ordered.select(*(F.col(f"row_.{clash[c]}").alias(c) for c in names))

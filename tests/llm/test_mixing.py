@@ -87,3 +87,32 @@ def test_a_tiny_source_does_not_stretch_the_mix(spark):
     sizes = {"a": 6000, "b": 2000, "c": 65, "d": 1}
     table = spark.createDataFrame([(k, s) for s, n in sizes.items() for k in range(n)], "doc_id long, source string")
     assert len(M.plan(table).collect()) < 1.1 * sum(sizes.values())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 5000), min_size=1, max_size=6), st.integers(1, 70), st.integers(8, 200))
+def test_periods_hold_every_row(rows, block, most):
+    each, times = M.periods(rows, block, most)
+    assert all(k * times * block >= n for k, n in zip(each, rows)) and sum(each) < most + len(rows)
+    assert all(k * times - -(-n // block) < times for k, n in zip(each, rows))
+
+
+def test_a_mix_of_many_periods(spark, monkeypatch):
+    monkeypatch.setattr(M, "PERIOD", 32)
+    weights = {"big": 0.4, "b": 0.3, "c": 0.2, None: 0.1}
+    out = sorted(M.plan(docs(spark), weights, block=4).collect(), key=lambda x: x.position)
+    slots = {x.slot: x.source for x in out}
+    total, have = Counter(slots.values()), Counter()
+    assert len(slots) > 10 * 36 and sorted(slots) == list(range(len(slots)))
+    for t in range(len(slots)):
+        have[slots[t]] += 1
+        assert all(abs(have[s] - Fraction(n * (t + 1), len(slots))) < 1 for s, n in total.items())
+    assert all(abs(total[s] / len(slots) - w) < 1 / 32 for s, w in weights.items())
+    assert {(x.doc_id, x.source) for x in out} == {(r.doc_id, r.source) for r in docs(spark).collect()}
+    assert len({x.position for x in out}) == len(out)
+
+
+def test_rows_of_one_doc_id_keep_their_order(spark):
+    rows = [(7, f"t{k}", "a") for k in range(50)] + [(None, f"n{k}", "a") for k in range(50)]
+    orders = {tuple(x.text for x in M.mix(spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, source string")).collect()) for k in (0, 17, 60)}
+    assert len(orders) == 1
