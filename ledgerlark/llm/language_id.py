@@ -12,7 +12,8 @@ their presence bits travel, CELLS / 8 bytes each.
 
 Cases: a null text or one without a letter is `und`, with score 0. A null lang is
 not learned from. Without any training text every text is `und`. Repeated rows get
-equal predictions. Extra columns are ignored. Rows with a null doc_id are predicted, not learned from.
+equal predictions. Of different texts under one doc_id and language the one with the smallest hash is learned from. Extra columns
+are ignored. Rows with a null doc_id are predicted, not learned from.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlark.llm import _features, _words as W
+from ledgerlark.llm._shared import bound_batches
 from ledgerlark.llm.quality_gam import held_out
 
 GRAMS = (1, 2, 3)
@@ -88,6 +90,7 @@ def fit(bits: np.ndarray, languages: list[str]) -> Model:
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and lang is not null and text is not null").filter(~held_out())
     keys = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
@@ -109,10 +112,10 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 part = rows.slice(lo, BATCH)
                 a = at[lo : lo + len(part) + 1]
                 packed = np.packbits(presence(raw[a[0] : a[-1]], a - a[0]).astype(bool), axis=1)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array([x.tobytes() for x in packed], pa.binary())], ["doc_id", "lang", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("print"), pa.array([x.tobytes() for x in packed], pa.binary())], ["doc_id", "lang", "print", "bits"])
 
-    got = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(bits, "doc_id long, lang string, bits binary").toPandas()
-    got = got.drop_duplicates(["doc_id", "lang"]).sort_values(["doc_id", "lang"])
+    got = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text", F.xxhash64("text").alias("print")).mapInArrow(bits, "doc_id long, lang string, print long, bits binary").toPandas()
+    got = got.sort_values(["doc_id", "lang", "print"]).drop_duplicates(["doc_id", "lang"])
     return fit(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), CELLS // 8), got["lang"].tolist())
 
 
@@ -138,6 +141,7 @@ def predict(model: Model, rows: pa.RecordBatch, raw: np.ndarray, at: np.ndarray,
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row."""
+    bound_batches(docs.sparkSession)
     model = learn(docs, per_language)
 
     def work(stream):

@@ -12,7 +12,7 @@ smallest hash of doc_id. Only their features travel, not their texts.
 
 Cases: null texts are scored as empty ones. Rows with a null doc_id are scored and not
 learned from; they count as held out if crc32('') mod 5 is 0. Repeated
-labels of a document count once, by the lowest. Without labels of both kinds every
+labels of a document count once, by the lowest; of different texts under one doc_id the one with the smallest hash is learned from. Without labels of both kinds every
 score is the smoothed share of good labels. Repeated rows get equal scores. Other columns are ignored.
 """
 
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlark.llm import _features, _words as W
+from ledgerlark.llm._shared import bound_batches
 
 SAMPLE = 20_000
 BINS = 48
@@ -190,6 +191,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    bound_batches(docs.sparkSession)
     known = labels.filter("doc_id is not null and quality is not null").filter(~held_out())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -199,16 +201,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def measure(stream):
         for rows, raw, at in W.batches("text")(stream):
             x = features(raw, at)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("quality").cast(pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("print"), rows.column("quality").cast(pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], ["doc_id", "print", "quality", "x"])
 
-    got = texts.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(measure, "doc_id long, quality int, x array<double>").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+    got = texts.select("doc_id", F.xxhash64("text").alias("print"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(measure, "doc_id long, print long, quality int, x array<double>").toPandas()
+    got = got.sort_values(["doc_id", "print"]).drop_duplicates("doc_id")
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(FEATURES))
     return fit(x, (got["quality"].to_numpy() > 0).astype(np.float64))
 
 
 def add_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with a further column: the score of `text`."""
+    bound_batches(docs.sparkSession)
     schema = docs.withColumn(name, F.lit(0.0)).schema
 
     def work(stream):
@@ -220,6 +223,7 @@ def add_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
+    bound_batches(docs.sparkSession)
     model = learn(docs, labels, sample)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, score double"
