@@ -13,7 +13,7 @@ the DC coefficient of each luminance block is kept: block by block it is the mea
 which makes the image's thumbnail at an eighth of its size.
 
 Cases: a null text is an empty payload, and an empty payload is 64 bytes 0. Very long texts fill further images. Equal
-texts give equal media. Repeated rows and null doc_ids are kept as they are. Extra columns are ignored. A scan that
+texts give equal media. Repeated rows and null doc_ids are kept as they are. Extra columns are ignored. Null and empty media are read as nulls. A scan that
 ends early gives 0 bits; markers that contradict each other raise ValueError.
 """
 
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlark.llm import _words as W
+from ledgerlark.llm._shared import bound_batches
 
 UNIT = 64
 ROW = 64  #: blocks in a row of an image
@@ -350,6 +351,7 @@ def thumbnail_hash(grid: np.ndarray) -> str:
 
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (binary) of every row."""
+    bound_batches(docs.sparkSession)
 
     def work(stream):
         for batch in stream:
@@ -371,6 +373,7 @@ def _read(media: list[bytes]):
 
 def read(media: DataFrame) -> DataFrame:
     """doc_id, width, height, images, thumbnail (binary, a byte for each block) and thumbnail_hash of every row of (doc_id, media) that store() made."""
+    bound_batches(media.sparkSession)
     schema = "doc_id long, width int, height int, images int, thumbnail binary, thumbnail_hash string"
     names = ["doc_id", "width", "height", "images", "thumbnail", "thumbnail_hash"]
 
@@ -378,9 +381,11 @@ def read(media: DataFrame) -> DataFrame:
         for batch in stream:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                rows = list(_read(part.column("media").to_pylist()))
+                stored = part.column("media").to_pylist()
+                found = _read([m for m in stored if m])
+                rows = [next(found) if m else (None,) * 5 for m in stored]
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[0], pa.binary()), pa.array(cols[4])], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[0], pa.binary()), pa.array(cols[4], pa.string())], names)
 
     return media.select("doc_id", "media").mapInArrow(work, schema)
 
@@ -390,6 +395,7 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 def digests(docs: DataFrame) -> DataFrame:
     """Stores every text, reads the stored bytes back, and digests both."""
+    bound_batches(docs.sparkSession)
 
     def work(stream):
         for batch in stream:

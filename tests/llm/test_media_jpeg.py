@@ -104,3 +104,9 @@ def test_three_components_with_ac(interval):
     ((image, thumbnail),) = M.decode([media])[0]
     assert (image.width, image.height) == (width, height)
     assert (thumbnail == np.clip(grid[:3, :5] * 2 + 128, 0, 255)).all()
+
+
+def test_missing_media_read_as_nulls(spark):
+    media = M.store(spark.createDataFrame([(1, "text")], "doc_id long, text string")).select("doc_id", "media").unionByName(spark.createDataFrame([(2, None), (3, b"")], "doc_id long, media binary"))
+    out = {x.doc_id: x for x in M.read(media.coalesce(1)).collect()}
+    assert out[1].width == 512 and all(out[d].width is None and out[d].thumbnail is None and out[d].thumbnail_hash is None for d in (2, 3))
