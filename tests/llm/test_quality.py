@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -63,8 +64,57 @@ def test_quantiles_of_merged_sketches(spark):
     parts = R.sketch(measured.filter("doc_id < 100")).unionByName(R.sketch(measured.filter("doc_id >= 100")))
     assert R._fences(parts, ["lang"]).first() == whole
     x = np.array([t.count("w") / (t.count("w") + 20) for _, t, _, _ in rows])
-    want = np.quantile(x, 0.5) + R.SPREAD * (np.quantile(x, 0.75) - np.quantile(x, 0.5)) + 2.0
-    assert abs(whole.max_word_length - want) < 0.15
+    want = np.log(np.quantile(x, 0.5)) + R.SPREAD * (np.log(np.quantile(x, 0.75)) - np.log(np.quantile(x, 0.5)))
+    assert abs(whole.max_word_length - want) < 2 * R.SPREAD * np.log(R.GAMMA)
+
+
+def exact_verdicts(rows, measured):
+    """doc_id -> kept, by quantiles of the bins of all values, sorted."""
+    bin_of = lambda x: math.ceil(math.log(x) / math.log(R.GAMMA)) if x > 0 else R.ZERO
+
+    def fence(group, m):
+        x = sorted(bin_of(v[m]) for v in group)
+        at = lambda q: x[max(0, math.ceil(q * len(x) - 1e-9) - 1)]
+        mid = at(0.5)
+        spread = next(((at(q) - mid) * scale for q, scale in R.UPPER if at(q) > mid), 0.0)
+        return None if mid == R.ZERO else mid * math.log(R.GAMMA) + max(R.SPREAD * spread * math.log(R.GAMMA), R.leeway(R.MEASURES[m][1])) + math.log(2 / (R.GAMMA + 1))
+
+    def drawn(own, n, towards):
+        known = [v for v in (own, towards) if v is not None]
+        return n / (n + R.SHRINK) * own + R.SHRINK / (n + R.SHRINK) * towards if len(known) == 2 else known[0] if known else None
+
+    out = {}
+    for x in measured:
+        own = [y for y in measured if (y.lang, y.source) == (x.lang, x.source)]
+        lang = [y for y in measured if y.lang == x.lang]
+        base = x.n_words < 20 or 100 * x.n_repeat_words > 30 * x.n_words
+        high = {m: drawn(fence(own, m), len(own), drawn(fence(lang, m), len(lang), fence(measured, m))) for m in R.MEASURES}
+        out[x.doc_id] = not base and all(h is None or x[m] <= R.GAMMA * math.exp(h) for m, h in high.items())
+    return out
+
+
+def test_verdicts_against_quantiles_of_all_values(spark):
+    r = random.Random(8)
+    rows = []
+    for d in range(160):
+        w = [r.choice(["plain", "words", "Name", "a", "tree,"]) + r.choice(["", "", "", "#", "!!"][: 3 + d % 3]) for _ in range(r.randrange(15, 90))]
+        rows.append((d, " ".join(w) + "\n" + " ".join(w[:9]) * (d % 7 == 0), r.choice(["en", "de", None]), r.choice(["s", "t", None])))
+    rows += [(200 + d, "one text that many share, word for word, as it is a copy of what a source has had in its first place " * 2, "en", "copies") for d in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = exact_verdicts(rows, R.measure(df).collect())
+    got = {x.doc_id: x.kept for x in R.verdicts(df).collect()}
+    assert got == want and len(set(want.values())) == 2
+
+
+def test_no_cutoff_is_fixed(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    fences = R.thresholds(R.measure(docs)).collect()
+    assert all(len({f[f"max_{m}"] for f in fences}) > len(fences) // 2 for m in R.MEASURES)
+    quality = {x.doc_id: x.quality for x in labels.collect()}
+    out = R.verdicts(docs).collect()
+    good = [x.kept for x in out if quality.get(x.doc_id) == 1 and not x.base_failed]
+    bad = [x.kept for x in out if quality.get(x.doc_id) == 0]
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.03 * len(bad)
 
 
 def test_rules_of_no_rows(spark):
@@ -97,3 +147,13 @@ def test_gam_query(spark):
     none = G.scores(docs, labels.limit(0)).collect()
     assert {x.score for x in none} == {0.5}
     assert G.scores(docs.limit(0), labels).collect() == []
+
+
+def test_gam_doesn_t_depend_on_the_order_of_repeated_ids(spark):
+    rows = [(i % 60, f"{'good words of a text ' * (i % 7 + 1)}{'!#' * (i % 5)}") for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    found = []
+    for k in (0, 77, 180):
+        docs = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string").repartition(3)
+        found.append(sorted((x.doc_id, x.score) for x in G.scores(docs, labels).collect()))
+    assert found[0] == found[1] == found[2]
