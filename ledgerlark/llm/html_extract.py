@@ -1,18 +1,23 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that each block of the page becomes a line. Lines in menus, headers, footers,
-sidebars, notices, adverts, forms and comments, by element, role or class, go. If the page marks an
-article, all its other lines are kept, and lines outside it go. Else a line weighs as many
-characters as it has outside links, and the weights are summed over sliding windows of WINDOW lines. The text
-surges where a window has SURGE characters or more, and dives where the following
-windows have none; lines from the first to the last of such a stretch that weigh anything are kept, links
-among them too. So are shorter stretches if no stretch of the page surges; else of these the lines that are
-at least half outside links and in an element of their own, not loose in a div.
+Markup is stripped so that each block of the page becomes a line, and a line weighs as many characters as it has,
+those in links a quarter. Lines of paragraphs, headings and the like that aren't mostly links weigh STRUCTURE
+more, loose text weighs half. The weights are summed over sliding windows of WINDOW lines. The text surges where a window
+reaches SURGE, or half of the page's heaviest window if none does, and dives where a window falls below DIVE; lines
+from the first to the last of such a stretch are the text, whatever they weigh. At
+its ends, lines that are mostly links, copyright lines and, where most of the stretch isn't loose text, short loose lines are off again.
+
+Windows run over the lines of one region. Menus, headers, footers, sidebars, forms and dialogs, by element or role, and
+elements whose class or id consists of words for such parts weigh nothing and are no part of any region. An element whose
+class or id only contains such a word (share-prices) is a region of its own, whose lines weigh a quarter. If the page marks an article, its
+lines weigh STRUCTURE more each, links too, so that the surge is where it begins and the dive where it ends; lines outside weigh
+nothing. A main element confines the regions in the same way, but adds no weight.
 
 Character references are decoded as HTML5 says, white space inside a block becomes one
-space, and blocks are joined by newlines.
+space, and blocks are joined by newlines. Reading a page takes time in proportion to its length, whatever its markup.
 
-Cases: null and empty pages have an empty text. Unclosed elements end with the element around them. Repeated rows and null page_ids
+Cases: null and empty pages have an empty text, and so have pages of nothing but links. Unclosed elements end with the element around
+them. A tag that the page's end cuts is no text; where a quote is never closed, the tag ends at the next >. Repeated rows and null page_ids
 are kept. Very long pages are read as a whole. Extra columns are ignored.
 """
 
@@ -20,13 +25,22 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerlark.llm._shared import bound_batches
+
 WINDOW = 3
 SURGE = 40
+DIVE = 4
+STRUCTURE = 40
+LINKED = 0.25  #: weight of a character in a link
+LOOSE = 0.5  #: weight of a character of loose text
+DOUBTFUL = 0.25  #: weight of a character in an element that may not belong to the text
 
 # Elements by their part in a page.
 UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas select button textarea".split())
@@ -36,168 +50,286 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-ARTICLE = frozenset("article main".split())
+TEXTUAL = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 CLOSES_P = BLOCK - frozenset("option".split())
 SIBLINGS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 KEEPS = {"li": frozenset("ul ol menu".split()), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table", "tr"]), "th": frozenset(["table", "tr"]), "option": frozenset(["select"])}
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+# Words for parts that aren't the main text, and words that say nothing of the kind beside them.
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+NEUTRAL_WORDS = frozenset("area bar block body bottom box button buttons col column container content footer form group header html icons inner inline item items js large left link links list main mobile page panel post posts right row section signup site slot small thread top unit user users wrap wrapper x xs".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+PLAIN_END = re.compile(r"[^>\"']*>")
+VALUE = re.compile(r"[^>=]*(?:=\s*)?")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-OPEN_END = re.compile(r"</?[a-zA-Z][^<>]*\Z")  #: a tag that the page's end cuts
-LOOSE = frozenset(["", "html", "div", "section", "center"])
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
+LEGAL = re.compile(r"\s*(?:©|\(c\)\s|copyright\b|all rights reserved)", re.I)
+
+
+class Line(NamedTuple):
+    text: str
+    plain: int  #: characters outside links
+    region: tuple  #: article, main and doubtful element that it is in
+    apart: bool
+    element: str
 
 
-def _apart(attributes: str) -> bool:
-    """Do class, id or role say that the element isn't part of the main text?"""
+def _doubt(attributes: str) -> int:
+    """Do class, id or role say that the element isn't part of the main text? 2: yes, 1: perhaps."""
+    out = 0
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ASIDE_ROLES):
-            return True
-        if name in ("class", "id") and not ASIDE_WORDS.isdisjoint(WORD.findall(value)):
-            return True
-    return False
-
-
-def lines(page: str) -> list[tuple[str, int, bool, bool, str]]:
-    """(text, characters outside links, apart, in an article, element) of each block of the page."""
-    out: list[tuple[str, int, bool, bool, str]] = []
-    text: list[str] = []
-    outside: list[str] = []  # of the text, what isn't in links
-    block = ""
-    stack: list[tuple[str, bool, bool, bool]] = []  # element; unseen, apart, article: inside of it
-    unseen = apart = article = False
-    links = 0
-
-    def flush():
-        nonlocal block
-        line = SPACE.sub(" ", "".join(text)).strip()
+            return 2
+        if name in ("class", "id"):
+            for one in value.split():
+                words = WORD.findall(one)
+                if not ASIDE_WORDS.isdisjoint(words):
+                    if all(w in ASIDE_WORDS or w in NEUTRAL_WORDS for w in words):
+                        return 2
+                    out = 1
+    return out
+
+
+def _tag_end(page: str, at: int) -> int:
+    """The index of the > that ends the tag; -1 if the page ends before."""
+    if m := PLAIN_END.match(page, at):
+        return m.end() - 1
+    while True:
+        at = VALUE.match(page, at).end()
+        if at >= len(page):
+            return -1
+        if page[at] == ">":
+            return at
+        if page[at] in "\"'":
+            # a quote opens a value behind = only; elsewhere it's part of a name
+            close = page.find(page[at], at + 1)
+            if close < 0:
+                return page.find(">", at)
+            at = close + 1
+
+
+class Reader:
+    """Cuts a page into lines. Where elements are open is kept by name, so no tag looks through the whole stack."""
+
+    def __init__(self):
+        self.lines: list[Line] = []
+        self.text: list[str] = []
+        self.plain: list[str] = []
+        self.element = ""
+        self.stack: list[tuple] = []  # name; unseen, apart, region around it
+        self.open: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.unseen = self.apart = False
+        self.region: tuple = (0, 0, 0)
+        self.links = self.count = 0
+
+    def flush(self):
+        line = SPACE.sub(" ", "".join(self.text)).strip()
         if line:
-            out.append((line, len(SPACE.sub(" ", "".join(outside)).strip()), apart, article, block))
-        text.clear()
-        outside.clear()
-        block = ""
-
-    def close(depth: int):
-        nonlocal unseen, apart, article, links
-        while len(stack) > depth:
-            name, was_unseen, was_apart, was_article = stack.pop()
+            self.lines.append(Line(line, len(SPACE.sub(" ", "".join(self.plain)).strip()), self.region, self.apart, self.element))
+        self.text.clear()
+        self.plain.clear()
+        self.element = ""
+
+    def close(self, depth: int):
+        while len(self.stack) > depth:
+            name, unseen, apart, region = self.stack.pop()
+            self.open[name].pop()
             if name in BLOCK:
-                flush()
-            links -= name == "a"
-            unseen, apart, article = was_unseen, was_apart, was_article
+                self.flush()
+                self.blocks.pop()
+            self.links -= name == "a"
+            self.unseen, self.apart, self.region = unseen, apart, region
+
+    def last(self, names) -> int:
+        return max((self.open[n][-1] for n in names if self.open[n]), default=-1)
 
-    def add(piece: str):
-        nonlocal block
-        if piece and not unseen:
+    def add(self, piece: str):
+        if piece and not self.unseen:
             if "&" in piece:
                 piece = html.unescape(piece)
-            text.append(piece)
-            if not links:
-                outside.append(piece)
-            if not block and not piece.isspace():
-                block = next((name for name, *_ in reversed(stack) if name in BLOCK), "")
+            self.text.append(piece)
+            if not self.links:
+                self.plain.append(piece)
+            if not self.element and self.blocks and not piece.isspace():
+                self.element = self.stack[self.blocks[-1]][0]
 
+    def end(self, name: str):
+        if self.open[name]:
+            self.close(self.open[name][-1])
+        elif name in BLOCK:
+            self.flush()
+
+    def begin(self, name: str, attributes: str):
+        if name in VOID:
+            if name == "hr":
+                self.flush()
+            elif name == "br":
+                self.add(" ")
+            return
+        if name in CLOSES_P and self.open["p"]:
+            # formatting that the paragraph left open goes on in none of the next blocks
+            p = self.open["p"][-1]
+            if p >= (self.blocks[-1] if self.blocks else 0):
+                self.close(p)
+        if name in SIBLINGS:
+            before = self.last(SIBLINGS[name])
+            if before > self.last(KEEPS[name]):
+                self.close(before)
+        if name in BLOCK:
+            self.flush()
+        if attributes.endswith("/") and name not in BLOCK:
+            return
+        self.stack.append((name, self.unseen, self.apart, self.region))
+        self.open[name].append(len(self.stack) - 1)
+        if name in BLOCK:
+            self.blocks.append(len(self.stack) - 1)
+        self.links += name == "a"
+        article, main, doubtful = self.region
+        self.count += 1
+        if name == "article":
+            article = article or self.count
+        elif name == "main":
+            main = main or self.count
+        elif name not in ("html", "body"):
+            doubt = _doubt(attributes) if attributes else 0
+            # a header inside an article belongs to it, unless it says otherwise
+            self.apart = self.apart or doubt == 2 or (name in ASIDE and not (name == "header" and article))
+            if doubt == 1:
+                doubtful = self.count
+        self.region = (article, main, doubtful)
+        self.unseen = self.unseen or name in UNSEEN
+
+
+def lines(page: str) -> list[Line]:
+    """The lines of a page: one for each block with text."""
+    r = Reader()
     at, size = 0, len(page)
     while at < size:
-        m = TOKEN.search(page, at)
-        if not m:
-            add(OPEN_END.sub("", page[at:]))
+        lt = page.find("<", at)
+        if lt < 0:
+            r.add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
-            continue
-        name = name.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
+        following = page[lt + 1 : lt + 2]
+        if following in ("!", "?"):
+            r.add(page[at:lt])
+            if page.startswith("<!--", lt):
+                end, width = page.find("-->", lt + 4), 3
+            elif page.startswith("<![CDATA[", lt):
+                end, width = page.find("]]>", lt), 3
             else:
-                if name in BLOCK:
-                    flush()
+                end, width = page.find(">", lt), 1
+            at = size if end < 0 else end + width
             continue
-        if name in VOID:
-            if name == "hr":
-                flush()
-            elif name == "br":
-                add(" ")
+        m = TAG.match(page, lt)
+        if not m:
+            r.add(page[at : lt + 1])
+            at = lt + 1
             continue
-        if name in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    # formatting that the paragraph left open goes on in none of the next blocks
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
-        if name in SIBLINGS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in KEEPS[name]:
-                    break
-                if stack[k][0] in SIBLINGS[name]:
-                    close(k)
-                    break
-        if name in BLOCK:
-            flush()
-        if m[3].endswith("/") and name not in BLOCK:
+        r.add(page[at:lt])
+        gt = _tag_end(page, m.end())
+        if gt < 0:
+            break
+        at = gt + 1
+        name = m[2].lower()
+        if m[1]:
+            r.end(name)
             continue
-        stack.append((name, unseen, apart, article))
-        links += name == "a"
-        inside = article or name in ARTICLE
-        if name in UNSEEN:
-            unseen = True
-        # a header inside an article belongs to it, unless it says otherwise
-        apart = apart or (name in ASIDE and not (name == "header" and article)) or (name not in ("html", "body", "article", "main") and _apart(m[3]))
-        article = inside
+        r.begin(name, page[m.end() : gt].strip())
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            end = RAW_END[name].search(page, at)
             at = end.start() if end else size
-    close(0)
-    flush()
-    return out
+    r.close(0)
+    r.flush()
+    return r.lines
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page."""
-    found = lines(page or "")
-    marked = any(article and not apart for _, _, apart, article, _ in found)
-    if marked:
-        return "\n".join(line for line, _, apart, article, _ in found if article and not apart)
-    weight = np.array([0 if apart else n for _, n, apart, *_ in found], np.int64)
-    if not weight.any():
-        return ""
-    # block i: lines i..i + WINDOW - 1
-    total = np.concatenate(([0], np.cumsum(weight), np.full(WINDOW, weight.sum())))
-    block = total[WINDOW:][: len(weight)] - total[: len(weight)]
-    surges = block.max() >= SURGE
-    keep = np.zeros(len(weight), bool)
-    i = 0
-    while i < len(block):
-        if block[i] == 0:
+def weight(line: Line) -> float:
+    """How much a line counts in its windows."""
+    linked = len(line.text) - line.plain
+    if line.region[0] and not line.region[2]:
+        return STRUCTURE + line.plain + LINKED * linked
+    textual = line.element in TEXTUAL
+    out = (1.0 if textual else LOOSE) * (line.plain + LINKED * linked)
+    if line.region[2]:
+        return DOUBTFUL * out
+    return out + STRUCTURE * (textual and 2 * line.plain >= len(line.text) and not LEGAL.match(line.text))
+
+
+def stretches(weights: np.ndarray, surge: float) -> list[tuple[int, int]]:
+    """First line and last line + 1 of each stretch from a surge to the dive behind it."""
+    total = np.concatenate(([0.0], np.cumsum(weights)))
+    n = len(weights)
+    block = total[np.minimum(np.arange(n) + WINDOW, n)] - total[:n]
+    out, i = [], 0
+    while i < n:
+        if block[i] < surge:
             i += 1
             continue
+        # lines before the surge whose windows have not dived belong to it
+        first = i
+        while first > (out[-1][1] if out else 0) and block[first - 1] >= DIVE:
+            first -= 1
         dive = i
-        while dive < len(block) and block[dive] > 0:
+        while dive < n and block[dive] >= DIVE:
             dive += 1
-        heavy = i + np.flatnonzero(weight[i:dive])
-        if not surges or block[i:dive].max() >= SURGE:
-            keep[heavy[0] : heavy[-1] + 1] = True
-        else:
-            keep[[k for k in heavy if 2 * weight[k] >= len(found[k][0]) and found[k][4] not in LOOSE]] = True
+        out.append((first, dive))
         i = dive
-    return "\n".join(line for (line, _, apart, *_), k in zip(found, keep) if k and not apart)
+    return out
+
+
+def _trimmed(first: int, last: int, found: list[Line], weights: np.ndarray) -> tuple[int, int]:
+    """The stretch without what only touches the text at its ends."""
+    textual = np.array([x.element in TEXTUAL for x in found[first:last]])
+    least = LOOSE * STRUCTURE if 2 * weights[first:last][textual].sum() >= weights[first:last].sum() else 0.0
+
+    def off(k: int) -> bool:
+        line = found[k]
+        if line.region[0] and not line.region[2]:
+            return False
+        linked = 2 * line.plain < len(line.text)
+        return weights[k] == 0 or linked or LEGAL.match(line.text) is not None or (line.element not in TEXTUAL and weights[k] < least)
+
+    while first < last and off(first):
+        first += 1
+    while last > first and off(last - 1):
+        last -= 1
+    return first, last
+
+
+def main_text(page: str | None) -> str:
+    """The main text of a page."""
+    found = [x for x in lines(page or "") if not x.apart]
+    for mark in (0, 1):
+        if any(x.region[mark] for x in found):
+            found = [x for x in found if x.region[mark]]
+            break
+    regions: dict[tuple, list[int]] = {}
+    for k, x in enumerate(found):
+        regions.setdefault(x.region, []).append(k)
+    weights = np.array([weight(x) for x in found])
+    if not any(x.plain or x.region[0] for x in found):
+        return ""
+    heaviest = max(float(np.convolve(weights[at], np.ones(WINDOW)).max()) for at in regions.values())
+    surge = SURGE if heaviest >= SURGE else heaviest / 2
+    keep = np.zeros(len(found), bool)
+    for at in regions.values():
+        part, own = [found[k] for k in at], weights[at]
+        for first, last in stretches(own, surge):
+            first, last = _trimmed(first, last, part, own)
+            keep[at[first:last]] = True
+    return "\n".join(x.text for x, k in zip(found, keep) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
+    bound_batches(pages.sparkSession)
     schema = "page_id long, url string, text string, n_chars long"
 
     def work(stream):

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -54,3 +55,37 @@ def test_on_the_pages(spark):
         inner = re.search(r"<article>(.*?)</article>", page.html, re.S)[1]
         blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " ")))).strip() for b in re.split(r"</?(?:p|h1)>", inner)]
         assert got[page.page_id] == "\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<article><div class="share-prices"><p>{LONG}</p><p>{LONG}</p></div><p>x</p></article>', f"{LONG.strip()}\n{LONG.strip()}\nx"),
+        (f'<body><section id="ad-hoc-analysis"><p>{LONG}</p><p>{LONG}</p></section></body>', f"{LONG.strip()}\n{LONG.strip()}"),
+        (f'<article><p>{LONG}</p><div class="share-this">Tell a friend</div><p>x</p></article>', f"{LONG.strip()}\nx"),
+        (f'<article><p>{LONG}</p><ul class="related-posts"><li>{LONG}</ul><section class="comment-list"><p>{LONG}</p></section></article>', LONG.strip()),
+        (f"<body><div><a href=a>Home</a> <a href=b>News</a></div><h1>Title</h1><p>{LONG}</p><p>End.</p><div>© 2024 Site. All rights reserved.</div><div><a href=c>Imprint</a></div></body>", f"Title\n{LONG.strip()}\nEnd."),
+        (f"<main><a href=/in>Login</a><div>Buy now cheap!</div><h1>Title</h1><p>{LONG}</p><div>Buy now cheap!</div></main>", f"Title\n{LONG.strip()}"),
+        (f"<main><h1><a href=x>Linked</a></h1><p>{LONG}</p></main><p>{LONG}</p>", LONG.strip()),
+        (f"<body><div>{LONG}</div><div>Mid.</div><div>{LONG}</div></body>", f"{LONG.strip()}\nMid.\n{LONG.strip()}"),
+        ("<body><p><a href=x>Only a link</a></p></body>", ""),
+        ('<p title="a > b">x</p><p title=it\'s>y</p><p class="open>z</p>', "x\ny\nz"),
+    ],
+)
+def test_surge_and_dive(page, want):
+    assert H.main_text(page) == want
+
+
+def test_windows_decide(monkeypatch):
+    page = f"<body><div>{LONG}</div><div>Mid.</div><div>{LONG}</div>{'<div>x</div>' * 4}<div>far off</div></body>"
+    assert H.main_text(page) == f"{LONG.strip()}\nMid.\n{LONG.strip()}"
+    monkeypatch.setattr(H, "WINDOW", 1)
+    assert H.main_text(page) == f"{LONG.strip()}\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a href=\"", "</x>", "<b>", "<div>", "<li>", "<td><b>", "<!--", "<script>", "<p '", "<ul><b><li></li>", "&", "<"])
+def test_a_long_broken_page_takes_no_longer(piece):
+    began = time.process_time()
+    H.main_text(piece * (1_000_000 // len(piece)))
+    H.main_text("<ul>" + "<b>" * 100_000 + piece * 100_000)
+    assert time.process_time() - began < 12
