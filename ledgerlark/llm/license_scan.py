@@ -3,8 +3,10 @@
 A text is cut into sentences after closing punctuation, at empty lines and where a line begins like a known
 sentence or a list's item. Other line ends, and the prefixes of comments, are joined over; where the joined
 lines are no known sentence, each line counts by itself. Only sentences with a key word are looked at further. They are normalised (lower case, spelling of licence,
-white space, quotes, punctuation at the ends) and mapped to the identifier of a known licence
-sentence. The sequence of a document's identifiers, in order, is then matched against ordered
+white space, quotes, punctuation), and names of licences, versions, subjects (this file is) and verbs (released, distributed) are
+put in one form each. The normalised sentence is then looked up: whole, by its first words, or as what stands before and behind a licence's name.
+What is found is the identifier of a known licence sentence, with its version; so a sentence that denies
+a licence is none. The sequence of a document's identifiers, in order, is then matched against ordered
 rules: a rule names identifiers that follow each other and the licence that they stand for. The first
 rule that matches at a place takes its identifiers; what no rule takes is reported as unmatched.
 
@@ -19,48 +21,65 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerlark.llm._shared import bound_batches
+
 # The words without which a sentence states no licence.
-KEYS = r"licen[cs]|copyright|copyleft|redistribut|spdx|warrant|permission|permitted|merchantab|public domain|all rights reserved|liable|endorse|creative commons|as is"
-
-# Known sentences, as patterns of the normalised sentence. The first that matches counts.
-VERSION = r"(?:,? (?:version|v\.?) ?(?P<v>[0-9]+(?:\.[0-9]+)*))"
-FSF = r"(?:,? as published by the free software foundation)?[,;:]? ?(?:either )?"
-LATER = r"\b.*?\b(?:version|v\.?) ?(?P<v>[0-9]+(?:\.[0-9]+)*)\b.*?\b(?:or later|or newer|any later version).*"
-SENTENCES: list[tuple[str, str]] = [
-    ("SPDX", r"spdx-license-identifier: ?(?P<v>[a-z0-9.+-]+(?: (?:and|or|with) [a-z0-9.+-]+)*)"),
-    ("APACHE", r"(?:this work is |this (?:file|software|project) is )?licensed under the apache (?:software )?license" + VERSION + "?.*"),
-    ("APACHE_COPY", r"you may obtain a copy of the license at.*"),
-    ("APACHE_USE", r"you may not use this file except in compliance with the license"),
-    ("APACHE_BASIS", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis.*"),
-    ("APACHE_LANG", r"see the license for the specific language governing permissions and limitations under the license"),
-    ("MIT", r"(?:this (?:work|file|software|project) is )?(?:released|licensed|distributed|available) under the (?:terms of the )?mit license.*"),
-    ("MIT_GRANT", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software.*"),
-    ("MIT_NOTICE", r"the above copyright notice and this permission notice shall be included in all copies.*"),
-    ("ISC_GRANT", r"permission to use, copy, modify,? and/?(?:or)? distribute this software for any purpose with or without fee is hereby granted.*"),
-    ("AS_IS", r"the software is provided as is.*"),
-    ("LIABLE", r"in no event shall the (?:authors?|copyright (?:holders?|owners?)).*be liable.*"),
-    ("GPL_COPY", r"you should have received a copy of the (?:gnu )?(?:affero |lesser |library )?general public license.*"),
-    ("AGPL_LATER", r".*\b(?:under|of) the (?:terms of the )?(?:gnu )?affero general public license" + LATER),
-    ("AGPL", r".*\b(?:under|of) the (?:terms of the )?(?:gnu )?affero general public license(?:" + FSF + VERSION + ")?.*"),
-    ("LGPL_LATER", r".*\b(?:under|of) the (?:terms of the )?(?:gnu )?(?:lesser|library) general public license" + LATER),
-    ("LGPL", r".*\b(?:under|of) the (?:terms of the )?(?:gnu )?(?:lesser|library) general public license(?:" + FSF + VERSION + ")?.*"),
-    ("GPL_LATER", r".*\b(?:under|of) the (?:terms of the )?(?:gnu )?general public license" + LATER),
-    ("GPL", r".*\b(?:under|of) the (?:terms of the )?(?:gnu )?general public license(?:" + FSF + VERSION + ")?.*"),
-    ("LATER", r"(?:either version (?P<v>[0-9]+(?:\.[0-9]+)*) of the license, )?or \(?at your option\)? any later version.*"),
-    ("MPL", r".*\b(?:under|of|to) the (?:terms of the )?mozilla public license" + VERSION + "?.*"),
-    ("BSD_GRANT", r"redistribution and use in source and binary forms, with or without modification, are permitted.*"),
-    ("BSD_SOURCE", r"(?:1\. |\* )?redistributions of source code must retain.*"),
-    ("BSD_BINARY", r"(?:2\. |\* )?redistributions in binary form must reproduce.*"),
-    ("BSD_ENDORSE", r"(?:3\. |\* )?neither the name of.*endorse or promote.*"),
-    ("BSD_AS_IS", r"this software is provided by.*as is.*"),
-    ("BSD", r".*\bunder (?:the |a )?(?:(?P<v>[234])-clause )?bsd(?:-style)? license.*"),
-    ("CC0", r".*\bcc0\b.*|.*creative commons zero.*"),
-    ("CC", r".*\b(?:under|by) (?:a |the )?(?:cc|creative commons) (?P<v>by(?:-(?:nc|nd|sa))*(?: [0-9]+\.[0-9]+)?).*"),
-    ("PUBLIC_DOMAIN", r".*\b(?:in|into|to) the public domain.*"),
-    ("UNLICENSE", r"this is free and unencumbered software.*"),
-    ("RESERVED", r"(?:.*\b)?all rights reserved"),
-    ("COPYRIGHT", r"copyright (?:\(c\)|©|[0-9]{4}).*|(?:\(c\)|©) ?copyright.*"),
-]
+KEYS = r"licen[cs]|copyright|copyleft|redistribut|spdx|warrant|permission|permitted|merchantab|public domain|all rights reserved|liable|endorse|creative commons|as is|\bcc0\b|\b[al]?gpl"
+
+# Names of licences, without "the" in front and "license" behind, in lower case.
+NAMES: dict[str, str] = {
+    "gnu affero general public": "AGPL", "affero general public": "AGPL", "gnu agpl": "AGPL", "agpl": "AGPL",
+    "gnu lesser general public": "LGPL", "lesser general public": "LGPL", "gnu library general public": "LGPL", "library general public": "LGPL", "gnu lgpl": "LGPL", "lgpl": "LGPL",
+    "gnu general public": "GPL", "general public": "GPL", "gnu gpl": "GPL", "gpl": "GPL",
+    "apache software": "APACHE", "apache": "APACHE", "mozilla public": "MPL", "mpl": "MPL", "mit": "MIT", "isc": "ISC", "unlicense": "UNLICENSE_NAME",
+    "2-clause bsd": "BSD2", "bsd 2-clause": "BSD2", "bsd-2-clause": "BSD2", "simplified bsd": "BSD2", "4-clause bsd": "BSD4", "bsd 4-clause": "BSD4", "bsd-4-clause": "BSD4", "original bsd": "BSD4",
+    "3-clause bsd": "BSD3", "bsd 3-clause": "BSD3", "bsd-3-clause": "BSD3", "new bsd": "BSD3", "modified bsd": "BSD3", "bsd-style": "BSD3", "bsd": "BSD3",
+    "cc0": "CC0", "creative commons zero": "CC0", "creative commons cc0": "CC0",
+}
+# What a sentence that names a licence has in front of the name.
+HEADS = frozenset(
+    [
+        "licensed under", "under", "is under", "are under", "free software licensed under", "free software under", "subject to", "it under", "modify it under", "redistribute it and/or modify it under",
+        "you can redistribute it and/or modify it under", "free software you can redistribute it and/or modify it under", "you may use distribute and modify this code under", "license", "licensed",
+    ]
+)
+_FSF = "as published by the free software foundation"
+# What it has behind the name, where V is a version. True: any later version will do as well.
+RESTS: dict[str, bool] = {"": False, "V": False, "only": False, "V only": False, "alone": False, _FSF: False} | {
+    f"{a}{b}": later for a in ("", f"{_FSF} ") for b, later in [("V of the license", False), ("either V of the license", False), *((f"{v}or {o}any later version", True) for v in ("", "V ", "either V ", "V of the license ", "either V of the license ") for o in ("", "at your option ")), *((f"{v}or {w}", True) for v in ("", "V ", "V of the license ") for w in ("later", "newer", "above"))]
+}
+# What may follow that and says nothing.
+TAILS = ("the license", "license", "see the license file for details", "see the license file for more details", "see license for details", "see the accompanying license file", "see license", "see license file", "see the license file", "with the following terms", "international", "unported", "generic")
+# The head of the sentence that only repeats a licence's name.
+COPY_HEAD = "you should have received a copy of"
+
+# Whole sentences, without their subject.
+WHOLE: dict[str, str] = {
+    "either V of the license or at your option any later version": "LATER", "or at your option any later version": "LATER", "or any later version": "LATER",
+    "in the public domain": "PUBLIC_DOMAIN", "public domain": "PUBLIC_DOMAIN", "released into the public domain": "PUBLIC_DOMAIN", "licensed into the public domain": "PUBLIC_DOMAIN", "dedicated to the public domain": "PUBLIC_DOMAIN",
+    "hereby dedicated to the public domain": "PUBLIC_DOMAIN", "placed in the public domain": "PUBLIC_DOMAIN", "hereby placed in the public domain": "PUBLIC_DOMAIN", "placed into the public domain": "PUBLIC_DOMAIN", "hereby released into the public domain": "PUBLIC_DOMAIN",
+    "free and unencumbered software released into the public domain": "UNLICENSE", "free and unencumbered software licensed into the public domain": "UNLICENSE", "all rights reserved": "RESERVED",
+}
+# First words of sentences whose ends differ, and words that have to follow somewhere.
+OPENINGS: dict[str, tuple[str, str]] = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software": ("MIT_GRANT", ""),
+    "the above copyright notice and this permission notice shall be included in all copies": ("MIT_NOTICE", ""),
+    "permission to use copy modify and/or distribute this software for any purpose with or without fee is hereby granted": ("ISC_GRANT", ""),
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted": ("ISC_GRANT", ""),
+    "the software is provided as is": ("AS_IS", ""),
+    "in no event shall the author": ("LIABLE", "liable"),
+    "in no event shall the authors": ("LIABLE", "liable"),
+    "in no event shall the copyright": ("LIABLE", "liable"),
+    "redistribution and use in source and binary forms with or without modification are permitted": ("BSD_GRANT", ""),
+    "redistributions of source code must retain": ("BSD_SOURCE", ""),
+    "redistributions in binary form must reproduce": ("BSD_BINARY", ""),
+    "neither the name of": ("BSD_ENDORSE", "endorse or promote"),
+    "this software is provided by": ("BSD_AS_IS", "as is"),
+    "you may not use this file except in compliance with the license": ("APACHE_USE", ""),
+    "you may obtain a copy of the license at": ("APACHE_COPY", ""),
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis": ("APACHE_BASIS", ""),
+    "see the license for the specific language governing permissions and limitations under the license": ("APACHE_LANG", ""),
+}
 
 # Rules in order; a name ends in ? where the sentence may be missing. %s is the first version that its sentences give, after its default.
 RULES: list[tuple[str, str | None, tuple[str, ...]]] = [
@@ -81,10 +100,14 @@ RULES: list[tuple[str, str | None, tuple[str, ...]]] = [
     ("MPL-%s", "2.0", ("MPL",)),
     ("BSD-3-Clause", None, ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_ENDORSE", "BSD_AS_IS?", "LIABLE?")),
     ("BSD-2-Clause", None, ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_AS_IS?", "LIABLE?")),
-    ("BSD-%s-Clause", "3", ("BSD",)),
+    ("BSD-2-Clause", None, ("BSD2",)),
+    ("BSD-3-Clause", None, ("BSD3",)),
+    ("BSD-4-Clause", None, ("BSD4",)),
+    ("ISC", None, ("ISC",)),
     ("CC0-1.0", None, ("CC0",)),
     ("CC-%s", "BY-4.0", ("CC",)),
     ("Unlicense", None, ("UNLICENSE", "PUBLIC_DOMAIN?")),
+    ("Unlicense", None, ("UNLICENSE_NAME",)),
     ("public-domain", None, ("PUBLIC_DOMAIN",)),
     ("proprietary", None, ("COPYRIGHT?", "RESERVED")),
 ]
@@ -98,7 +121,20 @@ CLOSED = re.compile(r"[.!?;:][\"'”)\s]*$")
 BEGINS = re.compile(
     r"(?:[-•(]?\(?[0-9a-z][.)] )|(?=[A-Z(©\"“])[\"“]?(?i:spdx-|(?:this (?:work|file|software|project|program|library) is )?(?:released|licensed|distributed|available|free software|free and unencumbered|provided|dedicated) |this (?:work|file|software|project|program|library) is |everything |the (?:above copyright notice|software is provided)|permission (?:is hereby|to use)|you (?:may|should) |unless required|see the license|in no event|either version|redistributions? |neither the name|all rights reserved|copyright (?:\(c\)|©|[0-9])|(?:\(c\)|©) ?copyright)"
 )
-KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
+VERSIONED = r"(?:[ -]?(?:version|v\.?)? ?(?P<v>[0-9]+(?:\.[0-9]+)*)(?P<plus>\+)?)"
+NAME = re.compile(r"(?<![\w-])(?:the |an? )?(?:(?P<cc>(?:creative commons|cc)[ -](?P<by>(?:attribution|by)(?:[ -](?:noncommercial|nc|sharealike|sa|noderivatives|noderivs|nd))*))|(?P<name>" + "|".join(sorted(map(re.escape, NAMES), key=len, reverse=True)) + r"))(?!(?!v\d)[a-z]|-[a-z])(?: license)?" + VERSIONED + "?(?: license)?")
+# The codes of the terms of Creative Commons.
+CC_CODES = {"attribution": "by", "noncommercial": "nc", "sharealike": "sa", "noderivatives": "nd", "noderivs": "nd"}
+VERSION = re.compile(r"\b(?:version|v\.?) ?([0-9]+(?:\.[0-9]+)*)")
+ITEM = re.compile(r"^(?:[*•-] ?|\(?[0-9a-z][.)] )+")
+SUBJECT = re.compile(r"^(?:(?:this|the) (?:work|file|software|project|program|library|package|module|source code(?: form)?|code|document) (?:is |are )?(?=(?:hereby |licensed|released|distributed|available|made |provided |published|free |subject |under |in the public|public domain|dedicated|placed|you can))|this is (?=free )|[\w .-]{1,60}? is (?=free software[ ,:;]))")
+UNDER = re.compile(r"\b(under|subject to|of) (?:the |an? )?(?:terms|conditions|terms and conditions)(?: and conditions)? of ")
+VERB = re.compile(r"\b(?:dual-)?(?:licensed|released|distributed|available|made available|published|provided|offered)(?= under\b)")
+MARKS = re.compile(r"[,;:()\[\]\"']+|(?<!\S)[-–—]+(?!\S)")
+UNDER_NAME = re.compile(r"(?:under|license:?|licensed) *(?:the |an? )?$")
+OPENING_SIZES = sorted({len(k.split()) for k in OPENINGS})
+SPDX = re.compile(r"spdx-license-identifier: ?(?P<v>[a-z0-9.+-]+(?: (?:and|or|with) [a-z0-9.+-]+)*)")
+COPYRIGHT = re.compile(r"copyright (?:\(c\)|©|[0-9]{4}).*|(?:\(c\)|©) ?copyright.*")
 STRIP = " \t\r.,;:!\"'*#/-<>"
 
 
@@ -130,12 +166,72 @@ def _sentences(text: str):
         yield open_
 
 
+def canonical(sentence: str) -> tuple[str, str, str, str | None]:
+    """The normalised sentence in one form, parted at the name of a licence: what is in front, the name's identifier, what is behind, and the first version. Without a name all is in front."""
+    s = ITEM.sub("", sentence)
+    version = None
+
+    def plain(t: str) -> str:
+        nonlocal version
+        if version is None and (m := VERSION.search(t)):
+            version = m[1]
+        return " ".join(MARKS.sub(" ", VERSION.sub("V", t)).split())
+
+    m = NAME.search(s)
+    while m and m["name"] in ("mit", "isc", "apache", "bsd") and "license" not in m[0] and not UNDER_NAME.search(s[: m.start()]):
+        # words that are names only as such
+        m = NAME.search(s, m.end())
+    if not m:
+        front = plain(UNDER.sub(r"\1 ", s))
+        return _form(front), "", "", version
+    front, behind = UNDER.sub(r"\1 ", s[: m.start()] + "\0"), s[m.end() :]
+    if m["v"]:
+        version = m["v"]
+    name = NAMES[m["name"]] if m["name"] else "CC"
+    if name == "CC":
+        codes = [CC_CODES.get(w, w) for w in re.split("[ -]", m["by"])]
+        version = "-".join([codes[0], *codes[1:]]) + (f" {m['v']}" if m["v"] else "")
+    rest = plain(("or later " if m["plus"] else "") + behind)
+    return _form(plain(front.replace("\0", ""))), name, rest, version
+
+
+def _form(front: str) -> str:
+    return VERB.sub("licensed", VERB.sub("licensed", SUBJECT.sub("", front + " ").strip() + " under ").removesuffix(" under ").strip())
+
+
+def _without_tail(rest: str) -> str:
+    while tail := next((t for t in TAILS if rest == t or rest.endswith(" " + t)), None):
+        rest = rest[: len(rest) - len(tail)].strip()
+    return rest
+
+
 def _known(sentence: str) -> tuple[str, str | None] | None:
+    """The identifier of a sentence and its version, by look-ups of its normalised form."""
     s = normalise(sentence)
-    if s and (KEY.search(s) or s.startswith(("either version", "or (at your option", "or at your option", "this is free and unencumbered"))):
-        for name, pattern in KNOWN:
-            if m := pattern.fullmatch(s):
-                return name, m.groupdict().get("v")
+    if not s or not (KEY.search(s) or NAME.search(s) or s.startswith(("either version", "or (at your option", "or at your option", "this is free and unencumbered"))):
+        return None
+    if m := SPDX.fullmatch(s):
+        return "SPDX", m["v"]
+    if s.endswith("all rights reserved"):
+        return "RESERVED", None
+    front, name, rest, version = canonical(s)
+    if name:
+        if front == COPY_HEAD:
+            return "GPL_COPY", None
+        if front in HEADS and rest not in RESTS:
+            rest = _without_tail(rest)
+        if front in HEADS and rest in RESTS:
+            return f"{name}_LATER" if RESTS[rest] and name in ("GPL", "LGPL", "AGPL") else name, version
+    whole = MARKS.sub(" ", ITEM.sub("", s))
+    whole = " ".join(whole.split())
+    if found := WHOLE.get(front if not name else _form(" ".join(VERSION.sub("V", whole).split()))):
+        return found, version
+    words = whole.split(" ")
+    for n in reversed(OPENING_SIZES):
+        if n <= len(words) and (found := OPENINGS.get(" ".join(words[:n]))) and found[1] in whole:
+            return found[0], None
+    if COPYRIGHT.fullmatch(s):
+        return "COPYRIGHT", None
     return None
 
 
@@ -191,6 +287,7 @@ def match(found: list[tuple[str, str | None]]) -> tuple[list[str], list[str]]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids, licenses and unmatched of every row."""
+    bound_batches(docs.sparkSession)
     schema = "doc_id long, n_sentences long, sentence_ids array<string>, licenses array<string>, unmatched array<string>"
 
     def work(stream):

@@ -93,3 +93,73 @@ along with this program."""
 )
 def test_wrapped_lines(prefix, text, want):
     assert L.match(L.identify("\n".join(prefix + line for line in text.split("\n"))))[0] == want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("The text was never in the public domain.", []),
+        ("This work is not licensed under the MIT License.", []),
+        ("It would be wrong to say that this is released under the Apache License, Version 2.0.", []),
+        ("A sentence about the permission of the MIT institute.", []),
+        ("Licensed under the MIT License - see the LICENSE file for details.", ["MIT"]),
+        ('This file is licensed under the Apache License, Version 2.0 (the "License").', ["Apache-2.0"]),
+        ("Licensed under GPLv3.", ["GPL-3.0-only"]),
+        ("Released under the GPL-2.0+ license.", ["GPL-2.0-or-later"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.", ["MPL-2.0"]),
+        ("Released under the 2-clause BSD license.", ["BSD-2-Clause"]),
+        ("This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0"]),
+        ("Available under CC0 1.0.", ["CC0-1.0"]),
+        ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice appears.", ["ISC"]),
+    ],
+)
+def test_sentences(text, want):
+    assert L.match(L.identify(text))[0] == want
+
+
+def slow_match(found):
+    """Rules by trying, for every place and rule, every choice of the sentences that may be missing."""
+    from itertools import product
+
+    names, out, left, at = [x for x, _ in found], [], [], 0
+    while at < len(found):
+        best = None
+        for licence, default, sequence in L.RULES:
+            choices = product(*[(True,) if not s.endswith("?") else (True, False) for s in sequence])
+            taken = [len(want) for keep in choices if (want := [s.rstrip("?") for s, k in zip(sequence, keep) if k]) == names[at : at + len(want)]]
+            if taken:
+                best = (licence, default, max(taken))
+                break
+        if best is None:
+            left.append(names[at])
+            at += 1
+            continue
+        name = L._version(best[0], best[1], next((v for _, v in found[at : at + best[2]] if v), None))
+        out += [name] * (name not in out)
+        at += best[2]
+    return out, left
+
+
+def test_matching_against_all_choices():
+    import random
+
+    r = random.Random(5)
+    names = sorted({s.rstrip("?") for _, _, q in L.RULES for s in q} | {v for v in L.WHOLE.values()} | {v for v, _ in L.OPENINGS.values()})
+    for _ in range(400):
+        found = []
+        for _ in range(r.randrange(0, 7)):
+            if r.random() < 0.5:
+                found += [(s.rstrip("?"), r.choice([None, "3", "2.1"])) for s in r.choice(L.RULES)[2] if not s.endswith("?") or r.random() < 0.5]
+            else:
+                found.append((r.choice(names), None))
+        assert L.match(found) == slow_match(found)
+
+
+def test_look_ups_against_all_openings():
+    for opening, (name, further) in L.OPENINGS.items():
+        text = f"{opening} {further} x"
+        # every opening by trying all of them
+        want = max((k for k in L.OPENINGS if f"{text} ".startswith(f"{k} ")), key=len)
+        assert L._known(text) == (L.OPENINGS[want][0], None) and L.OPENINGS[want][0] == name
+    assert L._known("we say: " + next(iter(L.OPENINGS))) is None
