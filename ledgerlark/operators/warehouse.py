@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlark.functions.models import NO_PROJECT, local_day, local_hour, one_decimal
+from ledgerlark.functions.models import NO_PROJECT, canonical_model, local_day, local_hour, one_decimal
 
 SUMS = ("cache_read", "cache_write", "input", "output", "reasoning", "total")
 
@@ -45,6 +45,30 @@ def day_model(turns: DataFrame, zone: str = "UTC") -> DataFrame:
     return turns.groupBy(F.coalesce(local_day(F.col("started_at"), zone), F.lit("")).alias("d"), F.col("model_canon").alias("key")).agg(F.count("*").alias("turns"), *_sums(("total", "output")))
 
 
+def day_models(turns: DataFrame, zone: str = "UTC") -> DataFrame:
+    """One pass over turns to day, model and raw id; everything by day or model follows from its few rows. Models are named once for each raw id and day, not for each turn."""
+    day = F.coalesce(local_day(F.col("started_at"), zone), F.lit(""))
+    known = F.when(F.col("started_at") > 0, F.col("started_at"))
+    sums = turns.groupBy(day.alias("d"), "model_raw").agg(F.count("*").alias("turns"), F.count_if(~F.col("has_usage")).alias("missing_usage"), *_sums(), F.min(known).alias("first_ts"), F.max("started_at").alias("last_ts"))
+    return sums.withColumn("key", canonical_model(F.col("model_raw")))
+
+
+def models_of(base: DataFrame) -> DataFrame:
+    """models() from day_models()."""
+    raws = F.concat_ws("|", F.array_sort(F.collect_set("model_raw"))).alias("raw_ids")
+    return base.groupBy("key").agg(F.sum("turns").alias("turns"), F.sum("missing_usage").alias("missing_usage"), *_sums(), raws, F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+
+
+def days_of(base: DataFrame) -> DataFrame:
+    """days() from day_models()."""
+    return base.groupBy("d").agg(F.sum("turns").alias("turns"), *_sums())
+
+
+def day_model_of(base: DataFrame) -> DataFrame:
+    """day_model() from day_models()."""
+    return base.groupBy("d", "key").agg(F.sum("turns").alias("turns"), *_sums(("total", "output")))
+
+
 def hours(turns: DataFrame, zone: str = "UTC") -> DataFrame:
     known = turns.withColumn("h", local_hour(F.col("started_at"), zone)).filter("h is not null")
     return known.groupBy("h").agg(F.count("*").alias("turns"), *_sums(("cache_read", "cache_write", "input", "output", "total")))

@@ -11,6 +11,7 @@ from ledgerlark.functions.prices import normalized
 from ledgerlark.operators import cost as C, external as X, ingest as I, resolve as R, sequences as S, warehouse as W
 from ledgerlark.plans import views as V
 from ledgerlark.plans.duck import canon, oracle
+from ledgerlark.plans.kept import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -44,24 +45,35 @@ def _ext(spark: SparkSession, d: str) -> DataFrame:
     return X.usage(V.external(spark, d))
 
 
-def _own_costs(spark: SparkSession, d: str, policy: str = "ratio10") -> DataFrame:
-    return C.model_cost(W.models(V.turns(spark, d)), V.prices(spark, d), policy)
+def _base(spark: SparkSession, d: str) -> DataFrame:
+    """Own usage by day and model."""
+    return W.day_models(V.turns(spark, d))
 
 
-def _own_day_cost(spark: SparkSession, d: str) -> DataFrame:
-    return C.daily_cost(W.day_model(V.turns(spark, d)), _own_costs(spark, d))
+def _own_costs(spark: SparkSession, d: str, policy: str = "ratio10", base: DataFrame | None = None) -> DataFrame:
+    return C.model_cost(W.models_of(_base(spark, d) if base is None else base), V.prices(spark, d), policy)
 
 
-def _own_days(spark: SparkSession, d: str) -> DataFrame:
-    return W.days(V.turns(spark, d)).filter("d <> ''")
+def _own_day_cost(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
+    base = kept(_base(spark, d), "own") if base is None else base
+    return C.daily_cost(W.day_model_of(base), _own_costs(spark, d, base=base))
 
 
-def _ext_days(spark: SparkSession, d: str) -> DataFrame:
-    return X.by(_ext(spark, d), "tool", "d")
+def _own_days(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
+    return W.days_of(_base(spark, d) if base is None else base).filter("d <> ''")
 
 
-def _ext_costs(spark: SparkSession, d: str) -> DataFrame:
-    return X.day_model_cost(_ext(spark, d), V.external_prices(spark, d))
+def _ext_days(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
+    return X.by(_ext(spark, d) if base is None else base, "tool", "d")
+
+
+def _ext_base(spark: SparkSession, d: str) -> DataFrame:
+    """External usage by tool, day and model, after deduplication: one pass for all that a query asks of it."""
+    return kept(X.by(_ext(spark, d), "tool", "d", "model"), "external")
+
+
+def _ext_costs(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
+    return X.day_model_cost(_ext(spark, d) if base is None else base, V.external_prices(spark, d))
 
 
 def _round(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
@@ -72,11 +84,11 @@ def _round(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
 
 query("wh_totals", f"SELECT count(*) AS turns, count(*) FILTER (WHERE has_usage) AS turns_with_usage, {_sql_sums(*ALL)} FROM turns")(lambda s, d: W.totals(V.turns(s, d)))
 query("wh_models", f"""SELECT model_canon AS key, count(*) AS turns, count(*) FILTER (WHERE NOT has_usage) AS missing_usage, {_sql_sums(*ALL)},
-  string_agg(DISTINCT model_raw, '|' ORDER BY model_raw) AS raw_ids, min(CASE WHEN started_at > 0 THEN started_at END) AS first_ts, max(started_at) AS last_ts FROM turns GROUP BY 1""")(lambda s, d: W.models(V.turns(s, d)))
+  string_agg(DISTINCT model_raw, '|' ORDER BY model_raw) AS raw_ids, min(CASE WHEN started_at > 0 THEN started_at END) AS first_ts, max(started_at) AS last_ts FROM turns GROUP BY 1""")(lambda s, d: W.models_of(_base(s, d)))
 query("wh_model_raw", f"SELECT model_canon AS key, model_raw AS rid, count(*) AS turns, {_sql_sums(*ALL)} FROM turns GROUP BY 1, 2")(lambda s, d: W.model_raw(V.turns(s, d)))
 query("wh_model_status", "SELECT model_canon AS key, coalesce(status, '') AS status, count(*) AS n FROM turns GROUP BY 1, 2")(lambda s, d: W.model_status(V.turns(s, d)))
 query("wh_days", f"SELECT coalesce(d, '') AS d, count(*) AS turns, {_sql_sums(*ALL)} FROM turns GROUP BY 1")(lambda s, d: W.days(V.turns(s, d)))
-query("wh_day_model", f"SELECT coalesce(d, '') AS d, model_canon AS key, count(*) AS turns, {_sql_sums('total', 'output')} FROM turns GROUP BY 1, 2")(lambda s, d: W.day_model(V.turns(s, d)))
+query("wh_day_model", f"SELECT coalesce(d, '') AS d, model_canon AS key, count(*) AS turns, {_sql_sums('total', 'output')} FROM turns GROUP BY 1, 2")(lambda s, d: W.day_model_of(_base(s, d)))
 query("wh_hours", f"SELECT h, count(*) AS turns, {_sql_sums(*FIVE)} FROM turns WHERE h IS NOT NULL GROUP BY 1")(lambda s, d: W.hours(V.turns(s, d)))
 query("wh_projects", f"""SELECT coalesce(project, '(无项目)') AS name, count(DISTINCT session_id) AS sessions, count(*) AS turns, {_sql_sums(*ALL)}
   FROM turns LEFT JOIN sessions ON id = session_id WHERE has_usage GROUP BY 1""")(lambda s, d: W.projects(V.turns(s, d), V.sessions(s, d)))

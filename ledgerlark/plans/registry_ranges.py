@@ -7,19 +7,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerlark.functions import format as fmt, models as fm
 from ledgerlark.operators import compare, cost as C, exports, external as X, resolve as R, rollups as Y, warehouse as W
 from ledgerlark.plans import views as V
-from ledgerlark.plans.registry import BUDGET, FIVE, NOW, _catalogue, _ext, _ext_costs, _ext_days, _ids, _own_costs, _own_day_cost, _own_days, _round, _sql_sums, query
+from ledgerlark.plans.kept import kept
+from ledgerlark.plans.registry import BUDGET, FIVE, NOW, _base, _catalogue, _ext_base, _ext, _ext_costs, _ext_days, _ids, _own_costs, _own_day_cost, _own_days, _round, _sql_sums, query
 
 
-def _anchor(spark: SparkSession, d: str) -> DataFrame:
-    return C.anchor(_own_days(spark, d))
+def _anchor(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
+    return C.anchor(_own_days(spark, d, base))
 
 
-def _ext_anchor(spark: SparkSession, d: str) -> DataFrame:
-    return C.anchor(_ext_days(spark, d))
+def _ext_anchor(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
+    return C.anchor(_ext_days(spark, d, base))
 
 
-def _stats(spark: SparkSession, d: str, key: str) -> DataFrame:
-    return C.range_stats(_own_days(spark, d), _own_day_cost(spark, d), key, _anchor(spark, d))
+def _stats(spark: SparkSession, d: str, key: str, base: DataFrame | None = None) -> DataFrame:
+    base = kept(_base(spark, d), "own") if base is None else base
+    return C.range_stats(_own_days(spark, d, base), _own_day_cost(spark, d, base), key, _anchor(spark, d, base))
+
+
+def _insights(spark: SparkSession, d: str) -> DataFrame:
+    base = kept(_base(spark, d), "own")
+    return C.range_insights(_stats(spark, d, "30d", base), W.day_model_of(base), _own_costs(spark, d, base=base))
 
 
 _FROM = {"7d": "strftime(CAST((SELECT max(d) FROM {t}) AS DATE) - INTERVAL 6 DAY, '%Y-%m-%d')", "30d": "strftime(CAST((SELECT max(d) FROM {t}) AS DATE) - INTERVAL 29 DAY, '%Y-%m-%d')", "all": "''"}
@@ -39,7 +46,7 @@ for _key in ("7d", "30d", "all"):
 
 query("range_insights", f"""WITH {_stats_sql('30d')}, best AS (SELECT key, unit * m.total / 1e6::DOUBLE AS c FROM day_model m JOIN model_units u USING (key) WHERE d = (SELECT max_day FROM stats) AND unit * m.total > 0)
  SELECT max_day AS peak_day, round(max_cost, 4) AS peak_day_cost, (SELECT key FROM best ORDER BY c DESC, key DESC LIMIT 1) AS peak_model, round((SELECT max(c) FROM best), 4) AS peak_model_cost, round(avg_cost, 4) AS avg_burn, round(avg_cost * 30, 4) AS forecast30, cache_hit_pct, day_count FROM stats""")(
-    lambda s, d: _round(C.range_insights(_stats(s, d, "30d"), W.day_model(V.turns(s, d)), _own_costs(s, d)), "peak_day_cost", "peak_model_cost", "avg_burn", "forecast30")
+    lambda s, d: _round(_insights(s, d), "peak_day_cost", "peak_model_cost", "avg_burn", "forecast30")
 )
 _MONTH = f"(SELECT coalesce(sum(cost), 0.0::DOUBLE) AS month_cost, count(*) AS days FROM day_cost WHERE d BETWEEN '{NOW[:8]}01' AND '{NOW}')"
 query("month_to_date", f"SELECT round(month_cost, 4) AS month_cost, days FROM {_MONTH}")(lambda s, d: _round(C.month_to_date(_own_day_cost(s, d), NOW), "month_cost"))
@@ -84,8 +91,8 @@ query("tools_with_hours", "SELECT count(DISTINCT tool) AS tools FROM external")(
 # --- external tools
 
 
-def _ext_models(spark: SparkSession, d: str) -> DataFrame:
-    return X.model_rows(_ext_costs(spark, d))
+def _ext_models(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
+    return X.model_rows(_ext_costs(spark, d, base))
 
 
 query("ext_summary", "SELECT tool, CAST(sum(total) AS BIGINT) AS total, round(sum(cost), 4) AS cost, count(*) AS models, round(sum(cost) / sum(total) * 1e6::DOUBLE, 4) AS unit FROM ext_models GROUP BY 1")(lambda s, d: _round(X.summary(_ext_models(s, d)), "cost", "unit"))
@@ -105,48 +112,51 @@ ranged AS (SELECT tool, sum(tokens) AS range_tokens FROM spread GROUP BY 1),
 spread_keys AS (SELECT m.tool, model AS key, CAST(floor(range_tokens * m.total / all_tokens + 0.5::DOUBLE) AS BIGINT) AS tokens, all_cost / all_tokens * range_tokens * (m.cost / all_cost) AS cost, false AS exact FROM ext_models m JOIN per_tool USING (tool) JOIN ranged USING (tool))"""
 
 
-def _range_parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    costs, days = _ext_costs(spark, d), _ext_days(spark, d)
+def _range_parts(spark: SparkSession, d: str, base: DataFrame | None = None) -> dict[str, DataFrame]:
+    base = _ext_base(spark, d) if base is None else base
+    costs, days = _ext_costs(spark, d, base), _ext_days(spark, d, base)
     ends = days.groupBy("tool").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     holes = ends.filter("tool in ('purchase', 'view')").select("tool", F.when(F.col("tool") == "purchase", F.col("lo")).otherwise(F.col("hi")).alias("d"))
-    return X.range_by_model(costs.join(holes, ["tool", "d"], "left_anti"), days, X.model_rows(costs), "7d", _ext_anchor(spark, d))
+    return X.range_by_model(costs.join(holes, ["tool", "d"], "left_anti"), days, X.model_rows(costs), "7d", _ext_anchor(spark, d, base))
+
+
+def _range_tools(spark: SparkSession, d: str) -> DataFrame:
+    base = _ext_base(spark, d)
+    return X.range_tools(_ext_days(spark, d, base), _range_parts(spark, d, base)["tool"], "7d", _ext_anchor(spark, d, base))
 
 
 query("ext_range_exact_or_amortised", f"WITH {_RANGE} SELECT key, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 4) AS cost, bool_and(exact) AS exact FROM (SELECT key, tokens, cost, exact FROM exact_rows UNION ALL SELECT key, tokens, cost, exact FROM spread_keys) WHERE tokens > 0 GROUP BY 1")(lambda s, d: _round(_range_parts(s, d)["key"], "cost"))
 query("ext_range_by_tool", f"WITH {_RANGE} SELECT tool, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 4) AS cost, bool_and(exact) AS exact FROM (SELECT tool, tokens, cost, exact FROM exact_rows UNION ALL SELECT tool, tokens, cost, exact FROM spread) GROUP BY 1")(lambda s, d: _round(_range_parts(s, d)["tool"], "cost"))
 query("ext_range_by_day", f"WITH {_RANGE} SELECT d, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 4) AS cost, bool_and(exact) AS exact FROM (SELECT d, tokens, cost, exact FROM exact_rows UNION ALL SELECT d, tokens, cost, exact FROM spread) GROUP BY 1")(lambda s, d: _round(_range_parts(s, d)["day"], "cost"))
 _RANGE_EXT = f"(SELECT e.tool, {', '.join(f'CAST(sum(e.{c}) AS BIGINT) AS {c}' for c in FIVE)}, any_value(c.cost) AS cost, any_value(c.exact) AS exact FROM external e JOIN (SELECT tool, sum(cost) AS cost, bool_and(exact) AS exact FROM (SELECT tool, cost, exact FROM exact_rows UNION ALL SELECT tool, cost, exact FROM spread) GROUP BY 1) c ON c.tool = e.tool WHERE d >= (SELECT a FROM w) GROUP BY 1)"
-query("range_ext", f"WITH {_RANGE} SELECT tool, {', '.join(FIVE)}, round(cost, 4) AS cost, exact FROM {_RANGE_EXT}")(lambda s, d: _round(X.range_tools(_ext_days(s, d), _range_parts(s, d)["tool"], "7d", _ext_anchor(s, d)), "cost"))
+query("range_ext", f"WITH {_RANGE} SELECT tool, {', '.join(FIVE)}, round(cost, 4) AS cost, exact FROM {_RANGE_EXT}")(lambda s, d: _round(_range_tools(s, d), "cost"))
 query("cross_tool_bars", f"WITH {_RANGE} SELECT tool, total AS tokens, round(cost, 4) AS cost FROM {_RANGE_EXT} UNION ALL SELECT 'pi', CAST(sum(total) AS BIGINT), round((SELECT sum(cost) FROM day_cost), 4) FROM day_sums")(
-    lambda s, d: _round(X.cross_tool_bars(_stats(s, d, "all"), X.range_tools(_ext_days(s, d), _range_parts(s, d)["tool"], "7d", _ext_anchor(s, d))), "cost")
+    lambda s, d: _round(X.cross_tool_bars(_stats(s, d, "all"), _range_tools(s, d)), "cost")
 )
 query("window_usage", "WITH a AS (SELECT CAST(max(d) AS DATE) AS a FROM external) SELECT tool, CAST(sum(CASE WHEN CAST(d AS DATE) >= a - 6 THEN total ELSE 0 END) AS BIGINT) AS tokens_7d, CAST(sum(CASE WHEN CAST(d AS DATE) >= a - 29 THEN total ELSE 0 END) AS BIGINT) AS tokens_30d FROM external, a GROUP BY 1 HAVING sum(CASE WHEN CAST(d AS DATE) >= a - 29 THEN total ELSE 0 END) > 0")(
     lambda s, d: X.window_usage(_ext_days(s, d), _ext_anchor(s, d))
 )
+def _week(spark: SparkSession, d: str) -> DataFrame:
+    own, ext = kept(_base(spark, d), "own"), _ext_base(spark, d)
+    # the own side's days are moved by 1181 days to meet those of the events
+    days = W.day_model_of(own).filter("d <> ''").withColumn("d", F.date_format(F.date_add(F.col("d").cast("date"), 1181), "yyyy-MM-dd"))
+    return C.week_top_models(days, _own_costs(spark, d, base=own), X.by(ext, "d", "model").withColumn("key", fm.canonical_model(F.col("model"))), X.unit_by_model(_ext_models(spark, d, ext)), _ext_anchor(spark, d, ext))
+
+
 query("week_top_models", f"""WITH a AS (SELECT CAST(max(d) AS DATE) AS a FROM external), own AS (SELECT m.key, m.total AS tokens, unit * m.total / 1e6::DOUBLE AS cost FROM day_model m JOIN model_units USING (key), a WHERE CAST(m.d AS DATE) + 1181 BETWEEN date_trunc('week', a) AND a),
  ext AS (SELECT e.model AS key, e.total AS tokens, u.unit * e.total / 1e6::DOUBLE AS cost FROM external e JOIN {_EXT_UNIT} u ON u.key = e.model, a WHERE CAST(e.d AS DATE) BETWEEN date_trunc('week', a) AND a),
  s AS (SELECT key, CAST(sum(tokens) AS BIGINT) AS tokens, sum(cost) AS cost FROM (SELECT * FROM own UNION ALL SELECT * FROM ext) GROUP BY 1) SELECT key, tokens, round(cost, 4) AS cost, round(cost / (SELECT sum(cost) FROM s) * 100, 4) AS share FROM s ORDER BY s.cost DESC, tokens DESC, key LIMIT 5""")(
-    # the own side's days are moved by 1181 days to meet those of the events
-    lambda s, d: _round(
-        C.week_top_models(
-            W.day_model(V.turns(s, d)).filter("d <> ''").withColumn("d", F.date_format(F.date_add(F.col("d").cast("date"), 1181), "yyyy-MM-dd")),
-            _own_costs(s, d),
-            X.by(_ext(s, d), "d", "model").withColumn("key", fm.canonical_model(F.col("model"))),
-            X.unit_by_model(_ext_models(s, d)),
-            _ext_anchor(s, d),
-        ),
-        "cost",
-        "share",
-    )
+    lambda s, d: _round(_week(s, d), "cost", "share")
 )
 _OWN_RANGE = "(SELECT m.key, CAST(sum(m.total) AS BIGINT) AS total FROM day_model m WHERE d >= strftime(CAST((SELECT max(d) FROM day_sums) AS DATE) - INTERVAL 29 DAY, '%Y-%m-%d') GROUP BY 1)"
 _MODEL_AGG = f"""(SELECT coalesce(o.key, e.key) AS key, coalesce(o.total, 0) AS own_tokens, {', '.join(f"coalesce(CAST(floor(s.{c} * (o.total / s.total) + 0.5::DOUBLE) AS BIGINT), 0) AS {c}" for c in FIVE[:4])}, coalesce(e.total, 0) AS ext_tokens, coalesce(e.cost, 0.0::DOUBLE) AS ext_cost
  FROM {_OWN_RANGE} o JOIN model_sums s USING (key) FULL JOIN (SELECT model AS key, CAST(sum(total) AS BIGINT) AS total, sum(cost) AS cost FROM ext_models GROUP BY 1) e ON e.key = o.key)"""
 
 
-def _model_agg(spark: SparkSession, d: str) -> DataFrame:
-    own = C.in_range(W.day_model(V.turns(spark, d)), "30d", _anchor(spark, d)).groupBy("key").agg(F.sum("total").alias("total"))
-    return X.range_model_agg(own, W.models(V.turns(spark, d)), X.model_totals(_ext_models(spark, d)).withColumnRenamed("total", "tokens"))
+def _model_agg(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
+    base = kept(_base(spark, d), "own") if base is None else base
+    own = C.in_range(W.day_model_of(base), "30d", _anchor(spark, d, base)).groupBy("key").agg(F.sum("total").alias("total"))
+    return X.range_model_agg(own, W.models_of(base), X.model_totals(_ext_models(spark, d)).withColumnRenamed("total", "tokens"))
 
 
 query("range_model_agg", f"SELECT key, own_tokens, {', '.join(FIVE[:4])}, ext_tokens, round(ext_cost, 4) AS ext_cost FROM {_MODEL_AGG}")(lambda s, d: _round(_model_agg(s, d), "ext_cost"))
