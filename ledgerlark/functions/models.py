@@ -22,7 +22,7 @@ ABORT_STOPS = ("aborted", "abort")
 
 def canonical_model(model: Column) -> Column:
     """The name under which usage of a model is added up. One pattern for each end of the id, as this runs on every record."""
-    low = F.lower(F.trim(model))
+    low = F.lower(F.btrim(model, F.lit(" \t\n\r\x0b\x0c")))
     out = F.regexp_replace(low, "^(?:" + "|".join(re.escape(p) for p in VENDOR_PREFIXES) + ")+", "")
     out = F.regexp_replace(out, "".join(f"(?:{s})?" for s in MODEL_SUFFIXES) + r"\z", "")
     return F.when(F.coalesce(model, F.lit("")) == "", UNKNOWN_MODEL).otherwise(F.coalesce(F.nullif(out, F.lit("")), low))

@@ -163,9 +163,12 @@ def session_burn(usage: DataFrame, unit: float) -> DataFrame:
 
 
 def session_search(usage: DataFrame, text: str) -> DataFrame:
-    q = text.lower()
-    found = [F.lower(F.coalesce(F.col(c), F.lit(""))).contains(q) for c in ("title", "project", "id")]
-    return usage.filter(found[0] | found[1] | found[2])
+    """Sessions with the text in their title, project, model or id, whatever its case."""
+    found = F.lit(False)
+    for c in ("title", "project", "model_raw", "id"):
+        if c in usage.columns:
+            found |= F.lower(F.coalesce(F.col(c), F.lit(""))).contains(text.lower())
+    return usage.filter(found)
 
 
 def freshness(days: DataFrame, now: str, stale_after: int = 7) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerlark.functions.models import NO_PROJECT, local_day
 from ledgerlark.operators.cost import anchor, in_range
 
-SUBJECT = 60  #: characters of a commit's subject that are kept
+SUBJECT = 60  #: bytes of a commit's subject that are kept
 
 
 def sorted_by(rows: DataFrame, column: str, descending: bool, tie: str) -> DataFrame:
@@ -50,11 +50,12 @@ def project_days(usage: DataFrame, project: str, zone: str = "UTC") -> DataFrame
     return own.groupBy(local_day(F.col("updated_at"), zone).alias("d")).agg(F.count_distinct("id").alias("sessions"), F.sum("total").alias("total"))
 
 
-def commits_by_day(commits: DataFrame, shown: int = 3) -> DataFrame:
-    """Commits of each repository and day, and the first few subjects. Only as many subjects are kept as are shown."""
-    cut = F.when(F.length("subject") > SUBJECT, F.concat(F.substring("subject", 1, SUBJECT), F.lit("…"))).otherwise(F.col("subject"))
-    w = Window.partitionBy("root", "d").orderBy("subject")
-    some = commits.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= shown).groupBy("root", "d").agg(F.array_join(F.array_sort(F.collect_list(cut)), "|").alias("subjects"))
+def commits_by_day(commits: DataFrame, shown: int = 3, order: str = "subject") -> DataFrame:
+    """Commits of each repository and day, and the first few subjects in the order of a column (the log's, where it is known). Only as many subjects are kept as are shown."""
+    cut = F.when(F.octet_length("subject") > SUBJECT, F.concat(F.decode(F.substring(F.encode("subject", "UTF-8"), 1, SUBJECT), "UTF-8"), F.lit("…"))).otherwise(F.col("subject"))
+    w = Window.partitionBy("root", "d").orderBy(order)
+    first = F.array_sort(F.collect_list(F.struct("rn", cut.alias("s"))))
+    some = commits.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= shown).groupBy("root", "d").agg(F.array_join(F.transform(first, lambda x: x["s"]), "|").alias("subjects"))
     return commits.groupBy("root", "d").agg(F.count("*").alias("commits")).join(some, ["root", "d"])
 
 

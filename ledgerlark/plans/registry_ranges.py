@@ -8,7 +8,7 @@ from ledgerlark.functions import format as fmt, models as fm
 from ledgerlark.operators import compare, cost as C, exports, external as X, resolve as R, rollups as Y, warehouse as W
 from ledgerlark.plans import views as V
 from ledgerlark.plans.kept import kept
-from ledgerlark.plans.registry import BUDGET, FIVE, NOW, _base, _catalogue, _ext_base, _ext, _ext_costs, _ext_days, _ids, _own_costs, _own_day_cost, _own_days, _round, _sql_sums, query
+from ledgerlark.plans.registry import ALL, BUDGET, FIVE, NOW, _base, _catalogue, _ext_base, _ext, _ext_costs, _ext_days, _ids, _own_costs, _own_day_cost, _own_days, _round, _sql_sums, query
 
 
 def _anchor(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
@@ -225,7 +225,9 @@ query("custom_prices", "SELECT lower(p_brand) AS key, CAST(max(p_size) AS DOUBLE
         V.table(s, d, "part").groupBy("p_brand").agg(F.max("p_size").alias("n")).select(F.to_json(F.create_map(F.concat(F.lit(" "), "p_brand"), F.struct(F.struct(F.col("n").alias("input"), F.lit("2.5").alias("output")).alias("cost")))).alias("value"))
     ).select("key", "price_input", "price_output")
 )
-query("dashboard_export")(
+query("dashboard_export", f"""SELECT CAST(to_json(struct_pack(models := (SELECT list(struct_pack(key := key, total := total, turns := turns) ORDER BY total DESC, key) FROM (SELECT model_canon AS key, CAST(sum(total) AS BIGINT) AS total, count(*) AS turns FROM turns GROUP BY 1)),
+ days := (SELECT list(struct_pack(d := d, total := total) ORDER BY d) FROM day_sums), turns := turns, turns_with_usage := turns_with_usage, {', '.join(f'{c} := {c}' for c in ALL)})) AS VARCHAR) AS payload FROM (SELECT count(*) AS turns, count(*) FILTER (WHERE has_usage) AS turns_with_usage, {_sql_sums(*ALL)} FROM turns)""")(
     lambda s, d: exports.document([exports.nested("models", W.models(V.turns(s, d)).select("key", "total", "turns"), [-F.col("total"), F.col("key")]), exports.nested("days", _own_days(s, d).select("d", "total"), [F.col("d")]), W.totals(V.turns(s, d))])
 )
-query("external_export")(lambda s, d: exports.document([exports.nested("tools", X.tool_totals(_ext(s, d)), [-F.col("total"), F.col("tool")])]))
+query("external_export", f"""SELECT CAST(to_json(struct_pack(tools := list(struct_pack(tool := tool, calls := calls, sessions := sessions, {', '.join(f'{c} := {c}' for c in FIVE)}, first_ts := first_ts, last_ts := last_ts) ORDER BY total DESC, tool))) AS VARCHAR) AS payload
+ FROM (SELECT tool, count(*) AS calls, count(DISTINCT session) AS sessions, {_sql_sums(*FIVE)}, min(ts) AS first_ts, max(ts) AS last_ts FROM external GROUP BY 1)""")(lambda s, d: exports.document([exports.nested("tools", X.tool_totals(_ext(s, d)), [-F.col("total"), F.col("tool")])]))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerlark.functions.models import local_day
 from ledgerlark.functions.prices import normalized
-from ledgerlark.operators import assembly as A, catalogue as K, external as X, ingest as I, own_store as O, resolve as R, rollups as Y, warehouse as W
+from ledgerlark.operators import assembly as A, catalogue as K, cli_sessions as S, external as X, ingest as I, own_store as O, resolve as R, rollups as Y, warehouse as W
 from ledgerlark.operators.drivers import DRIVERS
 from ledgerlark.plans import views as V
 from ledgerlark.plans.duck import canon
@@ -59,6 +59,29 @@ query("codex_records", f"""WITH e AS (SELECT user_id, event_id AS line, event_ty
     lambda s, d: DRIVERS["codex"](I.decoded(I.prefiltered(_rollout_lines(s, d), _ROLLOUT.prefilter)), _ROLLOUT).groupBy("model", "session", F.substring("ts", 1, 10).alias("d")).agg(*(F.sum(c).alias(c) for c in ("input", "cache_read", "cache_write", "output", "reasoning")), F.sum("resets").alias("resets"))
 )
 
+# --- sessions of the command line
+
+
+def _cli_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A log for each conversation: a session line, then its messages a second apart; assistants have usage and a reason to stop."""
+    c = V.table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.length("text").cast("long").alias("n"))
+    stamp = lambda k: F.concat(F.lit("2024-01-01T00:00:"), F.lpad(k.cast("string"), 2, "0"), F.lit("Z"))
+    said = F.col("role") == "assistant"
+    usage = F.when(said, F.struct(F.col("n").alias("input"), F.col("turn").alias("output")))
+    message = F.struct("role", F.when(said, F.lit("openai/m-1")).alias("model"), F.when(said, F.when(F.col("n") % 7 == 0, "error").otherwise("stop")).alias("stopReason"), stamp(F.col("turn") + 1).alias("timestamp"), usage.alias("usage"))
+    file = F.concat(F.lit("/logs/c"), "conv_id", F.lit(".jsonl"))
+    lines = c.select(file.alias("file"), (F.col("turn") + 1).alias("line"), F.to_json(F.struct(F.lit("message").alias("type"), stamp(F.col("turn") + 1).alias("timestamp"), message.alias("message"))).alias("value"))
+    first = F.to_json(F.struct(F.lit("session").alias("type"), F.lit(1).alias("version"), F.concat(F.lit("s"), "conv_id").alias("id"), stamp(F.lit(0)).alias("timestamp"), F.concat(F.lit("/w/p"), F.col("conv_id") % 3).alias("cwd")))
+    return c.select("conv_id").distinct().select(file.alias("file"), F.lit(0).cast("long").alias("line"), first.alias("value")).unionByName(lines)
+
+
+query("cli_fold", """WITH m AS (SELECT conv_id, turn, role, length(text) AS n, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role IN ('user', 'assistant')),
+ t AS (SELECT conv_id, k, coalesce(max_by(n % 7 = 0, turn) FILTER (WHERE role = 'assistant'), false) AS failed, bool_or(role = 'assistant') AS used, coalesce(sum(n) FILTER (WHERE role = 'assistant'), 0) AS input, coalesce(sum(turn) FILTER (WHERE role = 'assistant'), 0) AS output, min(turn) AS a, coalesce(max(turn) FILTER (WHERE role = 'assistant'), min(turn)) AS b FROM m GROUP BY 1, 2)
+ SELECT 's' || conv_id AS session, CASE WHEN failed THEN 'error' ELSE 'completed' END AS status, CASE WHEN used THEN 'm-1' ELSE '(unknown)' END AS model_canon, used AS has_usage, count(*) AS n, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(input + output) AS BIGINT) AS total, CAST(sum((b - a) * 1000) AS BIGINT) AS ms
+ FROM t WHERE conv_id IN (SELECT conv_id FROM t WHERE used) GROUP BY 1, 2, 3, 4""")(
+    lambda s, d: S.collect(I.decoded(_cli_lines(s, d)))["turns"].groupBy("session", "status", "model_canon", "has_usage").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("input", "output", "total")), F.sum(F.col("ended_at") - F.col("started_at")).alias("ms"))
+)
+
 # --- the own database
 
 
