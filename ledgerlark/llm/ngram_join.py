@@ -51,6 +51,7 @@ VERIFY_COST = 8.0  #: of a candidate, in postings read
 POSTING_COST = 4.0  #: of one more posting, in postings read
 LIST = 128  #: classes of a list whose pairs are joined
 BLOCK_BYTES = 1 << 20  #: prefixes of a block
+PAIRS_AT_ONCE = 1 << 18  #: pairs of a block whose shared shingles are counted at once
 LONG_LIST = 1024  #: a shingle that may be in more sets than this is looked up by a join that can be split
 
 
@@ -255,26 +256,35 @@ def _block(percent: int):
 
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         a, b = side(lo), side(hi)
-        both = np.zeros((len(a["f"]), len(b["f"])), np.int32)
         order = np.argsort(b["token"], kind="stable")
         token, row = b["token"][order], b["row"][order]
         left, right = np.searchsorted(token, a["token"], "left"), np.searchsorted(token, a["token"], "right")
-        met = np.cumsum(right - left)
-        i = 0
-        while i < len(met):
-            # about a million meetings at a time
-            j = max(i + 1, int(np.searchsorted(met, (met[i - 1] if i else 0) + (1 << 20), "right")))
-            count = (right - left)[i:j]
-            index = np.repeat(left[i:j], count) + W.spread(count)
-            both += np.bincount(np.repeat(a["row"][i:j], count) * both.shape[1] + row[index], minlength=both.size).reshape(both.shape)
-            i = j
-        x, y = np.nonzero(both)
-        n, m, ask_a, ask_b = a["n"][x], b["n"][y], a["ask"][x], b["ask"][y]
-        need = (percent * (n + m) + 99 + percent) // (100 + percent)
-        rest = np.maximum(np.maximum((percent * n + 99) // 100 - ask_a, (percent * m + 99) // 100 - ask_b), 0)
-        good = both[x, y] >= np.maximum(np.minimum(ask_a, ask_b), need - rest)
-        good &= (a["comp"][x] != b["comp"][y]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (n - a["pos"][x] >= need) & (m - b["pos"][y] >= need)
-        u, v = a["f"][x[good]], b["f"][y[good]]
+        begin = np.searchsorted(a["row"], np.arange(len(a["f"]) + 1))
+        wide = len(b["f"])
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        step = max(1, PAIRS_AT_ONCE // max(1, wide))
+        for lo_row in range(0, len(a["f"]), step):
+            hi_row = min(lo_row + step, len(a["f"]))
+            both = np.zeros(step * wide, np.int32)
+            i, last = begin[lo_row], begin[hi_row]
+            met = np.cumsum((right - left)[i:last])
+            k = 0
+            while k < len(met):
+                # about a million meetings at a time
+                j = max(k + 1, int(np.searchsorted(met, (met[k - 1] if k else 0) + (1 << 20), "right")))
+                count = (right - left)[i + k : i + j]
+                index = np.repeat(left[i + k : i + j], count) + W.spread(count)
+                both += np.bincount(np.repeat(a["row"][i + k : i + j] - lo_row, count) * wide + row[index], minlength=len(both)).astype(np.int32)
+                k = j
+            pair = np.flatnonzero(both)
+            x, y = pair // wide + lo_row, pair % wide
+            n, m, ask_a, ask_b = a["n"][x], b["n"][y], a["ask"][x], b["ask"][y]
+            need = (percent * (n + m) + 99 + percent) // (100 + percent)
+            rest = np.maximum(np.maximum((percent * n + 99) // 100 - ask_a, (percent * m + 99) // 100 - ask_b), 0)
+            good = both[pair] >= np.maximum(np.minimum(ask_a, ask_b), need - rest)
+            good &= (a["comp"][x] != b["comp"][y]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (n - a["pos"][x] >= need) & (m - b["pos"][y] >= need)
+            found.append((a["f"][x[good]], b["f"][y[good]]))
+        u, v = (np.concatenate([np.zeros(0, np.int64), *(pair[k] for pair in found)]) for k in (0, 1))
         return pa.table({"fa": np.minimum(u, v), "fb": np.maximum(u, v)})
 
     return work

@@ -100,4 +100,5 @@ def test_open_lists_of_unlinked_sets(spark, monkeypatch):
     assert got(N.similar(df)) == want
     monkeypatch.setattr(N, "LIST", 2)
     monkeypatch.setattr(N, "BLOCK_BYTES", 4096)
+    monkeypatch.setattr(N, "PAIRS_AT_ONCE", 50)
     assert got(N.similar(df)) == want
