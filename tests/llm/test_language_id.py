@@ -39,3 +39,41 @@ def test_presence_counts_grams_of_one_text_only():
     for row, t in zip(both, (a, b)):
         assert (row == L.presence(np.frombuffer(t.encode(), np.uint8), np.array([0, 3]))[0]).all()
     assert both[0].sum() == 6
+
+
+def cells_of(text):
+    """Cells of the n-grams of a text, one n-gram after the other."""
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    out = set()
+    for n in L.GRAMS:
+        for i in range(len(low) - n + 1):
+            code = 0
+            for b in low[i : i + n]:
+                code = (code * 257 + b + 1) % (1 << 32)
+            out.add(((code + n) * 2654435761 % (1 << 32)) >> 18)
+    return out - {0}
+
+
+def test_kernel_and_fit_against_sets():
+    texts = ["Der Hund und die Katze", "the dog and the cat", "", "a", "le chien et le chat", "Das Haus ist alt", "THE HOUSE IS OLD", "la maison est vieille", "é ü ñ"]
+    raw = [t.encode() for t in texts]
+    bits = L.presence(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(t) for t in raw]))
+    sets = [cells_of(t) for t in texts]
+    assert [set(np.flatnonzero(row).tolist()) for row in bits] == sets
+    kernel = [[len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b))) for b in sets] for a in sets]
+    assert np.allclose(L._kernel(bits, bits), kernel, atol=1e-6)
+    # all texts are landmarks here, so the fit is kernel ridge regression with balanced classes
+    languages = ["de", "en", "de", "en", "fr", "de", "en", "fr", "fr"]
+    model = L.fit(np.packbits(bits.astype(bool), axis=1), languages)
+    order = [k for name in model.languages for k, lang in enumerate(languages) if lang == name]
+    assert model.languages == ["de", "en", "fr"] and len(model.landmarks) == len(texts)
+    k = np.array(kernel)
+    z = k[:, order]
+    left, right = np.zeros((len(order), len(order))), np.zeros((len(order), 3))
+    for i, lang in enumerate(languages):
+        share = 1 / languages.count(lang)
+        left += share * np.outer(z[i], z[i])
+        for c, name in enumerate(model.languages):
+            right[:, c] += share * z[i] * (1 if lang == name else -1)
+    left += L.RIDGE * k[np.ix_(order, order)] + 1e-6 * np.eye(len(order))
+    assert np.allclose(z @ model.weights, z @ np.linalg.solve(left, right), atol=1e-4)

@@ -157,3 +157,31 @@ def test_gam_doesn_t_depend_on_the_order_of_repeated_ids(spark):
         docs = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string").repartition(3)
         found.append(sorted((x.doc_id, x.score) for x in G.scores(docs, labels).collect()))
     assert found[0] == found[1] == found[2]
+
+
+def test_scores_against_adding_up():
+    from bisect import bisect_right
+
+    r = np.random.default_rng(3)
+    x = np.round(r.random((500, 4)), 2)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2]) > 0.8).astype(float)
+    model = G.fit(x, y)
+    assert model.pairs
+    for row, got in zip(x[:60], model.score(x[:60])):
+        total = model.base + sum(table[bisect_right(cuts.tolist(), v)] for cuts, table, v in zip(model.cuts, model.tables, row))
+        for (a, b), table in zip(model.pairs, model.pair_tables):
+            total += table[bisect_right(model.pair_cuts[a].tolist(), row[a])][bisect_right(model.pair_cuts[b].tolist(), row[b])]
+        assert abs(got - 1 / (1 + math.exp(-total))) < 1e-12
+
+
+def test_trees_against_all_cuts():
+    r = np.random.default_rng(6)
+    for _ in range(30):
+        g, h = r.normal(size=(5, 6)), r.random((5, 6)) + 0.1
+        gain, leaves = G._pair_tree(g, h)
+        part = lambda a, b, c, d: g[a:b, c:d].sum() ** 2 / (h[a:b, c:d].sum() + 1)
+        tries = {(i, j): part(0, i, 0, j) + part(0, i, j, 6) + part(i, 5, 0, j) + part(i, 5, j, 6) - part(0, 5, 0, 6) for i in range(1, 5) for j in range(1, 6)}
+        (i, j), best = max(tries.items(), key=lambda x: x[1])
+        assert abs(gain - max(best, 0)) < 1e-9
+        if best > 0:
+            assert abs(leaves[0, 0] - g[:i, :j].sum() / (h[:i, :j].sum() + 1)) < 1e-9 and abs(leaves[-1, -1] - g[i:, j:].sum() / (h[i:, j:].sum() + 1)) < 1e-9
