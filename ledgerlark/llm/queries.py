@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import fill_middle, html_extract, language_id, license_scan, media_jpeg, mixing, ngram_join, quality_gam, quality_rules, sentencepiece_codec, substring_dedup, vector_codes
+from ledgerlark.llm import fill_middle, html_extract, language_id, license_scan, media_jpeg, mixing, nearest, ngram_join, quality_gam, quality_rules, sentencepiece_codec, substring_dedup, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,7 @@ def queries() -> dict[str, Query]:
         "op9_license_scan": _table("documents", license_scan.digests),
         "op10_ngram_jaccard_join": _table("documents", ngram_join.similar),
         "op11_fill_middle": _table("documents", fill_middle.digests),
+        "op12_nearest": _table("embeddings", nearest.neighbours),
         "op13_vector_codes": _table("embeddings", vector_codes.digests),
     }
 
