@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlark.functions.models import canonical_model, half_up, source_day, source_hour
 from ledgerlark.functions.prices import cost, normalized
@@ -11,10 +11,11 @@ from ledgerlark.operators.cost import PARTS, in_range
 COUNTERS = (*PARTS, "total")
 
 
-def first_wins(records: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first record of each identity. A record claims its identity even if it has no usage, so that goes later."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return records.withColumn("rn_", F.row_number().over(w)).filter("rn_ = 1").drop("rn_")
+def first_wins(records: DataFrame, keys: list[str], order: list[str], copies: str = "") -> DataFrame:
+    """The first record of each identity, and how many it had in a column `copies`; a task sends on one for each. A record claims its identity even if it has no usage, so that goes later."""
+    rest = [c for c in records.columns if c not in keys]
+    first = records.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("first_"), F.count("*").alias("copies_"))
+    return first.select(*(F.col(c) if c in keys else F.col(f"first_.{c}").alias(c) for c in records.columns), *([F.col("copies_").alias(copies)] if copies else []))
 
 
 def usage(records: DataFrame) -> DataFrame:
@@ -28,19 +29,19 @@ def dropped(records: DataFrame) -> DataFrame:
     return records.groupBy("tool").agg(F.count("*").alias("records"), F.count_distinct("dedup_key").alias("kept")).withColumn("dropped", F.col("records") - F.col("kept"))
 
 
-def _sums() -> list[Column]:
-    return [F.sum(c).cast("long").alias(c) for c in COUNTERS]
+def _sums(more: tuple[str, ...] = ()) -> list[Column]:
+    return [F.sum(c).cast("long").alias(c) for c in (*COUNTERS, *more)]
 
 
-def tool_totals(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("tool").agg(F.count("*").alias("calls"), F.count_distinct("session").alias("sessions"), *_sums(), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+def tool_totals(rows: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    return rows.groupBy("tool").agg(F.count("*").alias("calls"), F.count_distinct("session").alias("sessions"), *_sums(more), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def cube(rows: DataFrame) -> DataFrame:
-    """Sums by tool, and by tool with model, day, day and model, or hour: one pass over the rows."""
+def cube(rows: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Sums (of `more` columns too) by tool, and by tool with model, day, day and model, or hour: one pass over the rows."""
     sets = [["tool"], ["tool", "model"], ["tool", "d"], ["tool", "d", "model"], ["tool", "h"]]
     g = rows.groupingSets([[F.col(c) for c in s] for s in sets], "tool", "model", "d", "h")
-    return g.agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("calls"), *_sums())
+    return g.agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("calls"), *_sums(more))
 
 
 def by(rows: DataFrame, *keys: str) -> DataFrame:

@@ -61,6 +61,14 @@ class Manifest:
         return out + [f"no field {f}" for f in ("model", "input", "output") if not self.fields.get(f)]
 
 
+# Fixed value: what counts as white space around a line.
+WHITE = " \t\n\v\f\r\u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def trimmed(value: Column) -> Column:
+    return F.btrim(value, F.lit(WHITE))
+
+
 def _path(path: str) -> str:
     """A dotted path as a JSON path."""
     out = "$"
@@ -95,14 +103,16 @@ def shown(value: Column) -> Column:
     return F.when(value == "true", "True").when(value == "false", "False").otherwise(F.regexp_replace(value, r"^(-?[0-9]+)\.0+$", "$1"))
 
 
+def contains_any(text: Column, patterns: tuple[str, ...]) -> Column:
+    hit = text.contains(patterns[0])
+    for p in patterns[1:]:
+        hit |= text.contains(p)
+    return hit
+
+
 def prefiltered(lines: DataFrame, patterns: tuple[str, ...], column: str = "value") -> DataFrame:
     """Lines with any of the patterns, looked for in the raw text before it is decoded."""
-    if not patterns:
-        return lines
-    hit = F.col(column).contains(patterns[0])
-    for p in patterns[1:]:
-        hit |= F.col(column).contains(p)
-    return lines.filter(hit)
+    return lines.filter(contains_any(F.col(column), patterns)) if patterns else lines
 
 
 def allow_duplicate_keys(spark: SparkSession) -> None:
@@ -113,27 +123,35 @@ def allow_duplicate_keys(spark: SparkSession) -> None:
 def decoded(lines: DataFrame, column: str = "value") -> DataFrame:
     """Lines that hold a JSON object, as a variant `obj`."""
     allow_duplicate_keys(lines.sparkSession)
-    brace = F.ltrim(F.col(column)).startswith("{") & F.rtrim(F.col(column)).endswith("}")
-    return lines.filter(brace).withColumn("obj", F.try_parse_json(column)).filter("obj is not null").drop(column)
+    text = trimmed(F.col(column))
+    objects = lines.withColumn("text_", text).filter(F.col("text_").startswith("{") & F.col("text_").endswith("}"))
+    return parsed_once(objects, F.try_parse_json("text_"), "obj").drop(column, "text_").filter("obj is not null")
+
+
+def parsed_once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """rows with a value that is computed once for each row, however many columns are made from it: the optimiser copies an expression into every place that uses it, but not a generator's output."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
-def required(m: Manifest, obj: Column) -> Column:
+def required(m: Manifest, obj: Column, get=None) -> Column:
+    """Whether a record has what the manifest asks for. get(path, kind) gives a value, by default from obj."""
+    get = get or (lambda path, kind="string": dig(obj, path, kind))
     ok = F.lit(True)
     for p in m.require:
-        v = F.try_variant_get(obj, _path(p), "variant")
+        v = get(p, "variant")
         ok &= v.isNotNull() & ~F.is_variant_null(v) & ~F.to_json(v).isin("null", '""', "{}", "[]")
     for p, want in m.where.items():
         if isinstance(want, bool):
-            ok &= dig(obj, p, "boolean").eqNullSafe(want)
+            ok &= get(p, "boolean").eqNullSafe(want)
         elif isinstance(want, (int, float)):
-            ok &= dig(obj, p, "double").eqNullSafe(float(want))
+            ok &= get(p, "double").eqNullSafe(float(want))
         elif want is None:
-            ok &= dig(obj, p).isNull()
+            ok &= get(p).isNull()
         elif isinstance(want, str):
-            ok &= dig(obj, p).eqNullSafe(want)
+            ok &= get(p).eqNullSafe(want)
         else:
             # objects and arrays as a whole; variants keep their keys sorted
-            ok &= F.to_json(F.try_variant_get(obj, _path(p), "variant")).eqNullSafe(F.to_json(F.parse_json(F.lit(json.dumps(want)))))
+            ok &= F.to_json(get(p, "variant")).eqNullSafe(F.to_json(F.parse_json(F.lit(json.dumps(want)))))
     return F.coalesce(ok, F.lit(False))
 
 
@@ -150,23 +168,34 @@ def normalized(records: DataFrame, m: Manifest) -> DataFrame:
     records: file, dir, line, obj. A record that doesn't meet the requirements, or has no tokens, still claims its key.
     """
     obj = F.col("obj")
-    number = lambda name: to_int(first_of(obj, m.fields.get(name, ())))
+    found: dict[tuple[str, str], str] = {}
+
+    def get(path: str, kind: str = "string") -> Column:
+        """A column of its own for each value, so that each is looked for once in a record."""
+        return F.col(found.setdefault((path, kind), f"v{len(found)}_"))
+
+    def first(paths: tuple[str, ...]) -> Column:
+        return F.coalesce(*(F.nullif(get(p), F.lit("")) for p in paths)) if paths else F.lit(None).cast("string")
+
+    number = lambda name: to_int(first(m.fields.get(name, ())))
     tokens_in = number("input")
     for p in m.input_subtract:
-        tokens_in = tokens_in - to_int(dig(obj, p))
+        tokens_in = tokens_in - to_int(get(p))
     tokens_out = number("output")
     for p in m.output_add:
-        tokens_out = tokens_out + to_int(first_of(obj, (p,)))
-    identity = [F.coalesce(shown(first_of(obj, (p,))), F.lit("")) for p in m.dedup]
+        tokens_out = tokens_out + to_int(first((p,)))
+    identity = [F.coalesce(shown(first((p,))), F.lit("")) for p in m.dedup]
     place = F.concat_ws("", F.col("file"), F.lit("#"), F.col("line"))
     key = F.when(F.concat(*identity) != "", F.concat_ws(":", *identity)).otherwise(place) if identity else place
-    out = records.select(
-        F.lit(m.id).alias("tool"), "file", "line", F.concat(F.lit(f"{m.id}:"), key).alias("dedup_key"), required(m, obj).alias("qualified"),
-        F.coalesce(F.nullif(shown(first_of(obj, m.fields.get("model", ()))), F.lit("")), F.lit("(unknown)")).alias("model"),
-        F.coalesce(F.nullif(shown(first_of(obj, m.fields.get("session", ()))), F.lit("")), F.nullif("dir", F.lit("")), F.lit("?")).alias("session"),
-        time_text(first_of(obj, m.fields.get("time", ()))).alias("ts"),
+    columns = [
+        F.lit(m.id).alias("tool"), "file", "line", F.concat(F.lit(f"{m.id}:"), key).alias("dedup_key"), required(m, obj, get).alias("qualified"),
+        F.coalesce(F.nullif(shown(first(m.fields.get("model", ()))), F.lit("")), F.lit("(unknown)")).alias("model"),
+        F.coalesce(F.nullif(shown(first(m.fields.get("session", ()))), F.lit("")), F.nullif("dir", F.lit("")), F.lit("?")).alias("session"),
+        time_text(first(m.fields.get("time", ()))).alias("ts"),
         F.greatest(tokens_in, F.lit(0)).alias("input"), number("cacheRead").alias("cache_read"), number("cacheWrite").alias("cache_write"), tokens_out.alias("output"), number("reasoning").alias("reasoning"),
-    )
+    ]
+    values = records.select("file", "dir", "line", *(dig(obj, p, kind).alias(name) for (p, kind), name in found.items()))
+    out = values.select(*columns)
     if m.reasoning_in_output:
         out = out.withColumn("reasoning", F.least("reasoning", "output"))
     return out.withColumn("has_usage", F.col("qualified") & (F.col("input") + F.col("cache_read") + F.col("cache_write") + F.col("output") != 0)).drop("qualified")

@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import json
 import os
 import shutil
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlark.operators import ingest
 from ledgerlark.operators.drivers import DRIVERS
 from ledgerlark.operators.ingest import Manifest
+from ledgerlark.plans.versions import Conflict, Versions
 from ledgerlark.sources import paths as P, readers
 
-CACHE_VERSION = 1
+CACHE_VERSION = 2
+MOST_BATCHES = 16  #: folders of a cache; with more, what counts is written anew into one
 CONTRIBUTION = "tool string, file string, line bigint, dedup_key string, model string, session string, ts string, input bigint, cache_read bigint, cache_write bigint, output bigint, reasoning bigint, has_usage boolean"
+COLUMNS = [c.split()[0] for c in CONTRIBUTION.split(", ")]
 
 
 def contributions(spark: SparkSession, m: Manifest, files: list[str]) -> DataFrame:
     """Every record of the files with its dedup key, before deduplication. A manifest's driver takes the place of the normalisation."""
     records = readers.records(spark, m, files)
     found = DRIVERS[m.driver](records, m) if m.driver else ingest.normalized(records, m)
-    return found.select(*(c.split()[0] for c in CONTRIBUTION.split(", ")))
+    return found.select(*COLUMNS)
 
 
 def cacheable(m: Manifest) -> bool:
@@ -31,39 +35,64 @@ def cacheable(m: Manifest) -> bool:
     return not m.driver and m.kind != "sqlite"
 
 
-def _key(path: str) -> str:
-    s = os.stat(path)
-    return f"{hashlib.sha256(path.encode()).hexdigest()[:24]}-{s.st_size}-{int(s.st_mtime * 1000)}-v{CACHE_VERSION}"
-
-
-def cached_contributions(spark: SparkSession, m: Manifest, files: list[str], cache: str) -> tuple[DataFrame, list[str]]:
-    """Contributions of the files, and which of them were read now. A file is read again when its size or time changes; what is left of files that are gone is removed."""
-    folder = os.path.join(cache, m.id)
-    os.makedirs(folder, exist_ok=True)
-    keys = {p: _key(p) for p in files}
-    for stale in set(os.listdir(folder)) - set(keys.values()):
-        shutil.rmtree(os.path.join(folder, stale), ignore_errors=True)
-    missing = [p for p in files if not os.path.exists(os.path.join(folder, keys[p], "_SUCCESS"))]
-    if missing:
-        _read_into(spark, m, {p: keys[p] for p in missing}, folder)
-    if not files:
-        return spark.createDataFrame([], CONTRIBUTION), []
-    return spark.read.schema(CONTRIBUTION).parquet(*(os.path.join(folder, k) for k in keys.values())), missing
-
-
-def _read_into(spark: SparkSession, m: Manifest, keys: dict[str, str], folder: str) -> None:
-    """Reads the files in one job, and then gives each its part of the result."""
-    fresh = os.path.join(folder, ".new")
-    shutil.rmtree(fresh, ignore_errors=True)
-    names = spark.createDataFrame(list(keys.items()), "file string, key string")
-    contributions(spark, m, list(keys)).join(names, "file").repartition("key").write.partitionBy("key").parquet(fresh)
-    for key in keys.values():
-        part, own = os.path.join(fresh, f"key={key}"), os.path.join(folder, key)
-        shutil.rmtree(own, ignore_errors=True)
-        # a file without records has no part
-        os.replace(part, own) if os.path.isdir(part) else os.makedirs(own)
-        open(os.path.join(own, "_SUCCESS"), "w").close()
-    shutil.rmtree(fresh, ignore_errors=True)
+def _key(m: Manifest, stamp: P.Stamp) -> str:
+    """Of what a file gives: its path, size and time, and how it is read."""
+    how = repr(dataclasses.replace(m, label="", paths=(), file_name="", enabled=True))
+    return hashlib.sha256(json.dumps([CACHE_VERSION, how, stamp.path, stamp.size, stamp.changed]).encode()).hexdigest()[:32]
+
+
+class Cache:
+    """What each file of a tool gave, in a folder that is published in versions: a version lists the live keys, each with the folder that its records are in.
+
+    Rows carry their key and are read by it, never by a file name. A file is read again when its size or time changes; its old
+    rows, and those of files that are gone, count no more from the next version on.
+    """
+
+    def __init__(self, spark: SparkSession, m: Manifest, root: str):
+        self.spark, self.m = spark, m
+        self.versions = Versions(spark, f"{root.rstrip('/')}/{m.id}")
+
+    def _rows(self, live: dict[str, str]) -> DataFrame:
+        """Rows of the live keys."""
+        if not live:
+            return self.spark.createDataFrame([], f"{CONTRIBUTION}, key string")
+        keys = self.spark.createDataFrame([(k,) for k in live], "key string")
+        rows = self.spark.read.schema(f"{CONTRIBUTION}, key string").parquet(*(self.versions.data(f) for f in sorted(set(live.values()))))
+        return rows.join(keys, "key", "left_semi")
+
+    def _write(self, rows: DataFrame) -> str:
+        folder = self.versions.fresh()
+        rows.write.parquet(self.versions.data(folder))
+        return folder
+
+    def collect(self, stamps: list[P.Stamp]) -> tuple[DataFrame, list[str]]:
+        """Contributions of the files, and which of them were read now."""
+        while True:
+            number, content = self.versions.current()
+            known = content.get("files", {})
+            keys = {s.path: _key(self.m, s) for s in stamps}
+            live = {k: known[k] for k in keys.values() if k in known}
+            missing = [s.path for s in stamps if keys[s.path] not in live]
+            if missing:
+                # many files are one job; a path that wasn't asked for would be a reader's mistake, never a row without a key
+                asked = self.spark.createDataFrame([(p, keys[p]) for p in missing], "file string, key string")
+                fresh = contributions(self.spark, self.m, missing).join(asked, "file", "left")
+                key = F.coalesce("key", F.raise_error(F.concat(F.lit("not asked for: "), F.col("file"))))
+                live |= dict.fromkeys((keys[p] for p in missing), self._write(fresh.select(*COLUMNS, key.alias("key"))))
+            if len(set(live.values())) > MOST_BATCHES:
+                live = dict.fromkeys(live, self._write(self._rows(live)))
+            if live != known:
+                try:
+                    self.versions.commit(number, {"files": live, "folders": sorted(set(live.values()))})
+                except Conflict:
+                    continue  # by then another collection may have read them
+                self.versions.vacuum()
+            return self._rows(live).drop("key"), missing
+
+
+def cached_contributions(spark: SparkSession, m: Manifest, files: list[str] | list[P.Stamp], cache: str) -> tuple[DataFrame, list[str]]:
+    """Contributions of the files, and which of them were read now."""
+    return Cache(spark, m, cache).collect([s for f in files if (s := f if isinstance(f, P.Stamp) else P.stamp(f))])
 
 
 def usage_records(spark: SparkSession, manifests: list[Manifest], home: str, env=None, cache: str | None = None) -> DataFrame:
@@ -98,13 +127,3 @@ def write_json(path: str, value, backup: bool = False) -> None:
     if backup and os.path.exists(path):
         shutil.copyfile(path, path + ".bak")
     os.replace(path + ".tmp", path)
-
-
-def write_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """Writes a warehouse of tables beside the old one and then puts it in its place. Needs a local or mounted path."""
-    fresh = path + ".new"
-    shutil.rmtree(fresh, ignore_errors=True)
-    for name, df in tables.items():
-        df.write.parquet(os.path.join(fresh, name))
-    shutil.rmtree(path, ignore_errors=True)
-    os.replace(fresh, path)

@@ -168,10 +168,6 @@ query("dedup_manifest", f"""SELECT model, count(*) AS n, CAST(sum(input) AS BIGI
     lambda s, d: I.deduplicated(I.normalized(_records(s, d), _MANIFEST)).groupBy("model").agg(F.count("*").alias("n"), F.sum("input").alias("input"), F.sum("cache_read").alias("cache_read"), F.sum("output").alias("output"))
 )
 query("dedup_first", "SELECT tool, count(*) AS records, count(DISTINCT dedup_key) AS kept, count(*) - count(DISTINCT dedup_key) AS dropped FROM external_raw GROUP BY 1")(lambda s, d: X.dropped(V.external(s, d)))
-query("replay_merge", f"SELECT tool, count(*) AS calls, {_sql_sums('total')} FROM external GROUP BY 1")(
-    # cached and new contributions are replayed in order, never summed
-    lambda s, d: X.usage(V.external(s, d).filter("ord % 3 = 0").unionByName(V.external(s, d).filter("ord % 3 <> 0"))).groupBy("tool").agg(F.count("*").alias("calls"), F.sum("total").alias("total"))
-)
 query("file_claim", "SELECT path, min_by(tool, rank * 1000 + ascii(tool)) AS owner, coalesce(string_agg(DISTINCT tool, '|' ORDER BY tool) FILTER (WHERE tool <> own), '') AS losers FROM (SELECT *, min_by(tool, rank * 1000 + ascii(tool)) OVER (PARTITION BY path) AS own FROM (SELECT 'p' || (user_id % 40) AS path, event_type AS tool, length(event_type) AS rank FROM events)) GROUP BY 1")(
     lambda s, d: I.claimed(V.table(s, d, "events").select(F.concat(F.lit("p"), F.col("user_id") % 40).alias("path"), F.col("event_type").alias("tool"), F.length("event_type").alias("rank")))
 )
@@ -283,12 +279,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from ledgerlark.plans import registry_ranges, registry_sources  # noqa: F401  register the rest
+    from ledgerlark.plans import registry_collect, registry_ranges, registry_sources  # noqa: F401  register the rest
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from ledgerlark.plans import registry_ranges, registry_sources  # noqa: F401
+    from ledgerlark.plans import registry_collect, registry_ranges, registry_sources  # noqa: F401
 
     return dict(_ORACLES)

@@ -6,31 +6,49 @@ import glob
 import json
 import os
 import re
+import sys
 from collections.abc import Iterable, Mapping
+from typing import NamedTuple
+
+from pyspark.sql import SparkSession
 
 from ledgerlark.operators.ingest import Manifest
 
-# What stands in for a Windows variable that isn't set.
-FALLBACKS = {"APPDATA": "{home}/.config", "LOCALAPPDATA": "{home}/.local/share", "USERPROFILE": "{home}", "HOMEPATH": "{home}", "XDG_CONFIG_HOME": "{home}/.config", "XDG_DATA_HOME": "{home}/.local/share"}
+# Variables that say the same elsewhere as one of Windows does, the most specific first.
+INSTEAD = {"APPDATA": ("XDG_DATA_HOME", "XDG_CONFIG_HOME"), "LOCALAPPDATA": ("XDG_STATE_HOME", "XDG_DATA_HOME", "XDG_CONFIG_HOME"), "USERPROFILE": ("HOME",), "HOMEDRIVE": (), "HOMEPATH": (), "PROGRAMDATA": ("XDG_DATA_HOME",), "PROGRAMDATA32": ("XDG_DATA_HOME",)}
+# Those that name a folder of applications' data, and that folder on each platform where none of the above is set.
+DATA_FOLDERS = ("APPDATA", "LOCALAPPDATA", "PROGRAMDATA", "PROGRAMDATA32")
+PLATFORM_DATA = {"darwin": "Library/Application Support", "linux": ".local/share"}
 VARIABLE = re.compile(r"%%|%([A-Za-z_][A-Za-z0-9_]*)%|\$\{([A-Za-z_][A-Za-z0-9_]*)\}|\$([A-Za-z_][A-Za-z0-9_]*)")
 
 
-def expand(pattern: str, home: str, env: Mapping[str, str] | None = None) -> str:
+def variable(name: str, home: str, env: Mapping[str, str], platform: str = sys.platform) -> str | None:
+    """The value of a variable, or of what stands for it on this platform; None where nothing does. Names of Windows' variables have no case."""
+    if name in env:
+        return env[name]
+    known = name.upper()
+    if platform == "win32" or known not in INSTEAD:
+        return None
+    for other in INSTEAD[known]:
+        if env.get(other):
+            return env[other]
+    return os.path.join(home, PLATFORM_DATA.get(platform, PLATFORM_DATA["linux"])) if known in DATA_FOLDERS and home else None
+
+
+def expand(pattern: str, home: str, env: Mapping[str, str] | None = None, platform: str = sys.platform) -> str:
     """A pattern with ~, {home} and variables put in. An unknown %NAME% stays, an unknown $NAME is empty, %% is a per cent sign."""
     env = os.environ if env is None else env
 
     def value(m: re.Match) -> str:
         if m[0] == "%%":
             return "%"
-        name = m[1] or m[2] or m[3]
-        if name in env:
-            return env[name]
-        if name in FALLBACKS:
-            return FALLBACKS[name].replace("{home}", home)
-        return m[0] if m[1] else ""
+        if m[1]:
+            found = variable(m[1], home, env, platform)
+            return m[0] if found is None else found
+        return env.get(m[2] or m[3], "")
 
     out = VARIABLE.sub(value, pattern.replace("{home}", home))
-    return home + out[1:] if out == "~" or out.startswith("~/") else out
+    return home + out[1:] if out == "~" or out.startswith(("~/", "~\\")) else out
 
 
 def unresolved(manifest: Manifest, home: str, env: Mapping[str, str] | None = None) -> list[str]:
@@ -39,11 +57,24 @@ def unresolved(manifest: Manifest, home: str, env: Mapping[str, str] | None = No
     return sorted(set.intersection(*missing)) if missing and all(missing) else []
 
 
+def _found(pattern: str) -> Iterable[str]:
+    """Files that a pattern of * and ? names. One without a folder behind its first wildcard is looked for at any depth, and a folder stands for all files below it."""
+    if not re.search(r"[*?]", pattern):
+        return [pattern] if os.path.isfile(pattern) else [os.path.join(d, n) for d, _, names in os.walk(pattern) for n in names]
+    base, rest = re.fullmatch(r"((?:[^*?]*/)?)(.*)", pattern, re.DOTALL).groups()
+    rest = rest.replace("**/", "").replace("**", "*")
+    deep = f"{glob.escape(base)}{'' if '/' in rest else '**/'}{rest.replace('[', '[[]')}"
+    also = pattern.replace("[", "[[]")
+    return {f for g in (deep, also) for f in glob.glob(g, recursive=True, include_hidden=True) if os.path.isfile(f)}
+
+
 def files(manifest: Manifest, home: str, env: Mapping[str, str] | None = None) -> list[str]:
-    """The manifest's files, sorted, each once."""
+    """The manifest's files, sorted, each once; a database comes with its log and shared memory."""
     found: set[str] = set()
-    for p in manifest.paths or ((manifest.db,) if manifest.db else ()):
-        found.update(f for f in glob.glob(expand(p, home, env), recursive=True, include_hidden=True) if os.path.isfile(f))
+    for p in manifest.paths:
+        found.update(_found(expand(p, home, env)))
+    if manifest.db:
+        found.update(p for s in ("", "-wal", "-shm") if os.path.isfile(p := expand(manifest.db, home, env) + s))
     return sorted(found)
 
 
@@ -75,6 +106,34 @@ def claim(lists: Iterable[tuple[Manifest, list[str]]]) -> tuple[dict[str, list[s
     return owned, lost
 
 
+class Stamp(NamedTuple):
+    """A file as it was found: its path, bytes, and when it was changed, in milliseconds."""
+
+    path: str
+    size: int
+    changed: int
+
+
+def stamp(path: str) -> Stamp | None:
+    """None if the file is gone."""
+    try:
+        s = os.stat(path)
+    except OSError:
+        return None
+    return Stamp(path, s.st_size, s.st_mtime_ns // 1_000_000)
+
+
+def listed(spark: SparkSession, folder: str) -> list[Stamp]:
+    """All files below a folder of any file system, sorted by path; local ones have plain paths."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, each = [], fs.listFiles(path, True)
+    while each.hasNext():
+        f = each.next()
+        found.append(Stamp(re.sub("^file:/+", "/", f.getPath().toString()), f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
+
 def fingerprint(paths: Iterable[str]) -> tuple[int, int, int]:
     """Files, latest change in seconds, and bytes."""
     stats = [os.stat(p) for p in paths]

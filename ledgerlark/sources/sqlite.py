@@ -87,7 +87,7 @@ class Reader(DataSourceReader):
     def __init__(self, options):
         self.paths = json.loads(options["paths"])
         self.query, self.json_column = options["query"], options.get("jsoncolumn", "")
-        self.errors = options.get("errors", "skip")
+        self.errors = options.get("errors", "raise")
 
     def partitions(self):
         return [Database(p) for p in self.paths]
@@ -118,8 +118,8 @@ class SqliteSource(DataSource):
         return Reader(self.options)
 
 
-def scan(spark: SparkSession, paths: Iterable[str], query: str, json_column: str = "", errors: str = "skip") -> DataFrame:
-    """Rows of the query in each database. One that fails is skipped with a warning, raises, or is reported in a row of its own."""
+def scan(spark: SparkSession, paths: Iterable[str], query: str, json_column: str = "", errors: str = "raise") -> DataFrame:
+    """Rows of the query in each database. One that fails raises, as a result without its rows would look whole; else it is reported in a row of its own, or skipped with a warning."""
     paths = list(paths)
     if not paths:
         return spark.createDataFrame([], SCHEMA)
