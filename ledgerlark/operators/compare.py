@@ -1,8 +1,10 @@
-"""Field-by-field comparison of two tables."""
+"""Field-by-field comparison of two tables, and leaf-by-leaf comparison of nested payloads."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 TOLERANCE = 1e-9
 
@@ -20,3 +22,77 @@ def differences(left: DataFrame, right: DataFrame, key: str, tolerance: float =
     each = j.select(F.coalesce("l_key", "r_key").alias(key), (F.col("l_row") == F.col("r_row")).alias("both"), F.explode(F.array(*pairs)).alias("x"))
     off = F.when(F.col("x.a").isNull() | F.col("x.b").isNull(), ~F.col("x.a").eqNullSafe(F.col("x.b"))).otherwise(F.abs(F.col("x.a") - F.col("x.b")) > tolerance)
     return each.filter(off & (F.col("both") | (F.col("x.field") == "row"))).select(key, F.col("x.field").alias("field"), F.col("x.a").alias("left_value"), F.col("x.b").alias("right_value"))
+
+
+DEPTH = 8  #: of containers in containers; what is deeper is compared as text
+#: of arrays, by their name: the keys that tell their elements apart. Elements of others are told apart by their position.
+KEYS = {"models": ("key",), "days": ("d",), "dayModel": ("d", "key"), "hours": ("h",), "projects": ("name",), "sessionsAll": ("id",), "tools": ("name",), "raw_usage": ("rid",), "statuses": ("status",), "pricing": ("key",), "external": ("tool",), "externalDays": ("tool", "d"), "roles": ("name",), "yield": ("root",)}
+
+
+def _text(value: Column) -> Column:
+    """A leaf as text."""
+    return F.try_variant_get(value, "$", "string")
+
+
+def _element(value: Column, keys: tuple[str, ...], place: Column) -> Column:
+    """What names an element: its keys, or its place (from 0) if it lacks one."""
+    own = [F.try_variant_get(value, f"$.{k}", "string") for k in keys]
+    return F.when(reduce(Column.__and__, (o.isNotNull() for o in own)), F.concat_ws("|", *own)).otherwise(place.cast("string")) if keys else place.cast("string")
+
+
+def _named(array: Column, value: Column, place: Column, keys: dict[str, tuple[str, ...]]) -> Column:
+    """_element by the array's name."""
+    out = place.cast("string")
+    for name, k in keys.items():
+        out = F.when(array == name, _element(value, k, place)).otherwise(out)
+    return out
+
+
+def leaves(entries: DataFrame, keys: dict[str, tuple[str, ...]] = KEYS) -> DataFrame:
+    """path and value (text) of every leaf that isn't null.
+
+    entries: path (text, of where value stands) and value (a variant). A path has names with dots between them and what
+    names an element in brackets: models[m-1].raw_usage[x].total. Containers are opened level by level, all in one plan.
+    """
+    level = entries.select("path", F.regexp_extract("path", r"([^.\[\]]*)(\[[^\]]*\])?$", 1).alias("name"), "value")
+    found = []
+    for depth in range(DEPTH + 1):
+        shape = F.schema_of_variant("value")
+        inner = shape.startswith("OBJECT") | shape.startswith("ARRAY")
+        last = F.to_json("value") if depth == DEPTH else _text(F.col("value"))
+        found.append((level if depth == DEPTH else level.filter(~inner)).filter(~F.is_variant_null("value")).select("path", last.alias("value")))
+        if depth == DEPTH:
+            break
+        below = level.filter(inner).withColumnRenamed("value", "outer_").lateralJoin(entries.sparkSession.tvf.variant_explode(F.col("outer_").outer()))
+        array = F.col("key").isNull()
+        step = F.when(array, F.concat("path", F.lit("["), _named(F.col("name"), F.col("value"), F.col("pos"), keys), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))
+        level = below.select(step.alias("path"), F.when(array, F.lit("")).otherwise(F.col("key")).alias("name"), "value")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _sides(df: DataFrame, name: str) -> DataFrame:
+    # leaves of one path, such as those of elements with the same key, are compared as a whole
+    return df.groupBy(F.col("path").alias(f"{name}_path")).agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias(f"{name}_value"))
+
+
+def nested_differences(left: DataFrame, right: DataFrame, keys: dict[str, tuple[str, ...]] = KEYS, tolerance: float = TOLERANCE) -> DataFrame:
+    """path, left_value and right_value of every leaf that differs or that one side lacks (null there). Numbers are equal within the tolerance, everything else as text; null is the same as absent. Both sides as leaves() takes them."""
+    j = _sides(leaves(left, keys), "left").join(_sides(leaves(right, keys), "right"), F.col("left_path") == F.col("right_path"), "full_outer")
+    a, b = (F.col(f"{s}_value").try_cast("double") for s in ("left", "right"))
+    same = F.col("left_value").eqNullSafe(F.col("right_value")) | F.coalesce(F.abs(a - b) <= tolerance, F.lit(False))
+    return j.filter(~same).select(F.coalesce("left_path", "right_path").alias("path"), "left_value", "right_value")
+
+
+def payload_entries(rows: DataFrame, keys: dict[str, tuple[str, ...]] = KEYS) -> DataFrame:
+    """Entries for leaves() of a payload's rows (block, place, value): those of blocks with keys by these, others by their place."""
+    place = F.col("place") - 1
+    name = _named(F.col("block"), F.col("value"), place, keys)
+    return rows.select(F.concat("block", F.lit("["), name, F.lit("]")).alias("path"), "value")
+
+
+def prefix_broken(rows: DataFrame, head: str = "sessions", whole: str = "sessionsAll", most: int = 40) -> DataFrame:
+    """place and what stands there (as JSON text) where the head block isn't the first `most` entries of the whole one, field by field."""
+    side = lambda block, name: rows.filter((F.col("block") == block) & (F.col("place") <= most)).select(F.col("place").alias(f"{name}_place"), F.to_json("value").alias(name))
+    more = rows.filter((F.col("block") == head) & (F.col("place") > most)).select(F.col("place").alias("head_place"), F.to_json("value").alias("head"), F.lit(None).cast("long").alias("whole_place"), F.lit(None).cast("string").alias("whole"))
+    j = side(head, "head").join(side(whole, "whole"), F.col("head_place") == F.col("whole_place"), "full_outer").select("head_place", "head", "whole_place", "whole")
+    return j.filter(~F.col("head").eqNullSafe(F.col("whole"))).unionByName(more).select(F.coalesce("head_place", "whole_place").alias("place"), "head", "whole")

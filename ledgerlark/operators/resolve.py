@@ -2,47 +2,44 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Gateway prefixes that stand for a path, and provider paths to try last, in order.
 DASH_PREFIXES = ("azure-", "vertex-", "bedrock-", "openai-", "anthropic-", "google-")
 PROVIDER_PATHS = ("", "openai/", "azure/", "anthropic/", "gemini/", "vertex_ai/", "moonshot/", "moonshotai/", "deepseek/", "openrouter/openai/", "openrouter/anthropic/", "openrouter/google/")
 # Suffixes that are peeled off, one after the other.
-PEELS = tuple(map(re.compile, (r"--?int\Z", r"--?ga[-_]?[0-9]{4,6}\Z", r"-[0-9]{6}\Z", r"\([^)]*\)\Z", r"(?i)-+(?:x-?high|x-?low|efficiency|think(?:ing)?-high)\Z")))
+PEELS = (r"--?int\z", r"--?ga[-_]?[0-9]{4,6}\z", r"-[0-9]{6}\z", r"\([^)]*\)\z", r"(?i)-+(?:x-?high|x-?low|efficiency|think(?:ing)?-high)\z")
 # Providers that list others' models under their own name, and the scores of candidates.
 AGGREGATORS = ("openrouter", "302ai", "siliconflow", "novita", "together", "fireworks-ai", "nebius", "hyperbolic")
 NAMED, PUBLISHER, RESELLER, AGGREGATOR = 400, 300, 100, 50
 
 
-def key_ladder(model: str | None) -> list[str]:
-    """Keys under which a model may be listed, the most literal first."""
-    if not model:
-        return []
-    forms = dict.fromkeys([model])
-    if prefix := next((p for p in DASH_PREFIXES if model.startswith(p)), None):
-        forms[f"{prefix[:-1]}/{model.removeprefix(prefix)}"] = None
-    for peel in PEELS:
-        forms |= dict.fromkeys(filter(None, [peel.sub("", f) for f in forms]))
-    tails = [tail for f in forms if "/" in f for tail in (f.partition("/")[2], f.rpartition("/")[2]) if tail]
-    forms |= dict.fromkeys(tails)
-    guesses = [path + f.rpartition("/")[2] for f in forms for path in PROVIDER_PATHS]
-    return list(forms | dict.fromkeys(filter(None, guesses)))
+def _tail(key: Column) -> Column:
+    return F.substring_index(key, "/", -1)
+
 
+def key_ladder(model: Column) -> Column:
+    """Keys under which a model may be listed, the most literal first; none for a model without a name.
 
-@pandas_udf(ArrayType(StringType()))
-def _ladders(models: pd.Series) -> pd.Series:
-    return models.map(key_ladder)
+    Each step adds what it makes of every key so far: a gateway's prefix as a path, suffixes peeled off one after the other,
+    what follows the first and the last slash, and at last every key's end behind each provider's path.
+    """
+    some = lambda keys: F.filter(keys, lambda k: k != "")
+    gateway = F.coalesce(*(F.when(model.startswith(p), F.concat(F.lit(f"{p[:-1]}/"), F.substr(model, F.lit(len(p) + 1)))) for p in DASH_PREFIXES))
+    forms = F.array_compact(F.array(F.nullif(model, F.lit("")), gateway))
+    peeled = F.reduce(F.array(*map(F.lit, PEELS)), forms, lambda keys, p: F.array_distinct(F.concat(keys, some(F.transform(keys, lambda k: F.regexp_replace(k, p, F.lit("")))))))
+    # a lambda's argument is computed once, however often it is used
+    ends = lambda keys: F.array_distinct(F.concat(keys, some(F.flatten(F.transform(F.filter(keys, lambda k: F.contains(k, F.lit("/"))), lambda k: F.array(F.substr(k, F.instr(k, "/") + 1), _tail(k)))))))
+    paths = F.array(*map(F.lit, PROVIDER_PATHS))
+    guessed = lambda keys: F.array_distinct(F.concat(keys, some(F.flatten(F.transform(keys, lambda k: F.transform(paths, lambda p: F.concat(p, _tail(k))))))))
+    step = lambda keys, f: F.transform(F.array(keys), f)[0]
+    return step(step(peeled, ends), guessed)
 
 
 def candidates(ids: DataFrame, column: str = "model") -> DataFrame:
     """column, pos, candidate for each distinct id."""
     distinct = ids.select(column).distinct()
-    return distinct.select(column, F.posexplode(_ladders(column)).alias("pos", "candidate"))
+    return distinct.select(column, F.posexplode(key_ladder(F.col(column))).alias("pos", "candidate"))
 
 
 def alias_index(prices: DataFrame) -> DataFrame:

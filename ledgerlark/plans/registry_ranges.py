@@ -179,7 +179,7 @@ query("project_drill_days", "SELECT strftime(make_timestamp(updated_at * 1000),
 def _commits(spark: SparkSession, d: str) -> DataFrame:
     o = V.table(spark, d, "orders")
     n = F.array(*map(F.lit, ("AUTOMOBILE", "bldg", "HOUSEHOLD", "lost")))
-    return o.select(F.element_at(n, (F.col("o_orderkey") % 4 + 1).cast("int")).alias("root"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.concat(F.lit("fix "), F.col("o_orderpriority"), F.lit(" "), F.col("o_orderkey")).alias("subject"))
+    return o.select(F.element_at(n, (F.col("o_orderkey") % 4 + 1).cast("int")).alias("root"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.concat(F.lit("fix "), F.col("o_orderpriority"), F.lit(" "), F.col("o_orderkey")).alias("subject"), (-F.col("o_orderkey")).alias("n"))
 
 
 def _repos(spark: SparkSession) -> DataFrame:
@@ -187,8 +187,8 @@ def _repos(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("AUTOMOBILE",), ("bldg",), ("HOUSEHOLD",), ("lost",)], "root string").select("root", F.col("root").alias("name"), also.alias("also"))
 
 
-_COMMITS = "(SELECT ['AUTOMOBILE', 'bldg', 'HOUSEHOLD', 'lost'][o_orderkey % 4 + 1] AS root, strftime(o_orderdate, '%Y-%m-%d') AS d, 'fix ' || o_orderpriority || ' ' || o_orderkey AS subject FROM orders)"
-query("commits_by_day", f"SELECT root, d, count(*) AS commits, array_to_string(list_slice(list(subject ORDER BY subject), 1, 3), '|') AS subjects FROM {_COMMITS} GROUP BY 1, 2")(lambda s, d: Y.commits_by_day(_commits(s, d)))
+_COMMITS = "(SELECT ['AUTOMOBILE', 'bldg', 'HOUSEHOLD', 'lost'][o_orderkey % 4 + 1] AS root, strftime(o_orderdate, '%Y-%m-%d') AS d, 'fix ' || o_orderpriority || ' ' || o_orderkey AS subject, -o_orderkey AS n FROM orders)"
+query("commits_by_day", f"SELECT root, d, count(*) AS commits, array_to_string(list_slice(list(subject ORDER BY n), 1, 3), '|') AS subjects FROM {_COMMITS} GROUP BY 1, 2")(lambda s, d: Y.commits_by_day(_commits(s, d), order="n"))
 query("cost_per_commit", f"""WITH c AS (SELECT root, count(*) AS commits FROM {_COMMITS} GROUP BY 1), p AS (SELECT coalesce(project, '(无项目)') AS project, CAST(sum(t.total) AS BIGINT) AS total FROM turns t LEFT JOIN sessions ON id = session_id WHERE has_usage GROUP BY 1)
  SELECT root, commits, project, total, round(total * 2.5::DOUBLE / 1e6::DOUBLE / commits, 8) AS cost_per_commit FROM c LEFT JOIN p ON p.project = CASE root WHEN 'bldg' THEN 'BUILDING' ELSE root END""")(
     lambda s, d: Y.cost_per_commit(_commits(s, d), _repos(s), W.projects(V.turns(s, d), V.sessions(s, d)), 2.5).withColumn("cost_per_commit", F.round("cost_per_commit", 8))

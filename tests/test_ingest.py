@@ -7,7 +7,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import cli_sessions, ingest as I, resolve as R, sequences as S
+from ledgerlark.operators import cli_sessions, ingest as I, resolve as R, rollups as Y, sequences as S
 from ledgerlark.plans import collect as K
 from ledgerlark.plans.versions import Versions
 from ledgerlark.sources import git, paths as P, readers, sqlite
@@ -180,12 +180,23 @@ def test_cli_sessions(spark, tmp_path):
 
 
 def test_git(spark, tmp_path):
-    run = lambda *a: subprocess.run(["git", "-c", "user.name=x", "-c", "user.email=x@y", "-C", str(tmp_path), *a], check=True, capture_output=True)
-    run("init")
-    os.makedirs(tmp_path / "sub")
-    run("commit", "--allow-empty", "-m", "first\tpart")
-    got = git.commits(spark, [str(tmp_path), str(tmp_path / "sub"), "/"]).collect()
-    assert [(r.root, r.subject) for r in got] == [(os.path.realpath(tmp_path), "first\tpart")]
+    def run(where, *a, **env):
+        subprocess.run(["git", "-c", "user.name=x", "-c", "user.email=x@y", "-C", str(where), *a], check=True, capture_output=True, env=os.environ | env)
+
+    a, b = tmp_path / "a b", tmp_path / "empty"
+    for folder in (a / "sub", b):
+        os.makedirs(folder)
+    for folder in (a, b):
+        run(folder, "init")
+    for day, subject in (("03", "zeta\tpart"), ("03", "alpha"), ("05", "Größe"), ("03", "late, of an old day")):
+        run(a, "commit", "--allow-empty", "-m", subject, GIT_AUTHOR_DATE=f"2026-04-{day}T10:00:00Z")
+    log = git.commits(spark, [str(a), str(a / "sub"), str(b), "/"], since="1990-01-01")
+    root = os.path.realpath(a)
+    assert [tuple(r) for r in log.orderBy("n").collect()] == [(root, 0, "2026-04-03", "late, of an old day"), (root, 1, "2026-04-05", "Größe"), (root, 2, "2026-04-03", "alpha"), (root, 3, "2026-04-03", "zeta\tpart")]
+    assert log.rdd.getNumPartitions() == 2
+    assert sorted(map(tuple, Y.commits_by_day(log, 2, "n").collect())) == [(root, "2026-04-03", 3, "late, of an old day|alpha"), (root, "2026-04-05", 1, "Größe")]
+    assert git.repositories({"z": str(a), "m": str(a / "sub"), "none": "/", "": ""}) == [(root, "m", ["z"])]
+    assert git.commits(spark, ["/"]).count() == 0
 
 
 @pytest.fixture
