@@ -17,14 +17,15 @@ def _text(path: str) -> Column:
 
 
 def records(lines: DataFrame) -> DataFrame:
-    """Typed records of decoded lines (file, line, obj). Files of one name are one session; revisions of messages are left out."""
+    """Typed records of decoded lines (file, line, obj). Files of one name are one session, in the order of their roots (column root, if there is one) and then of their paths; revisions of messages are left out."""
+    order = [*(["root"] if "root" in lines.columns else []), "file", "line"]
     stem = F.regexp_extract("file", r"([^/\\]+)\.jsonl$", 1)
     usage_at = F.when(dig(F.col("obj"), "type") == "compaction", "usage").otherwise("message.usage")
     count = lambda k: to_int(F.when(usage_at == "usage", dig(F.col("obj"), f"usage.{k}")).otherwise(dig(F.col("obj"), f"message.usage.{k}")))
     usage = F.when(usage_at == "usage", F.try_variant_get("obj", "$.usage", "variant")).otherwise(F.try_variant_get("obj", "$.message.usage", "variant"))
     ms = lambda p: iso_millis(F.coalesce(dig(F.col("obj"), p), F.lit("")))
     rows = lines.filter(~F.col("file").endswith(REVISIONS)).select(
-        stem.alias("stem"), F.struct("file", "line").alias("ord"), _text("type").alias("type"), F.coalesce(_text("id"), F.lit("")).alias("id"), ms("timestamp").alias("rts"), _text("cwd").alias("cwd"),
+        stem.alias("stem"), F.struct(*order).alias("ord"), _text("type").alias("type"), F.coalesce(_text("id"), F.lit("")).alias("id"), ms("timestamp").alias("rts"), _text("cwd").alias("cwd"),
         _text("modelId").alias("model_id"), _text("thinkingLevel").alias("thinking_level"), dig(F.col("obj"), "version", "bigint").alias("version"),
         _text("message.role").alias("role"), _text("message.model").alias("model"), F.coalesce(_text("message.stopReason"), _text("message.rawStopReason")).alias("stop"),
         _text("message.toolCallId").alias("call_id"), _text("message.toolName").alias("tool_name"), F.coalesce(dig(F.col("obj"), "message.isError", "boolean"), F.lit(False)).alias("is_error"),
@@ -108,6 +109,6 @@ def collect(lines: DataFrame, known: DataFrame | None = None, zone: str = "UTC")
     failed = mine.filter("role = 'toolResult' and is_error and call_id is not null").select("stem", "call_id").distinct()
     errors = last.join(failed, ["stem", "call_id"]).groupBy("name").agg(F.count("*").alias("errors"))
     tools = calls.groupBy("name").agg(F.count("*").alias("n")).join(errors, "name", "left").select("name", "n", F.coalesce("errors", F.lit(0)).alias("errors"))
-    files = lines.filter(~F.col("file").endswith(REVISIONS)).agg(F.count_distinct("file").alias("files"))
+    files = lines.filter(~F.col("file").endswith(REVISIONS)).agg(F.count_distinct("file").alias("files"), (F.count_distinct("root") if "root" in lines.columns else F.lit(None)).cast("long").alias("dirs"))
     stats = every.agg(F.count("*").alias("stems")).crossJoin(files).crossJoin(dup.agg(F.count("*").alias("skipped_dup"))).crossJoin(kept.agg(F.count("*").alias("sessions"))).withColumn("skipped_empty", F.col("stems") - F.col("skipped_dup") - F.col("sessions"))
     return {"sessions": kept.drop("stem", "used", "last_model"), "turns": out_turns, "roles": roles, "tools": tools, "stats": stats}

@@ -12,7 +12,6 @@ from ledgerlark.operators import assembly, cost as C, exports, external as X, wa
 from ledgerlark.plans.kept import kept
 from ledgerlark.plans.numbering import placed
 
-SLOT = 900_000  #: quarters of an hour: every zone's hours and days consist of them
 TOP = 40  #: sessions shown first
 #: how the rows of each block with more than one are ordered, downwards after a minus
 ORDER = {
@@ -28,7 +27,7 @@ def _order(block: str) -> list[Column]:
 def grains(turns: DataFrame) -> DataFrame:
     """Turns summed in one scan to two grains: quarter of an hour, raw model, status and usage (grain 0), and session and usage (grain 1)."""
     time = F.when(F.col("started_at") > 0, F.col("started_at"))
-    rows = turns.select(F.expr(f"CASE WHEN started_at > 0 THEN started_at div {SLOT} END").alias("slot"), "model_raw", F.coalesce("status", F.lit("")).alias("status"), "has_usage", "session_id", time.alias("known"), "started_at", *W.SUMS)
+    rows = turns.select(F.expr(f"CASE WHEN started_at > 0 THEN started_at div {W.SLOT} END").alias("slot"), "model_raw", F.coalesce("status", F.lit("")).alias("status"), "has_usage", "session_id", time.alias("known"), "started_at", *W.SUMS)
     small, session = ["slot", "model_raw", "status"], ["session_id"]
     g = rows.groupingSets([[F.col(c) for c in (*small, "has_usage")], [F.col(c) for c in (*session, "has_usage")]], *small, *session, "has_usage")
     grain = F.grouping("slot").cast("int").alias("grain")
@@ -50,7 +49,7 @@ class Payload:
     def __init__(self, turns: DataFrame, sessions: DataFrame, messages: DataFrame, prices: DataFrame, external: DataFrame, external_prices: DataFrame, commits: DataFrame, source: dict, home: str = "", zone: str = "UTC"):
         both = kept(grains(turns), "grains")
         self.prices, self.external, self.external_prices, self.commits, self.source, self.home = prices, external, external_prices, commits, source, home
-        at = F.col("slot") * SLOT + 1  # the first slot begins at 0, which would be no known time
+        at = F.col("slot") * W.SLOT + 1  # the first slot begins at 0, which would be no known time
         small = both.filter("grain = 0").withColumns({"d": F.coalesce(local_day(at, zone), F.lit("")), "h": local_hour(at, zone)})
         # models are named once for each row of this grain, not for each turn
         self.usage = kept(small.withColumn("key", canonical_model(F.col("model_raw"))), "usage")

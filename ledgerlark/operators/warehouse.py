@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerlark.functions.models import NO_PROJECT, canonical_model, local_day, local_hour, one_decimal
 
 SUMS = ("cache_read", "cache_write", "input", "output", "reasoning", "total")
+SLOT, HOUR, DAY = 900_000, 3_600_000, 86_400_000  #: milliseconds
 
 
 def _sums(names: tuple[str, ...] = SUMS) -> list[Column]:
@@ -36,27 +37,58 @@ def model_status(turns: DataFrame) -> DataFrame:
     return turns.groupBy(F.col("model_canon").alias("key"), F.coalesce("status", F.lit("")).alias("status")).agg(F.count("*").alias("n"))
 
 
+def _slots(turns: DataFrame, unit: int, zone: str, keys: list[Column], sums: list[Column]) -> DataFrame:
+    """Sums by a number, the slot of time that a turn began in, with `at` a moment of that slot (null where the time is unknown). Days and hours are made from these few rows, not for each turn; outside UTC slots are quarters of an hour, of which every zone's days and hours consist."""
+    unit = unit if zone == "UTC" else SLOT
+    slot = F.expr(f"CASE WHEN started_at > 0 THEN started_at div {unit} END").alias("slot_")
+    return turns.groupBy(slot, *keys).agg(*sums).withColumn("at", F.col("slot_") * unit + 1).drop("slot_")
+
+
 def days(turns: DataFrame, zone: str = "UTC") -> DataFrame:
     """By local day; turns without a known time are the day ''."""
-    return turns.groupBy(F.coalesce(local_day(F.col("started_at"), zone), F.lit("")).alias("d")).agg(F.count("*").alias("turns"), *_sums())
+    return _slots(turns, DAY, zone, [], [F.count("*").alias("turns"), *_sums()]).groupBy(F.coalesce(local_day(F.col("at"), zone), F.lit("")).alias("d")).agg(F.sum("turns").alias("turns"), *_sums())
 
 
 def day_model(turns: DataFrame, zone: str = "UTC") -> DataFrame:
-    return turns.groupBy(F.coalesce(local_day(F.col("started_at"), zone), F.lit("")).alias("d"), F.col("model_canon").alias("key")).agg(F.count("*").alias("turns"), *_sums(("total", "output")))
+    slots = _slots(turns, DAY, zone, [F.col("model_canon").alias("key")], [F.count("*").alias("turns"), *_sums(("total", "output"))])
+    return slots.groupBy(F.coalesce(local_day(F.col("at"), zone), F.lit("")).alias("d"), "key").agg(F.sum("turns").alias("turns"), *_sums(("total", "output")))
+
+
+def _facts() -> list[Column]:
+    """What models are made from: turns, those without usage, sums, and the first and last known time."""
+    known = F.when(F.col("started_at") > 0, F.col("started_at"))
+    return [F.count("*").alias("turns"), F.count_if(~F.col("has_usage")).alias("missing_usage"), *_sums(), F.min(known).alias("first_ts"), F.max("started_at").alias("last_ts")]
+
+
+def _facts_of() -> list[Column]:
+    return [F.sum("turns").alias("turns"), F.sum("missing_usage").alias("missing_usage"), *_sums(), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")]
 
 
 def day_models(turns: DataFrame, zone: str = "UTC") -> DataFrame:
     """One pass over turns to day, model and raw id; everything by day or model follows from its few rows. Models are named once for each raw id and day, not for each turn."""
-    day = F.coalesce(local_day(F.col("started_at"), zone), F.lit(""))
-    known = F.when(F.col("started_at") > 0, F.col("started_at"))
-    sums = turns.groupBy(day.alias("d"), "model_raw").agg(F.count("*").alias("turns"), F.count_if(~F.col("has_usage")).alias("missing_usage"), *_sums(), F.min(known).alias("first_ts"), F.max("started_at").alias("last_ts"))
+    slots = _slots(turns, DAY, zone, [F.col("model_raw")], _facts())
+    sums = slots.groupBy(F.coalesce(local_day(F.col("at"), zone), F.lit("")).alias("d"), "model_raw").agg(*_facts_of())
     return sums.withColumn("key", canonical_model(F.col("model_raw")))
 
 
+def model_statuses(turns: DataFrame) -> DataFrame:
+    """One pass over turns to raw id and status; models, their raw ids and their statuses follow from it."""
+    return turns.groupBy("model_raw", F.coalesce("status", F.lit("")).alias("status")).agg(*_facts()).withColumn("key", canonical_model(F.col("model_raw")))
+
+
+def model_raw_of(base: DataFrame) -> DataFrame:
+    """model_raw() from model_statuses()."""
+    return base.groupBy("key", F.col("model_raw").alias("rid")).agg(F.sum("turns").alias("turns"), *_sums())
+
+
+def model_status_of(base: DataFrame) -> DataFrame:
+    """model_status() from model_statuses()."""
+    return base.groupBy("key", "status").agg(F.sum("turns").alias("n"))
+
+
 def models_of(base: DataFrame) -> DataFrame:
-    """models() from day_models()."""
-    raws = F.concat_ws("|", F.array_sort(F.collect_set("model_raw"))).alias("raw_ids")
-    return base.groupBy("key").agg(F.sum("turns").alias("turns"), F.sum("missing_usage").alias("missing_usage"), *_sums(), raws, F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    """models() from day_models() or model_statuses()."""
+    return base.groupBy("key").agg(*_facts_of(), F.concat_ws("|", F.array_sort(F.collect_set("model_raw"))).alias("raw_ids"))
 
 
 def days_of(base: DataFrame) -> DataFrame:
@@ -70,8 +102,9 @@ def day_model_of(base: DataFrame) -> DataFrame:
 
 
 def hours(turns: DataFrame, zone: str = "UTC") -> DataFrame:
-    known = turns.withColumn("h", local_hour(F.col("started_at"), zone)).filter("h is not null")
-    return known.groupBy("h").agg(F.count("*").alias("turns"), *_sums(("cache_read", "cache_write", "input", "output", "total")))
+    sums = _sums(("cache_read", "cache_write", "input", "output", "total"))
+    slots = _slots(turns.filter("started_at > 0"), HOUR, zone, [], [F.count("*").alias("turns"), *sums])
+    return slots.groupBy(local_hour(F.col("at"), zone).alias("h")).agg(F.sum("turns").alias("turns"), *sums)
 
 
 def projects(turns: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -79,6 +112,12 @@ def projects(turns: DataFrame, sessions: DataFrame) -> DataFrame:
     return used.groupBy(F.coalesce("project", F.lit(NO_PROJECT)).alias("name")).agg(F.count_distinct("session_id").alias("sessions"), F.count("*").alias("turns"), *_sums())
 
 
+def session_sums(turns: DataFrame, names: tuple[str, ...] = SUMS) -> DataFrame:
+    """One pass over turns to session_id, turns, turns_with_usage and the sums of those."""
+    used = F.col("has_usage")
+    return turns.groupBy("session_id").agg(F.count("*").alias("turns"), F.count_if(used).alias("turns_with_usage"), *(F.coalesce(F.sum(F.when(used, F.col(c))), F.lit(0)).cast("long").alias(c) for c in names))
+
+
 def session_usage(turns: DataFrame, sessions: DataFrame) -> DataFrame:
     """Sessions that have usage, with its sums. The sums are made before the join, so only one row of each session meets it."""
     sums = turns.filter("has_usage").groupBy("session_id").agg(*_sums(("cache_read", "cache_write", "input", "output", "total")))

@@ -8,6 +8,7 @@ from ledgerlark.functions import format as fmt, models as fm
 from ledgerlark.operators import compare, cost as C, exports, external as X, resolve as R, rollups as Y, warehouse as W
 from ledgerlark.plans import views as V
 from ledgerlark.plans.kept import kept
+from ledgerlark.plans.numbering import placed
 from ledgerlark.plans.registry import ALL, BUDGET, FIVE, NOW, _base, _catalogue, _ext_base, _ext, _ext_costs, _ext_days, _ids, _own_costs, _own_day_cost, _own_days, _round, _sql_sums, query
 
 
@@ -64,9 +65,11 @@ query("session_search", f"SELECT id, title, project, total FROM {_BURN} WHERE co
 query("session_kpis", f"SELECT count(*) AS sessions, CAST(sum(total) AS BIGINT) AS tokens, round(sum(total / days * 2.5::DOUBLE / 1e6::DOUBLE), 4) AS cost_per_day FROM {_BURN}")(
     lambda s, d: C.session_burn(W.session_usage(V.turns(s, d), V.sessions(s, d)), 2.5).agg(F.count("*").alias("sessions"), F.sum("total").alias("tokens"), F.round(F.sum("cost_per_day"), 4).alias("cost_per_day"))
 )
-query("session_sort", f"SELECT id, title, total FROM {_BURN} ORDER BY title DESC, id")(lambda s, d: Y.sorted_by(W.session_usage(V.turns(s, d), V.sessions(s, d)), "title", True, "id").select("id", "title", "total"))
+query("session_sort", f"SELECT id, title, total, row_number() OVER (ORDER BY title DESC, id) AS place FROM {_BURN}")(
+    lambda s, d: placed(W.session_usage(V.turns(s, d), V.sessions(s, d)).select("id", "title", "total"), [F.desc("title"), F.col("id")])
+)
 query("streak", """WITH a AS (SELECT DISTINCT CAST(d AS DATE) AS day FROM day_sums WHERE total > 0), r AS (SELECT count(*) AS streak, max(day) AS e FROM (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island FROM a) GROUP BY island),
- x AS (SELECT * FROM r WHERE e >= (SELECT max(CAST(d AS DATE)) FROM day_sums) - 1 ORDER BY e DESC LIMIT 1) SELECT coalesce((SELECT streak FROM x), 0) AS streak, (SELECT strftime(e, '%Y-%m-%d') FROM x) AS end_date""")(lambda s, d: C.streak(_own_days(s, d), _anchor(s, d)))
+ x AS (SELECT * FROM r WHERE e >= (SELECT max(CAST(d AS DATE)) FROM day_sums) - 1 ORDER BY e DESC LIMIT 1) SELECT coalesce((SELECT streak FROM x), 0) AS streak, (SELECT strftime(e, '%Y-%m-%d') FROM x) AS end_date""")(lambda s, d: (lambda base: C.streak(_own_days(s, d, base), _anchor(s, d, base)))(kept(_base(s, d), "own")))
 _MATRIX = "(SELECT g.dow, g.hour, CAST(coalesce(sum(m.total), 0) AS BIGINT) AS total FROM (SELECT CAST(a AS INTEGER) AS dow, CAST(b AS INTEGER) AS hour FROM range(7) x(a), range(24) y(b)) g LEFT JOIN (SELECT CAST(dayofweek(CAST(substr(h, 1, 10) AS DATE)) AS INTEGER) AS dow, CAST(substr(h, 12, 2) AS INTEGER) AS hour, total FROM (SELECT h, total FROM turns WHERE h IS NOT NULL AND total > 0 UNION ALL SELECT h, total FROM external)) m USING (dow, hour) GROUP BY 1, 2)"
 
 
@@ -84,7 +87,7 @@ query("merged_daily", "SELECT d, CAST(sum(cache_read) AS BIGINT) AS cache_read,
 )
 query("freshness", "SELECT tool, max(d) AS last_day, CAST(date_diff('day', CAST(max(d) AS DATE), DATE '2024-02-04') AS BIGINT) AS age_days, date_diff('day', CAST(max(d) AS DATE), DATE '2024-02-04') > 4 AS stale FROM external GROUP BY 1")(lambda s, d: C.freshness(_ext_days(s, d), "2024-02-04", 4))
 query("empty_state_facts", "SELECT count(*) AS days, max(d) AS last_day, count(*) FILTER (WHERE d >= strftime(CAST((SELECT max(d) FROM day_sums) AS DATE) - INTERVAL 6 DAY, '%Y-%m-%d')) AS in_range FROM day_sums")(
-    lambda s, d: _own_days(s, d).agg(F.count("*").alias("days"), F.max("d").alias("last_day")).crossJoin(C.in_range(_own_days(s, d), "7d", _anchor(s, d)).agg(F.count("*").alias("in_range")))
+    lambda s, d: (lambda base: _own_days(s, d, base).agg(F.count("*").alias("days"), F.max("d").alias("last_day")).crossJoin(C.in_range(_own_days(s, d, base), "7d", _anchor(s, d, base)).agg(F.count("*").alias("in_range"))))(kept(_base(s, d), "own"))
 )
 query("tools_with_hours", "SELECT count(DISTINCT tool) AS tools FROM external")(lambda s, d: _ext(s, d).filter("h is not null").agg(F.count_distinct("tool").alias("tools")))
 

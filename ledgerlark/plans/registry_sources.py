@@ -10,6 +10,7 @@ from ledgerlark.operators import assembly as A, catalogue as K, cli_sessions as
 from ledgerlark.operators.drivers import DRIVERS
 from ledgerlark.plans import views as V
 from ledgerlark.plans.duck import canon
+from ledgerlark.plans.kept import kept
 from ledgerlark.plans.registry import NOW, _ext, _ext_days, _own_costs, _own_day_cost, _round, query
 from ledgerlark.plans.registry_ranges import _BURN, _COMMITS, _MODEL_AGG, _commits, _ext_models, _model_agg, _repos
 
@@ -166,8 +167,8 @@ query("price_freshness", f"""SELECT n_name AS path, CASE WHEN n_nationkey % 5 NO
 
 
 def _assembled(spark: SparkSession, d: str) -> DataFrame:
-    t = V.turns(spark, d)
-    return A.models(W.models(t), W.model_raw(t), W.model_status(t))
+    base = kept(W.model_statuses(V.turns(spark, d)), "models")
+    return A.models(W.models_of(base), W.model_raw_of(base), W.model_status_of(base))
 
 
 _RAW = "(SELECT key, string_agg(rid || ':' || n || ':' || t, '|' ORDER BY t DESC, rid) AS raw_usage FROM (SELECT model_canon AS key, model_raw AS rid, count(*) AS n, CAST(sum(total) AS BIGINT) AS t FROM turns GROUP BY 1, 2) GROUP BY 1)"
@@ -205,8 +206,8 @@ _COLUMNS = ("title", "turns", "total", "output", "burn", "updated_at")
 
 
 def _session_table(spark: SparkSession, d: str) -> DataFrame:
-    t = V.turns(spark, d)
-    usage = W.session_usage(t, V.sessions(spark, d)).join(t.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("turns")), "id")
+    sums = W.session_sums(V.turns(spark, d), ("output", "total")).filter("turns_with_usage > 0")
+    usage = V.sessions(spark, d).join(sums, F.col("id") == F.col("session_id"))
     days = F.greatest(F.lit(1), F.ceil((F.col("updated_at") - F.col("created_at")) / 86_400_000))
     return usage.select("id", "title", "turns", "total", "output", F.round(F.col("total") / days, 4).alias("burn"), "updated_at")
 
@@ -215,7 +216,13 @@ _SESSION_TABLE = "(SELECT b.id, title, n AS turns, b.total, b.output, round(b.to
 for _column in _COLUMNS:
     for _down in (True, False):
         query(f"session_sort_{_column}_{'desc' if _down else 'asc'}", f"SELECT * FROM {_SESSION_TABLE} ORDER BY {_column} {'DESC' if _down else 'ASC'}, id")(lambda s, d, c=_column, down=_down: Y.sorted_by(_session_table(s, d), c, down, "id"))
-query("model_sort_range_total", f"SELECT key, own_tokens + ext_tokens AS range_total FROM {_MODEL_AGG} ORDER BY 2 DESC, 1")(lambda s, d: Y.sorted_by(_model_agg(s, d).select("key", (F.col("own_tokens") + F.col("ext_tokens")).alias("range_total")), "range_total", True, "key"))
+def _model_places(spark: SparkSession, d: str) -> DataFrame:
+    """Models are few."""
+    totals = _model_agg(spark, d).select("key", (F.col("own_tokens") + F.col("ext_tokens")).alias("range_total"))
+    return totals.withColumn("place", F.row_number().over(Window.orderBy(F.desc("range_total"), "key")).cast("long"))
+
+
+query("model_sort_range_total", f"SELECT key, own_tokens + ext_tokens AS range_total, row_number() OVER (ORDER BY own_tokens + ext_tokens DESC, key) AS place FROM {_MODEL_AGG}")(lambda s, d: _model_places(s, d))
 query("project_drill_sessions", f"SELECT id, title, total, updated_at FROM {_BURN} WHERE project = 'BUILDING' ORDER BY updated_at DESC, id LIMIT 40")(
     # a list of forty
     lambda s, d: W.session_usage(V.turns(s, d), V.sessions(s, d)).filter("project = 'BUILDING'").orderBy(F.desc("updated_at"), "id").limit(40).select("id", "title", "total", "updated_at")

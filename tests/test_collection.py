@@ -8,10 +8,10 @@ import zstandard
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import ingest as I
+from ledgerlark.operators import cli_sessions, ingest as I
 from ledgerlark.plans import collect as K, incremental, warehouse_store
 from ledgerlark.plans.versions import Conflict, Versions
-from ledgerlark.sources import local, paths as P, readers
+from ledgerlark.sources import cli, local, paths as P, readers
 
 NAMES = ["Application Support/x 1.jsonl", "Größe/é#1%20+z.jsonl", "p[1]{q}/w?.jsonl", "n/_u.jsonl", "n/.h.jsonl", "100%/a,b.jsonl", "a\\b/c.jsonl", "😀/=&;'.jsonl"]
 FIELDS = {"model": ["m"], "session": ["$none"], "input": ["i"], "output": ["o"]}
@@ -230,3 +230,24 @@ def test_warehouse_is_rebuilt_when_its_files_change(spark, tmp_path):
     assert again() and not again()
     write(f"{tmp_path}/db", "22")
     assert again() and made == [1, 1] and warehouse_store.Warehouse.open(spark, f"{tmp_path}/w").table("t").count() == 2
+
+
+def test_session_logs_below_several_roots(spark, tmp_path):
+    """Parts of one session lie in both roots; what the first root has comes first, whatever the paths are called."""
+    stamp = lambda k: f"2026-03-01T00:00:{k:02d}.000Z"
+    message = lambda i, k, role, n=0: json.dumps({"type": "message", "id": i, "timestamp": stamp(k), "message": {"role": role, "model": "m", "stopReason": "stop", "usage": {"input": n}} if role == "assistant" else {"role": role}})
+    one, two = f"{tmp_path}/z first", f"{tmp_path}/a second"
+    write(f"{one}/x/S.jsonl", "\n".join([json.dumps({"type": "session", "id": "first", "timestamp": stamp(0), "cwd": "/w/one"}), message("u", 1, "user"), message("a", 2, "assistant", 5)]))
+    write(f"{one}/b/S.jsonl", message("b", 3, "assistant", 7))
+    write(f"{two}/S.jsonl", "\n".join([json.dumps({"type": "session", "id": "second", "timestamp": stamp(0)}), message("a", 2, "assistant", 1000), message("c", 4, "assistant", 11)]))
+    write(f"{one}/x/S.revisions.jsonl", message("r", 2, "assistant", 10**6))
+    write(f"{one}/x/S.txt", message("t", 2, "assistant", 10**6))
+    assert cli.session_files([one, f"{tmp_path}/none", two, f"{one}/x"]) == [(0, f"{one}/b/S.jsonl"), (0, f"{one}/x/S.jsonl"), (2, f"{two}/S.jsonl")]
+    out = cli_sessions.collect(cli.scan(spark, [one, two]))
+    assert [(r.id, r.project, r.turns) for r in out["sessions"].collect()] == [("first", "one", 1)]
+    assert [r.input for r in out["turns"].collect()] == [23]
+    assert [(r.files, r.dirs, r.sessions) for r in out["stats"].collect()] == [(3, 2, 1)]
+    swapped = cli_sessions.collect(cli.scan(spark, [two, one]))
+    assert [(r.id, r.project) for r in swapped["sessions"].collect()] == [("second", "one")] and [r.input for r in swapped["turns"].collect()] == [1018]
+    os.makedirs(f"{tmp_path}/h/.config/pi/agent/sessions")
+    assert cli.roots(f"{tmp_path}/h") == [f"{tmp_path}/h/.config/pi/agent/sessions"] and cli_sessions.collect(cli.scan(spark, [f"{tmp_path}/none"]))["sessions"].count() == 0
