@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerlark.functions.models import local_day
@@ -10,9 +12,10 @@ from ledgerlark.operators import assembly as A, catalogue as K, cli_sessions as
 from ledgerlark.operators.drivers import DRIVERS
 from ledgerlark.plans import views as V
 from ledgerlark.plans.duck import canon
-from ledgerlark.plans.kept import kept
+from ledgerlark.plans.kept import folder, kept
 from ledgerlark.plans.registry import NOW, _ext, _ext_days, _own_costs, _own_day_cost, _round, query
 from ledgerlark.plans.registry_ranges import _BURN, _COMMITS, _MODEL_AGG, _commits, _ext_models, _model_agg, _repos
+from ledgerlark.streaming import rollouts
 
 # --- logs of running totals
 
@@ -48,7 +51,7 @@ def _rollout_lines(spark: SparkSession, d: str) -> DataFrame:
 _KEYS = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
 _OWN = {"input_tokens": "3 * k + 50", "cached_input_tokens": "k", "cache_write_input_tokens": "k % 5", "output_tokens": "k % 40 + 1", "reasoning_output_tokens": "k % 60", "total_tokens": "3 * k + 51 + k % 40"}
 _FELL = " OR ".join(f"t_{c} < p_{c}" for c in _KEYS if c != "reasoning_output_tokens")
-query("codex_records", f"""WITH e AS (SELECT user_id, event_id AS line, event_type, strftime(ts, '%Y-%m-%d') AS day, CAST(json_extract(props, '$.k') AS BIGINT) AS k, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events),
+_ROLLOUT_SQL = f"""WITH e AS (SELECT user_id, event_id AS line, event_type, strftime(ts, '%Y-%m-%d') AS day, CAST(json_extract(props, '$.k') AS BIGINT) AS k, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events),
  l AS (SELECT *, {', '.join(f'CAST(sum({v}) OVER (PARTITION BY user_id, run ORDER BY line) AS BIGINT) AS t_{c}' for c, v in _OWN.items())}, event_type = 'view' AND k % 25 = 0 AS is_meta, event_type = 'signup' AND NOT (event_type = 'view' AND k % 25 = 0) AS is_context FROM e),
  s AS (SELECT *, coalesce(last_value(CASE WHEN is_meta THEN 'meta-' || k END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY line ROWS UNBOUNDED PRECEDING), CASE WHEN user_id % 2 = 0 AND max(CASE WHEN is_context THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY line ROWS UNBOUNDED PRECEDING) = 1 THEN 'ctx-' || user_id END, 'dir') AS session,
   last_value(CASE WHEN is_context THEN 'model-' || (k % 4) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS carried, first_value(CASE WHEN is_context THEN 'model-' || (k % 4) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_model FROM l),
@@ -56,9 +59,31 @@ query("codex_records", f"""WITH e AS (SELECT user_id, event_id AS line, event_ty
  g AS (SELECT *, coalesce({_FELL}, false) AS reset, {', '.join(f'CASE WHEN coalesce({_FELL}, false) THEN {_OWN[c]} ELSE t_{c} - coalesce(p_{c}, 0) END AS d_{c}' for c in _KEYS)} FROM c),
  u AS (SELECT user_id, line, session, carried, first_model, reset, CASE WHEN line % 11 <> 0 THEN day END AS d, greatest(d_input_tokens - d_cached_input_tokens - d_cache_write_input_tokens, 0) AS input, d_cached_input_tokens AS cache_read, d_cache_write_input_tokens AS cache_write, d_output_tokens AS output, least(d_reasoning_output_tokens, d_output_tokens) AS reasoning FROM g WHERE NOT (reset AND k % 13 = 0)),
  p AS (SELECT coalesce(carried, first_model, '(unknown)') AS model, carried IS NULL AS parked, CASE WHEN carried IS NULL THEN coalesce(d, '2024-01-' || lpad(CAST(user_id % 28 + 1 AS VARCHAR), 2, '0')) ELSE d END AS d, CASE WHEN carried IS NULL THEN first_value(session) OVER (PARTITION BY user_id, carried IS NULL, coalesce(d, '2024-01-' || lpad(CAST(user_id % 28 + 1 AS VARCHAR), 2, '0')) ORDER BY line) ELSE session END AS session, input, cache_read, cache_write, output, reasoning, reset FROM u WHERE input + cache_read + cache_write + output + reasoning <> 0)
- SELECT model, session, d, CAST(sum(input) AS BIGINT) AS input, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write, CAST(sum(output) AS BIGINT) AS output, CAST(sum(reasoning) AS BIGINT) AS reasoning, count(*) FILTER (WHERE reset) AS resets FROM p GROUP BY 1, 2, 3""")(
-    lambda s, d: DRIVERS["codex"](I.decoded(I.prefiltered(_rollout_lines(s, d), _ROLLOUT.prefilter)), _ROLLOUT).groupBy("model", "session", F.substring("ts", 1, 10).alias("d")).agg(*(F.sum(c).alias(c) for c in ("input", "cache_read", "cache_write", "output", "reasoning")), F.sum("resets").alias("resets"))
-)
+ SELECT model, session, d, CAST(sum(input) AS BIGINT) AS input, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write, CAST(sum(output) AS BIGINT) AS output, CAST(sum(reasoning) AS BIGINT) AS reasoning, count(*) FILTER (WHERE reset) AS resets FROM p GROUP BY 1, 2, 3"""
+
+
+def _rollout_sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("model", "session", F.substring("ts", 1, 10).alias("d")).agg(*(F.sum(c).alias(c) for c in ("input", "cache_read", "cache_write", "output", "reasoning")), F.sum("resets").alias("resets"))
+
+
+query("codex_records", _ROLLOUT_SQL)(lambda s, d: _rollout_sums(DRIVERS["codex"](I.decoded(I.prefiltered(_rollout_lines(s, d), _ROLLOUT.prefilter)), _ROLLOUT)))
+
+
+def _rollout_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same logs as they grow: their lines come in three parts, and a batch reads some files of one."""
+    root = f"{folder(spark)}/rollouts-{uuid.uuid4().hex}"
+    lines = kept(_rollout_lines(spark, d), "lines")
+    third = F.ntile(3).over(Window.partitionBy("file").orderBy("line"))
+    parts = kept(lines.withColumn("part", third), "parts")
+    for k in (1, 2, 3):
+        parts.filter(F.col("part") == k).drop("part").repartition(4, "file").write.mode("append").parquet(f"{root}/lines")
+    found = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 3).parquet(f"{root}/lines")
+    rows = rollouts.records(I.decoded(I.prefiltered(found, _ROLLOUT.prefilter)), _ROLLOUT)
+    rows.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/rows").awaitTermination()
+    return _rollout_sums(rollouts.latest(spark.read.schema(rows.schema).parquet(f"{root}/rows")))
+
+
+query("codex_stream", _ROLLOUT_SQL)(_rollout_stream)
 
 # --- sessions of the command line
 
