@@ -1,4 +1,7 @@
+import re
+
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from ledgerlark.llm import license_scan as L
 
@@ -22,7 +25,7 @@ BSD = """Redistribution and use in source and binary forms, with or without modi
         (BSD.format("Neither the name of X may be used to endorse or promote products.\n"), ["BSD-3-Clause"]),
         (BSD.format(""), ["BSD-2-Clause"]),
         ("Distributed under the terms of the GNU General Public License, version 2; Either version 2 of the License, or (at your option) any later version.", ["GPL-2.0-or-later"]),
-        ("// SPDX-License-Identifier: MIT OR Apache-2.0", ["mit or apache-2.0"]),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT OR Apache-2.0"]),
         ("Copyright (c) 2020 X. All rights reserved.", ["proprietary"]),
         ("Released under the MIT License.\nx\nReleased under the MIT License.\nLicensed under CC BY-SA 3.0.", ["MIT", "CC-BY-SA-3.0"]),
         ("He lost his driving licence. Permission was not given.", []),
@@ -161,5 +164,106 @@ def test_look_ups_against_all_openings():
         text = f"{opening} {further} x"
         # every opening by trying all of them
         want = max((k for k in L.OPENINGS if f"{text} ".startswith(f"{k} ")), key=len)
-        assert L._known(text) == (L.OPENINGS[want][0], None) and L.OPENINGS[want][0] == name
-    assert L._known("we say: " + next(iter(L.OPENINGS))) is None
+        known = L._known(text if name != "ISC_GRANT" else text + " notice")
+        assert known == [(L.OPENINGS[want][0], None)] and L.OPENINGS[want][0] == name
+    assert L._known("we say: " + next(iter(L.OPENINGS))) == []
+
+
+STATED = {
+    "Released under MIT.": ["MIT"],
+    "This is licensed under the MIT License unless otherwise noted.": ["MIT"],
+    "This project is dual-licensed under the MIT License or the Apache License 2.0, at your option.": ["MIT", "Apache-2.0"],
+    "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": ["Apache-2.0", "MIT"],
+    "Content is available under CC BY-SA 3.0 unless otherwise noted.": ["CC-BY-SA-3.0"],
+    "Distributed under the Boost Software License, Version 1.0.": ["BSL-1.0"],
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution.": ["EPL-2.0"],
+    "Licensed under the zlib license.": ["Zlib"],
+    "Licensed under MIT, Apache-2.0 or GPL-3.0-or-later.": ["MIT", "Apache-2.0", "GPL-3.0-or-later"],
+    "It is available under the MIT and BSD licenses.": ["MIT", "BSD-3-Clause"],
+    "This font software is licensed under the SIL Open Font License, Version 1.1.": ["OFL-1.1"],
+    "Copyright (c) 2019 A. Person\n" + MIT: ["MIT"],
+    "Copyright 2019 A. Person\nSPDX-License-Identifier: EPL-2.0": ["EPL-2.0"],
+}
+
+
+@pytest.mark.parametrize("text", STATED)
+def test_ordinary_statements(text):
+    assert L.match(L.identify(text)) == (STATED[text], [])
+
+
+@pytest.mark.parametrize("text", ["This software is licensed under the terms of the Frobnicate licence.", "It is not licensed under MIT.", "Nothing here is licensed under the MIT License.", "SPDX-License-Identifier: (MIT", "The file was licensed under the MIT License.", "Whether it is licensed under the MIT License is unclear."])
+def test_unknown_sentences_are_reported(text):
+    licences, left = L.match(L.identify(text))
+    assert licences == [] and len(left) == 1 and left[0].startswith("UNKNOWN:")
+    assert L.match(L.identify(f"Some words.\n\n{text}\n\nReleased under the MIT License.")) == (["MIT"], left)
+
+
+@pytest.mark.parametrize("text", ["", "Distributed under the trees they sat. The permission came late.", "A licensee? Not here."])
+def test_other_sentences_are_not(text):
+    assert [x for x in L.match(L.identify(text))[0]] == [] and not [x for x in L.identify(text) if x[0] != "UNKNOWN"]
+
+
+@pytest.mark.parametrize("text, want", [("mit", "MIT"), ("(mit OR apache-2.0) and bsd-3-clause", "(MIT OR Apache-2.0) AND BSD-3-Clause"), ("MIT or (Apache-2.0 AND ISC)", "MIT OR Apache-2.0 AND ISC"), ("((MIT))", "MIT"), ("GPL-2.0-ONLY with linux-syscall-note", "GPL-2.0-only WITH Linux-syscall-note"), ("lgpl-2.1+", "LGPL-2.1+"), ("LicenseRef-Own", "LicenseRef-Own"), ("MIT OR", None), ("MIT AND OR ISC", None), ("(MIT", None), ("MIT ISC", None), ("MIT WITH", None), (")", None), ("", None), ("MIT/ISC", None)])
+def test_expressions(text, want):
+    assert L.expression(text) == want
+
+
+NAMES = ["MIT", "Apache-2.0", "ISC", "Zlib", "GPL-2.0-only"]
+TREES = st.recursive(st.sampled_from(NAMES), lambda inner: st.tuples(st.sampled_from(["AND", "OR"]), st.lists(inner, min_size=2, max_size=3)), max_leaves=8)
+
+
+def written(tree, r):
+    if isinstance(tree, str):
+        return r.choice([tree, tree.lower(), f"({tree})"])
+    return "(" + f" {r.choice([tree[0], tree[0].lower()])} ".join(written(x, r) for x in tree[1]) + ")"
+
+
+def truth(tree, have):
+    return tree in have if isinstance(tree, str) else (all if tree[0] == "AND" else any)(truth(x, have) for x in tree[1])
+
+
+def meaning(text, have):
+    """What Python makes of it: its `and` binds closer than its `or`, too."""
+    return eval(re.sub(r"[A-Za-z][\w.-]*", lambda m: m[0].lower() if m[0] in ("AND", "OR") else str(m[0] in have), text))  # noqa: S307
+
+
+@settings(max_examples=150, deadline=None)
+@given(TREES, st.randoms())
+def test_expressions_mean_what_they_were(tree, r):
+    text = L.expression(written(tree, r))
+    for k in range(1 << len(NAMES)):
+        have = {n for j, n in enumerate(NAMES) if k >> j & 1}
+        assert meaning(text, have) == truth(tree, have)
+    assert L.expression(text) == text
+
+
+def brute_match(found):
+    """Every rule written out with and without each of its optional sentences; the first rule with one that fits takes the longest."""
+    found = [x for x in found if x[0] != "UNKNOWN"]
+    out, at = {}, 0
+    left = []
+    while at < len(found):
+        for licence, default, sequence in L.RULES:
+            forms = [[]]
+            for part in ("COPYRIGHT?", *sequence):
+                forms = [f + [part.rstrip("?")] for f in forms] + ([f for f in forms] if part.endswith("?") else [])
+            fits = [f for f in forms if f and [x for x, _ in found[at : at + len(f)]] == f]
+            if fits:
+                n = len(max(fits, key=len))
+                out[L._version(licence, default, next((v for _, v in found[at : at + n] if v), None))] = None
+                at += n
+                break
+        else:
+            left.append(found[at][0])
+            at += 1
+    return list(out), left
+
+
+ALL = sorted({p.rstrip("?") for _, _, s in L.RULES for p in s} | {"COPYRIGHT", "GPL_COPY", "AS_IS", "LIABLE", "LATER"})
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(ALL).map(lambda x: [x]), st.sampled_from([[p.rstrip("?") for p in s] for _, _, s in L.RULES])), max_size=8))
+def test_rules_against_all_forms(parts):
+    found = [(x, None) for p in parts for x in p]
+    assert L.match(found) == brute_match(found)
