@@ -114,8 +114,9 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 packed = np.packbits(presence(raw[a[0] : a[-1]], a - a[0]).astype(bool), axis=1)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("print"), pa.array([x.tobytes() for x in packed], pa.binary())], ["doc_id", "lang", "print", "bits"])
 
-    got = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text", F.xxhash64("text").alias("print")).mapInArrow(bits, "doc_id long, lang string, print long, bits binary").toPandas()
-    got = got.sort_values(["doc_id", "lang", "print"]).drop_duplicates(["doc_id", "lang"])
+    rows = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text", F.xxhash64("text").alias("print")).mapInArrow(bits, "doc_id long, lang string, print long, bits binary")
+    # one row of a repeated doc_id, so at most per_language rows of a language come to the driver
+    got = rows.groupBy("doc_id", "lang").agg(F.min_by("bits", "print").alias("bits")).toPandas().sort_values(["doc_id", "lang"])
     return fit(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), CELLS // 8), got["lang"].tolist())
 
 

@@ -203,8 +203,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = features(raw, at)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("print"), rows.column("quality").cast(pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], ["doc_id", "print", "quality", "x"])
 
-    got = texts.select("doc_id", F.xxhash64("text").alias("print"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(measure, "doc_id long, print long, quality int, x array<double>").toPandas()
-    got = got.sort_values(["doc_id", "print"]).drop_duplicates("doc_id")
+    rows = texts.select("doc_id", F.xxhash64("text").alias("print"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(measure, "doc_id long, print long, quality int, x array<double>")
+    # one row of a repeated doc_id, so at most `sample` rows come to the driver
+    got = rows.groupBy("doc_id").agg(F.min_by(F.struct("quality", "x"), "print").alias("row")).select("doc_id", "row.*").toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(FEATURES))
     return fit(x, (got["quality"].to_numpy() > 0).astype(np.float64))
 
