@@ -112,3 +112,18 @@ def collect(lines: DataFrame, known: DataFrame | None = None, zone: str = "UTC")
     files = lines.filter(~F.col("file").endswith(REVISIONS)).agg(F.count_distinct("file").alias("files"), (F.count_distinct("root") if "root" in lines.columns else F.lit(None)).cast("long").alias("dirs"))
     stats = every.agg(F.count("*").alias("stems")).crossJoin(files).crossJoin(dup.agg(F.count("*").alias("skipped_dup"))).crossJoin(kept.agg(F.count("*").alias("sessions"))).withColumn("skipped_empty", F.col("stems") - F.col("skipped_dup") - F.col("sessions"))
     return {"sessions": kept.drop("stem", "used", "last_model"), "turns": out_turns, "roles": roles, "tools": tools, "stats": stats}
+
+
+def stat_rows(collected: dict[str, DataFrame]) -> DataFrame:
+    """k and v of what collect() took in: dirs, files, sessions, turns, skippedDup, skippedEmpty and tokenTotal."""
+    tokens = collected["turns"].agg(F.count("*").alias("turns"), F.coalesce(F.sum("total"), F.lit(0)).alias("tokenTotal"))
+    one = collected["stats"].crossJoin(tokens)  # one row each
+    named = one.select(F.coalesce("dirs", F.lit(0)).alias("dirs"), "files", "sessions", "turns", F.col("skipped_dup").alias("skippedDup"), F.col("skipped_empty").alias("skippedEmpty"), "tokenTotal")
+    return named.unpivot([], named.columns, "k", "v")
+
+
+def file_checks(collected: dict[str, DataFrame]) -> DataFrame:
+    """Assertions on a collection: sessions can't outnumber files, and every session is kept or counted as skipped."""
+    s = collected["stats"]
+    checks = s.select(F.greatest(F.lit(0), F.col("sessions") - F.col("files")).alias("files_at_least_sessions"), F.abs(F.col("stems") - F.col("sessions") - F.col("skipped_dup") - F.col("skipped_empty")).alias("all_accounted_for"))
+    return checks.unpivot([], checks.columns, "check_name", "violations")

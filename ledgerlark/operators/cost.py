@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerlark.functions.models import half_up
+from ledgerlark.functions.models import half_up, iso_millis
 from ledgerlark.functions.prices import cost, normalized
 
 RANGES = {"1d": 1, "7d": 7, "30d": 30, "all": None}
@@ -176,3 +176,29 @@ def freshness(days: DataFrame, now: str, stale_after: int = 7) -> DataFrame:
     age = F.datediff(F.lit(now).cast("date"), F.col("last_day").cast("date"))
     last = days.groupBy("tool").agg(F.max("d").alias("last_day"))
     return last.select("tool", "last_day", age.cast("long").alias("age_days"), (age > stale_after).alias("stale"))
+
+
+def _stamp(text: Column) -> Column:
+    """A time stamp as it is kept, with a blank or a T before the hour, with or without seconds, in milliseconds; null where there is none."""
+    timed = F.regexp_replace(F.regexp_replace(F.trim(text), r"^(\d{4}-\d{2}-\d{2}) ", "$1T"), r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2})(?![:\d])", "$1:00")
+    return F.nullif(iso_millis(timed), F.lit(0))
+
+
+def freshness_chip(tools: DataFrame, collected_at: str | None, now: str, stale_days: int = 7) -> DataFrame:
+    """One row: whole minutes since the collection (null where that is unknown), how they are said (minutes, hours or days), a tone, and the labels of tools whose last time stamp is older than stale_days. tools: label, last_ts."""
+    at, known = _stamp(F.lit(now)), _stamp(F.lit(collected_at).cast("string"))
+    old = (F.coalesce("label", F.lit("")) != "") & (_stamp(F.col("last_ts")) < at - stale_days * 86_400_000)
+    stale = tools.agg(F.array_sort(F.collect_list(F.when(old, F.col("label")))).alias("stale"))
+    minutes = F.when(known.isNotNull(), F.greatest(F.lit(0), F.floor((at - known) / 60_000 + 0.5))).cast("long")
+    m = F.col("minutes")
+    unit = F.when(m.isNull(), "unknown").when(m < 1, "now").when(m < 60, "minutes").when(m < 1440, "hours").otherwise("days")
+    count = F.when(m < 60, m).when(m < 1440, F.floor(m / 60)).otherwise(F.floor(m / 1440)).cast("long")
+    tone = F.when(m.isNull() | (m >= 1440), "error").when((m >= 180) | (F.size("stale") > 0), "warn").otherwise("ok")
+    return stale.withColumn("minutes", minutes).select("minutes", unit.alias("unit"), count.alias("count"), tone.alias("tone"), "stale")
+
+
+def settings_counters(costs: DataFrame, overrides: DataFrame, fetched_at: str, now: str) -> DataFrame:
+    """One row: models with a price, models, overrides of prices, and the catalogue's age in days."""
+    priced = costs.agg(F.count_if("priced").alias("priced_models"), F.count("*").alias("models"))
+    age = F.datediff(F.lit(now).cast("date"), F.lit(fetched_at).cast("date")).cast("long")
+    return priced.crossJoin(overrides.agg(F.count("*").alias("overrides"))).withColumn("price_age_days", age)  # one row each

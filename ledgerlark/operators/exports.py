@@ -37,3 +37,18 @@ def catalogue_stats(catalogue: DataFrame) -> DataFrame:
 def confidence(resolved: DataFrame, column: str = "model") -> DataFrame:
     """How sure a resolution is: high where the id is a full key."""
     return resolved.withColumn("confidence", F.when(F.col(column) == F.col("full_id"), "high").otherwise("medium"))
+
+
+def price_settings(overrides: DataFrame, policy: str) -> DataFrame:
+    """One JSON text of a user's own prices (key and price_ columns, null ones left out) and the policy for missing ones. Overrides are typed by hand, so they are few."""
+    names = [c for c in overrides.columns if c.startswith("price_")]
+    prices = F.struct(*(F.col(c).alias(c.removeprefix("price_")) for c in names))
+    packed = overrides.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", prices.alias("v"))))).alias("overrides"))
+    return packed.select(F.to_json(F.struct("overrides", F.lit(policy).alias("policy"))).alias("value"))
+
+
+def imported_settings(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The overrides (key and the four prices) and the policy (a row, or none where the text has none) of such a text (column value). What isn't an object has neither."""
+    each = raw.select(F.explode(F.from_json(F.get_json_object("value", "$.overrides"), "map<string,struct<input:double,output:double,cache_read:double,cache_write:double>>")).alias("key", "p"))
+    policy = raw.select(F.get_json_object("value", "$.policy").alias("policy")).filter("policy is not null")
+    return each.select("key", *(F.col(f"p.{c}").alias(f"price_{c}") for c in ("input", "output", "cache_read", "cache_write"))), policy

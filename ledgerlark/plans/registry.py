@@ -264,13 +264,22 @@ def _variants(spark: SparkSession, d: str) -> DataFrame:
 _PEEL = lambda p: f"list_concat(f, list_filter(list_transform(f, lambda k: regexp_replace(k, '{p}', '')), lambda k: k <> ''))"
 _LADDER = "".join(f", p{k + 1} AS (SELECT model, {_PEEL(p)} AS f FROM p{k})" for k, p in enumerate(("--?int$", "--?ga[-_]?[0-9]{4,6}$", "-[0-9]{6}$", "\\([^)]*\\)$", "(?i)-+(?:x-?high|x-?low|efficiency|think(?:ing)?-high)$")))
 # steps keep duplicates; the first place of a key is what counts
-query("key_variants", f"""WITH ids AS (SELECT DISTINCT model FROM (SELECT model_raw AS model FROM turns UNION ALL SELECT (CASE p_partkey % 3 WHEN 0 THEN 'vertex-' WHEN 1 THEN 'a/B/' ELSE '' END) || lower(p_brand) || ['(beta)', '--int-260731', '-ga_2607', '--X-High', '-thinking-high(2)', '-int'][p_partkey % 6 + 1] FROM part)),
- p0 AS (SELECT model, list_filter([model, CASE {' '.join(f"WHEN starts_with(model, '{p}') THEN '{p[:-1]}/' || substr(model, {len(p) + 1})" for p in R.DASH_PREFIXES)} END], lambda k: k IS NOT NULL) AS f FROM ids){_LADDER},
+
+
+def _ladder_sql(ids: str) -> str:
+    """e: model, candidate and i, its first place; ids has the models."""
+    prefixed = " ".join(f"WHEN starts_with(model, '{p}') THEN '{p[:-1]}/' || substr(model, {len(p) + 1})" for p in R.DASH_PREFIXES)
+    return f"""WITH ids AS ({ids}),
+ p0 AS (SELECT model, list_filter([model, CASE {prefixed} END], lambda k: k IS NOT NULL) AS f FROM ids){_LADDER},
  t AS (SELECT model, list_concat(f, list_filter(flatten(list_transform(list_filter(f, lambda k: contains(k, '/')), lambda k: [substr(k, instr(k, '/') + 1), string_split(k, '/')[-1]])), lambda k: k <> '')) AS f FROM p5),
  g AS (SELECT model, list_concat(f, list_filter(flatten(list_transform(f, lambda k: list_transform({list(R.PROVIDER_PATHS)}, lambda p: p || string_split(k, '/')[-1]))), lambda k: k <> '')) AS f FROM t),
- e AS (SELECT model, candidate, min(i) AS i FROM (SELECT model, unnest(f) AS candidate, unnest(range(len(f))) AS i FROM g) GROUP BY 1, 2)
- SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY i) - 1 AS INTEGER) AS pos, candidate FROM e""")(lambda s, d: R.candidates(_variants(s, d)))
-query("price_alias_match", """SELECT DISTINCT model_raw AS model, model_canon AS target FROM turns WHERE NOT starts_with(model_raw, 'azure-') OR true""")(lambda s, d: R.match_prices(_ids(s, d), _price_targets(s, d)).select("model", "target"))
+ e AS (SELECT model, candidate, min(i) AS i FROM (SELECT model, unnest(f) AS candidate, unnest(range(len(f))) AS i FROM g) GROUP BY 1, 2)"""
+
+
+_ODD_IDS = "SELECT DISTINCT model FROM (SELECT model_raw AS model FROM turns UNION ALL SELECT (CASE p_partkey % 3 WHEN 0 THEN 'vertex-' WHEN 1 THEN 'a/B/' ELSE '' END) || lower(p_brand) || ['(beta)', '--int-260731', '-ga_2607', '--X-High', '-thinking-high(2)', '-int'][p_partkey % 6 + 1] FROM part)"
+query("key_variants", f"{_ladder_sql(_ODD_IDS)} SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY i) - 1 AS INTEGER) AS pos, candidate FROM e")(lambda s, d: R.candidates(_variants(s, d)))
+query("price_alias_match", f"""{_ladder_sql("SELECT DISTINCT model_raw AS model FROM turns")}, a AS (SELECT lower(alias) AS alias, min(target) AS target FROM (SELECT model_canon AS target, unnest([model_canon, string_split(model_canon, '/')[-1], 'Kimi/' || model_canon]) AS alias FROM prices) GROUP BY 1)
+ SELECT model, arg_min(target, i) AS target FROM e JOIN a ON alias = lower(candidate) GROUP BY 1""")(lambda s, d: R.match_prices(_ids(s, d), _price_targets(s, d)).select("model", "target"))
 query("price_models", "SELECT DISTINCT model_raw AS model, CASE WHEN price_input IS NOT NULL THEN t.model_canon END AS target, CASE WHEN price_input IS NOT NULL THEN 'catalogue' ELSE 'unpriced' END AS via, price_input FROM turns t JOIN prices p ON p.model_canon = t.model_canon")(lambda s, d: R.price_models(_ids(s, d), _price_targets(s, d)))
 _CATALOGUE_SQL = """cat AS (SELECT 'maker/' || model_canon AS full_id, 'maker' AS provider, model_canon, CASE WHEN n % 2 = 0 THEN price_input END AS price, n % 3 = 0 AND n % 5 <> 0 AS lab, n FROM (SELECT *, CAST(regexp_extract(model_canon, '([0-9]+)$', 1) AS BIGINT) AS n FROM prices)
   UNION ALL SELECT 'kimi/' || model_canon, 'kimi', model_canon, n * 1.0::DOUBLE, false, n FROM (SELECT *, CAST(regexp_extract(model_canon, '([0-9]+)$', 1) AS BIGINT) AS n FROM prices) WHERE n % 5 <> 0

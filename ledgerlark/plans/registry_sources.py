@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerlark.functions.models import local_day
 from ledgerlark.functions.prices import normalized
-from ledgerlark.operators import assembly as A, catalogue as K, cli_sessions as S, external as X, ingest as I, own_store as O, resolve as R, rollups as Y, warehouse as W
+from ledgerlark.operators import assembly as A, catalogue as K, cli_sessions as S, cost as C, exports, external as X, ingest as I, own_store as O, resolve as R, rollups as Y, warehouse as W
 from ledgerlark.operators.drivers import DRIVERS
 from ledgerlark.plans import views as V
 from ledgerlark.plans.duck import canon
 from ledgerlark.plans.kept import folder, kept
-from ledgerlark.plans.registry import NOW, _ext, _ext_days, _own_costs, _own_day_cost, _round, query
+from ledgerlark.plans.registry import NOW, _OVERRIDE_SQL, _ext, _ext_days, _override_tables, _own_costs, _own_day_cost, _round, query
 from ledgerlark.plans.registry_ranges import _BURN, _COMMITS, _MODEL_AGG, _commits, _ext_models, _model_agg, _repos
 from ledgerlark.streaming import rollouts
 
@@ -108,6 +108,24 @@ query("cli_fold", """WITH m AS (SELECT conv_id, turn, role, length(text) AS n, s
     lambda s, d: S.collect(I.decoded(_cli_lines(s, d)))["turns"].groupBy("session", "status", "model_canon", "has_usage").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("input", "output", "total")), F.sum(F.col("ended_at") - F.col("started_at")).alias("ms"))
 )
 
+
+
+def _collected(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The logs of conversations below two roots; every fourth session is known from elsewhere."""
+    conv = F.regexp_extract("file", "c([0-9]+)", 1).cast("long")
+    lines = I.decoded(_cli_lines(spark, d)).withColumn("root", (conv % 2).cast("int"))
+    known = V.table(spark, d, "conversations").filter("conv_id % 4 = 0").select(F.concat(F.lit("s"), "conv_id").alias("id"))
+    return S.collect(lines, known)
+
+
+_COLLECTED = """m AS (SELECT conv_id, turn, role, length(text) AS n, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role IN ('user', 'assistant')),
+ c AS (SELECT conv_id, conv_id % 4 = 0 AS dup, conv_id IN (SELECT conv_id FROM m WHERE role = 'assistant') AS used FROM (SELECT DISTINCT conv_id FROM conversations)), ok AS (SELECT conv_id FROM c WHERE used AND NOT dup),
+ st AS (SELECT count(*) AS files, count(*) FILTER (WHERE dup) AS dups, count(*) FILTER (WHERE NOT dup AND NOT used) AS empty, count(*) FILTER (WHERE used AND NOT dup) AS sessions, count(DISTINCT conv_id % 2) AS dirs FROM c)"""
+query("cli_statistics", f"""WITH {_COLLECTED}, tt AS (SELECT count(DISTINCT (conv_id, k)) AS turns, CAST(coalesce(sum(n + turn) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS tokens FROM m WHERE conv_id IN (SELECT conv_id FROM ok))
+ SELECT 'dirs' AS k, dirs AS v FROM st UNION ALL SELECT 'files', files FROM st UNION ALL SELECT 'sessions', sessions FROM st UNION ALL SELECT 'turns', turns FROM tt UNION ALL SELECT 'skippedDup', dups FROM st UNION ALL SELECT 'skippedEmpty', empty FROM st UNION ALL SELECT 'tokenTotal', tokens FROM tt""")(lambda s, d: S.stat_rows(_collected(s, d)))
+query("cli_checks", "SELECT 'files_at_least_sessions' AS check_name, CAST(greatest(0, count(DISTINCT conv_id) FILTER (WHERE role = 'assistant' AND conv_id % 4 <> 0) - count(DISTINCT conv_id)) AS BIGINT) AS violations FROM conversations UNION ALL SELECT 'all_accounted_for', CAST(0 AS BIGINT)")(lambda s, d: S.file_checks(_collected(s, d)))
+query("cli_tool_errors", f"""WITH {_COLLECTED} SELECT 'role' AS kind, role AS name, count(*) AS n, count(*) FILTER (WHERE role = 'assistant' AND length(text) % 7 = 0) AS errors FROM conversations WHERE conv_id IN (SELECT conv_id FROM ok) GROUP BY 1, 2""")(lambda s, d: _collected(s, d)["roles"].select(F.lit("role").alias("kind"), "name", "n", "errors"))
+
 # --- the own database
 
 
@@ -256,11 +274,37 @@ query("hours_of_a_day", "SELECT h, count(*) AS turns, CAST(sum(total) AS BIGINT)
 query("epoch_times", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || 'Z' WHEN user_id % 3 = 1 THEN 'at ' || event_id END AS ts FROM events")(
     lambda s, d: V.table(s, d, "events").select("event_id", I.time_text(F.when(F.col("user_id") % 3 == 0, (F.unix_millis(F.date_trunc("second", F.col("ts").cast("timestamp"))) + F.col("event_id") % 1000).cast("string")).when(F.col("user_id") % 3 == 1, F.concat(F.lit("at "), "event_id")).otherwise(F.col("event_id").cast("string"))).alias("ts"))
 )
-_ADDED = I.Manifest.of({"id": "added", "paths": ["-"], "fields": {"model": ["message.model"], "input": ["message.usage.input_tokens"], "output": ["message.usage.output_tokens"], "reasoning": ["message.usage.thinking"]}, "outputAdd": ["message.usage.thinking"], "reasoningIsSubsetOfOutput": False, "where": {"message.usage": {"input_tokens": 7}}})
-query("output_add", "SELECT coalesce(model, '(unknown)') AS model, CAST(sum(coalesce(output_tokens, 0) + coalesce(thinking, 0)) AS BIGINT) AS output, CAST(sum(coalesce(thinking, 0)) AS BIGINT) AS reasoning FROM raw_records GROUP BY 1")(lambda s, d: I.normalized(I.decoded(V.raw_records(s, d)), _ADDED).groupBy("model").agg(F.sum("output").alias("output"), F.sum("reasoning").alias("reasoning")))
-query("price_tables", "SELECT model_canon AS key, CASE WHEN price_input IS NULL THEN 'missing' ELSE 'catalogue' END AS via, price_input IS NOT NULL AND (price_cache_read IS NULL OR price_cache_write IS NULL OR price_output IS NULL) AS estimated FROM prices")(
-    lambda s, d: R.overrides(V.prices(s, d).select(F.col("model_canon").alias("key"), "price_input", "price_output"), *(V.prices(s, d).limit(0).select(F.col("model_canon").alias("key"), "price_input", "price_output") for _ in range(2))).join(V.prices(s, d).withColumns(normalized()).select(F.col("model_canon").alias("key"), (F.size("estimated") > 0).alias("estimated")), "key").select("key", "via", "estimated")
+_ADDED = I.Manifest.of({"id": "added", "paths": ["-"], "fields": {"model": ["message.model"], "input": ["message.usage.input_tokens"], "output": ["message.usage.output_tokens"], "reasoning": ["message.usage.thinking"]}, "outputAdd": ["message.usage.thinking"], "reasoningIsSubsetOfOutput": False, "where": {"type": "purchase"}, "require": ["message.usage.thinking"]})
+query("output_add", "SELECT coalesce(model, '(unknown)') AS model, count(*) AS n, CAST(sum(output_tokens + thinking) AS BIGINT) AS output, CAST(sum(thinking) AS BIGINT) AS reasoning FROM raw_records WHERE type = 'purchase' AND has AND input_tokens + output_tokens + thinking <> 0 GROUP BY 1")(
+    lambda s, d: I.normalized(I.decoded(V.raw_records(s, d)), _ADDED).filter("has_usage").groupBy("model").agg(F.count("*").alias("n"), F.sum("output").alias("output"), F.sum("reasoning").alias("reasoning"))
+)
+
+
+def _price_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Where each model's price comes from, and whether parts of that price are estimated: custom and manual prices have an input and an output price at most."""
+    prices = V.prices(spark, d)
+    catalogue, custom, manual = _override_tables(spark, d)
+    chosen = R.overrides(catalogue, custom, manual)
+    cache = prices.select(F.col("model_canon").alias("key"), "price_cache_read", "price_cache_write")
+    own = F.col("via") == "catalogue"
+    full = chosen.join(cache, "key").withColumns({c: F.when(own, F.col(c)) for c in ("price_cache_read", "price_cache_write")})
+    return full.withColumns(normalized()).select("key", "via", "price_input", F.array_join("estimated", "|").alias("estimated"))
+
+
+query("price_settings_roundtrip", f"SELECT key, price_input, CAST(NULL AS DOUBLE) AS price_output, CAST(NULL AS DOUBLE) AS price_cache_read, CAST(NULL AS DOUBLE) AS price_cache_write, 'inputprice' AS policy FROM ({_OVERRIDE_SQL}) WHERE via = 'manual'")(
+    # written as one text and read back
+    lambda s, d: (lambda text: exports.imported_settings(text)[0].crossJoin(exports.imported_settings(text)[1]))(exports.price_settings(_override_tables(s, d)[2], "inputprice"))
+)
+query("settings_counters", f"SELECT count(*) FILTER (WHERE priced) AS priced_models, count(*) AS models, (SELECT count(*) FROM ({_OVERRIDE_SQL}) WHERE via = 'manual') AS overrides, CAST(date_diff('day', DATE '2001-11-01', DATE '{NOW}') AS BIGINT) AS price_age_days FROM model_costs")(
+    lambda s, d: C.settings_counters(_own_costs(s, d), _override_tables(s, d)[2], "2001-11-01", NOW)
+)
+query("freshness_chip", """SELECT CAST(125 AS BIGINT) AS minutes, 'hours' AS unit, CAST(2 AS BIGINT) AS count, CASE WHEN count(*) FILTER (WHERE last < TIMESTAMP '2024-01-31 00:05:00') > 0 THEN 'warn' ELSE 'ok' END AS tone, coalesce(string_agg(tool, '|' ORDER BY tool) FILTER (WHERE last < TIMESTAMP '2024-01-31 00:05:00'), '') AS stale
+ FROM (SELECT tool, max(CAST(substr(ts, 1, 19) AS TIMESTAMP)) AS last FROM (SELECT * FROM external WHERE tool <> 'view' OR d < '2024-01-20') GROUP BY 1)""")(
+    lambda s, d: C.freshness_chip(X.tool_totals(_ext(s, d).filter("tool <> 'view' or d < '2024-01-20'")).select(F.col("tool").alias("label"), "last_ts"), "2024-02-06 22:00", "2024-02-07 00:05").withColumn("stale", F.array_join("stale", "|"))
 )
+_OWN_PRICE = "via = 'catalogue' AND {} IS NOT NULL"
+query("price_tables", f"""SELECT key, via, price_input, CASE WHEN price_input IS NULL THEN '' ELSE concat_ws('|', CASE WHEN NOT ({_OWN_PRICE.format('price_cache_read')}) THEN 'cache_read' END, CASE WHEN NOT ({_OWN_PRICE.format('price_cache_write')}) THEN 'cache_write' END, CASE WHEN price_output IS NULL THEN 'output' END) END AS estimated
+ FROM ({_OVERRIDE_SQL}) JOIN (SELECT model_canon, price_cache_read, price_cache_write FROM prices) ON model_canon = key""")(_price_tables)
 query("page_kpis_cost", f"SELECT round(sum(coalesce(unit, 0.0::DOUBLE) * own_tokens / 1e6::DOUBLE + ext_cost), 4) AS range_cost, count(*) FILTER (WHERE own_tokens > 0 AND priced) AS own_priced, count(*) FILTER (WHERE ext_tokens > 0 AND ext_cost > 0) AS ext_priced FROM {_MODEL_AGG} a LEFT JOIN model_units u USING (key)")(
     lambda s, d: _model_agg(s, d).join(_own_costs(s, d).select("key", "unit", "priced"), "key", "left").agg(F.round(F.sum(F.coalesce("unit", F.lit(0.0)) * F.col("own_tokens") / 1e6 + F.col("ext_cost")), 4).alias("range_cost"), F.count_if((F.col("own_tokens") > 0) & F.col("priced")).alias("own_priced"), F.count_if((F.col("ext_tokens") > 0) & (F.col("ext_cost") > 0)).alias("ext_priced"))
 )
