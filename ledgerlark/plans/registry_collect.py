@@ -145,3 +145,49 @@ def _publish(spark: SparkSession, d: str) -> DataFrame:
 
 _BLOCKS = " UNION ALL ".join(f"SELECT {v} AS version, '{block}' AS block, {key} AS name, CAST(sum(total) AS BIGINT) AS total FROM turns WHERE {where} GROUP BY 3" for v, rows in ((1, "tool = 'pi'"), (2, "true")) for block, key, where in (("models", "model_canon", rows), ("days", "coalesce(d, '')", rows), ("hours", "h", f"h IS NOT NULL AND {rows}")))
 query("warehouse_versions", f"SELECT CAST(version AS BIGINT) AS version, block, name, total FROM ({_BLOCKS})")(_publish)
+
+# --- documents: arrays, single objects, and files that turn out to be lines
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations in 30 files: of each three, one holds an array, one an object with an array, and one lines."""
+    root, g = _root(spark, "documents"), F.col("g")
+    entry = F.to_json(F.struct(F.concat(F.lit("s"), "conv_id").alias("sessionId"), F.col("n").alias("turns")))
+    c = V.table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).select((F.col("conv_id") % 30).cast("int").alias("g"), "conv_id", entry.alias("entry"))
+    kept_ = kept(c, "documents")
+    all_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "entry"))), lambda x: x["entry"]), ",\n ")
+    whole = kept_.filter(g % 3 != 2).groupBy("g").agg(all_.alias("all")).select("g", F.lit(0).cast("long").alias("event"), F.when(g % 3 == 0, F.concat(F.lit(" [\n"), "all", F.lit("]\n"))).otherwise(F.concat(F.lit('{"group": '), g, F.lit(', "items": ['), "all", F.lit("]}"))).alias("value"))
+    lines = kept_.filter(g % 3 == 2).select("g", F.col("conv_id").alias("event"), F.col("entry").alias("value"))
+    _write(whole.unionByName(lines).withColumn("log", F.concat("g", F.lit(ODD))), f"{root}/docs")
+    found = readers.documents(spark, [s.path for s in P.listed(spark, f"{root}/docs") if s.path.endswith(".txt")])
+    obj = F.col("obj")
+    return found.select("dir", "line", I.dig(obj, "sessionId").alias("session"), I.dig(obj, "group", "bigint").alias("grp"), F.coalesce(I.dig(obj, "turns", "bigint"), F.size(F.try_variant_get(obj, "$.items", "array<variant>")).cast("long")).alias("n"))
+
+
+# a file of one line is one document
+query("documents_scan", f"""WITH c AS (SELECT conv_id, conv_id % 30 AS g, count(*) AS n FROM conversations GROUP BY 1, 2), p AS (SELECT *, CASE WHEN g % 3 = 2 AND count(*) OVER (PARTITION BY g) = 1 THEN 0 ELSE row_number() OVER (PARTITION BY g ORDER BY conv_id) END AS line FROM c)
+ SELECT 'log=' || g || '{ON_DISK}' AS dir, line, 's' || conv_id AS session, CAST(NULL AS BIGINT) AS grp, n FROM p WHERE g % 3 <> 1 UNION ALL SELECT 'log=' || g || '{ON_DISK}', 0, NULL, g, count(*) FROM c WHERE g % 3 = 1 GROUP BY g""")(_documents)
+
+# --- a collection of several tools: which file belongs to whom, and what a subset of tools gives
+
+
+def _usage(spark: SparkSession, d: str, chosen: tuple[str, ...]) -> DataFrame:
+    """Files of five tools, of which two name some of the same files; only the chosen tools are collected."""
+    root = _root(spark, "tools")
+    lines = _lines(spark, d).withColumn("log", F.concat("type", F.lit(" "), "k", F.lit(ODD)))
+    _write(lines, f"{root}/logs")
+    stamps = [s for s in P.listed(spark, f"{root}/logs") if s.path.endswith(".txt")]
+    # the first names all files of clicks and views, the second views and errors, the third errors and the rest
+    names = {"a": ("click", "view"), "b": ("view", "error", "signup"), "c": ("error", "purchase")}
+    manifests = [_manifest(n) for n in names]
+    owned, _ = P.claim((m, [s.path for s in stamps if s.path.rpartition("/log=")[2].split(" ")[0] in names[m.id]]) for m in manifests)
+    parts = [I.deduplicated(collect.contributions(spark, m, owned[m.id])) for m in manifests if m.id in chosen]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return _sums(out, "tool", "model")
+
+
+_OWNER = "CASE type WHEN 'click' THEN 'a' WHEN 'view' THEN 'a' WHEN 'error' THEN 'b' WHEN 'signup' THEN 'b' ELSE 'c' END"
+query("claimed_collection", f"""WITH f AS (SELECT *, {_OWNER} AS tool, row_number() OVER (PARTITION BY {_OWNER}, id ORDER BY type, file, line) AS rn FROM raw_records WHERE has OR type = 'error')
+ SELECT tool, coalesce(model, '(unknown)') AS model, {_SQL_SUMS} FROM f WHERE rn = 1 AND {_USED} AND tool IN ('a', 'c') GROUP BY 1, 2""")(lambda s, d: _usage(s, d, ("a", "c")))

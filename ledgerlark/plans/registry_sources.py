@@ -126,6 +126,55 @@ query("cli_statistics", f"""WITH {_COLLECTED}, tt AS (SELECT count(DISTINCT (con
 query("cli_checks", "SELECT 'files_at_least_sessions' AS check_name, CAST(greatest(0, count(DISTINCT conv_id) FILTER (WHERE role = 'assistant' AND conv_id % 4 <> 0) - count(DISTINCT conv_id)) AS BIGINT) AS violations FROM conversations UNION ALL SELECT 'all_accounted_for', CAST(0 AS BIGINT)")(lambda s, d: S.file_checks(_collected(s, d)))
 query("cli_tool_errors", f"""WITH {_COLLECTED} SELECT 'role' AS kind, role AS name, count(*) AS n, count(*) FILTER (WHERE role = 'assistant' AND length(text) % 7 = 0) AS errors FROM conversations WHERE conv_id IN (SELECT conv_id FROM ok) GROUP BY 1, 2""")(lambda s, d: _collected(s, d)["roles"].select(F.lit("role").alias("kind"), "name", "n", "errors"))
 
+
+
+def _tool_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A log for each user with all kinds of records: models change at sign-ups, views are questions, clicks answer them and call tools, purchases are results of the last call, and errors compact the session."""
+    e = V.table(spark, d, "events").select("user_id", F.col("event_id").alias("line"), F.col("event_type").alias("t"), F.floor("value").cast("long").alias("v"))
+    call = F.last(F.when(F.col("t") == "click", F.concat(F.lit("c"), "line")), ignorenulls=True).over(Window.partitionBy("user_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    e = e.withColumn("call", call)
+    stamp = F.concat(F.date_format(F.expr("timestamp_ntz '2024-03-01 00:00:00'") + F.make_interval(secs=F.col("line").cast("decimal(18,3)")), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("timestamp")
+    ident = F.concat(F.lit("r"), "line").alias("id")
+    usage = F.struct(F.col("v").alias("input"), F.lit(1).alias("output")).alias("usage")
+    blocks = F.array(F.struct(F.lit("text").alias("type"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name")), F.struct(F.lit("toolCall").alias("type"), F.concat(F.lit("c"), "line").alias("id"), F.concat(F.lit("tool-"), F.col("v") % 5).alias("name"))).alias("content")
+    said = lambda *more: F.to_json(F.struct(F.lit("message").alias("type"), ident, stamp, F.struct(stamp, *more).alias("message")))
+    text = (
+        F.when(F.col("t") == "signup", F.to_json(F.struct(F.lit("model_change").alias("type"), ident, stamp, F.concat(F.lit("openai/m-"), F.col("v") % 3).alias("modelId"))))
+        .when(F.col("t") == "view", said(F.lit("user").alias("role")))
+        .when(F.col("t") == "click", said(F.lit("assistant").alias("role"), usage, F.when(F.col("v") % 4 == 0, "toolUse").when(F.col("v") % 9 == 1, "error").otherwise("stop").alias("stopReason"), blocks))
+        .when(F.col("t") == "purchase", said(F.lit("toolResult").alias("role"), F.col("call").alias("toolCallId"), (F.col("v") > 60).alias("isError")))
+        .otherwise(F.to_json(F.struct(F.lit("compaction").alias("type"), ident, stamp, usage)))
+    )
+    file = F.concat(F.lit("/logs/u"), "user_id", F.lit(".jsonl"))
+    first = F.to_json(F.struct(F.lit("session").alias("type"), F.lit(1).alias("version"), F.concat(F.lit("s"), "user_id").alias("id"), F.lit("2024-03-01T00:00:00Z").alias("timestamp"), F.concat(F.lit("/w/p"), F.col("user_id") % 3).alias("cwd")))
+    heads = e.select("user_id").distinct().select(file.alias("file"), F.lit(-1).cast("long").alias("line"), first.alias("value"))
+    return heads.unionByName(e.select(file.alias("file"), "line", text.alias("value")))
+
+
+def _tool_fold(spark: SparkSession, d: str) -> DataFrame:
+    out = S.collect(I.decoded(_tool_lines(spark, d)))
+    counts = out["tools"].select(F.lit("tool").alias("kind"), "name", "n", "errors").unionByName(out["roles"].select(F.lit("role").alias("kind"), "name", "n", "errors"))
+    t = out["turns"]
+    turns = t.groupBy(F.lit("status").alias("kind"), F.col("status").alias("name")).agg(F.count("*").alias("n"), F.sum("input").alias("errors"))
+    models = t.groupBy(F.lit("model").alias("kind"), F.col("model_canon").alias("name")).agg(F.count("*").alias("n"), F.sum("input").alias("errors"))
+    sessions = out["sessions"].groupBy(F.lit("project").alias("kind"), F.col("project").alias("name")).agg(F.sum("turns").alias("n"), F.sum("messages").alias("errors"))
+    return counts.unionByName(turns).unionByName(models).unionByName(sessions).withColumnRenamed("errors", "m")
+
+
+query("cli_fold_tools", """WITH e AS (SELECT user_id AS u, event_id AS line, event_type AS t, CAST(floor(value) AS BIGINT) AS v, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS call FROM events),
+ ok AS (SELECT DISTINCT u FROM e WHERE t IN ('click', 'error')), w AS (SELECT *, last_value(CASE WHEN t = 'signup' THEN 'm-' || (v % 3) END IGNORE NULLS) OVER (PARTITION BY u ORDER BY line ROWS UNBOUNDED PRECEDING) AS carried, max(CASE WHEN t = 'signup' THEN line END) OVER (PARTITION BY u) AS lastmodel,
+  sum(CASE WHEN t = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY u ORDER BY line) AS k FROM e WHERE u IN (SELECT u FROM ok)),
+ calls AS (SELECT line, 'tool-' || (v % 5) AS name FROM w WHERE t = 'click'), bad AS (SELECT DISTINCT call FROM w WHERE t = 'purchase' AND v > 60 AND call IS NOT NULL),
+ mm AS (SELECT u, 'm-' || (v % 3) AS last_model FROM e WHERE t = 'signup' QUALIFY row_number() OVER (PARTITION BY u ORDER BY line DESC) = 1),
+ tt AS (SELECT u, coalesce(max_by(carried, line) FILTER (WHERE t = 'click' AND carried IS NOT NULL), NULL) AS model, CASE WHEN coalesce(max_by(v % 9 = 1, line) FILTER (WHERE t = 'click' AND v % 4 <> 0), false) THEN 'error' ELSE 'completed' END AS status, coalesce(sum(v) FILTER (WHERE t = 'click'), 0) AS input FROM w WHERE t IN ('view', 'click') GROUP BY u, k
+  UNION ALL SELECT u, carried, 'completed', v FROM w WHERE t = 'error'),
+ named AS (SELECT t.*, coalesce(model, last_model, '(unknown)') AS name FROM tt t LEFT JOIN mm USING (u)),
+ msg AS (SELECT u, count(*) AS messages FROM w WHERE t IN ('view', 'click', 'purchase') GROUP BY 1), tn AS (SELECT u, count(*) AS n_turns FROM tt GROUP BY 1)
+ SELECT 'tool' AS kind, name, count(*) AS n, count(bad.call) AS m FROM calls LEFT JOIN bad ON bad.call = calls.line GROUP BY 2
+ UNION ALL SELECT 'role', CASE t WHEN 'view' THEN 'user' WHEN 'click' THEN 'assistant' ELSE 'toolResult' END, count(*), count(*) FILTER (WHERE (t = 'purchase' AND v > 60) OR (t = 'click' AND v % 4 <> 0 AND v % 9 = 1)) FROM w WHERE t IN ('view', 'click', 'purchase') GROUP BY 2
+ UNION ALL SELECT 'status', status, count(*), CAST(sum(input) AS BIGINT) FROM tt GROUP BY 2 UNION ALL SELECT 'model', name, count(*), CAST(sum(input) AS BIGINT) FROM named GROUP BY 2
+ UNION ALL SELECT 'project', 'p' || (u % 3), CAST(sum(n_turns) AS BIGINT), CAST(sum(coalesce(messages, 0)) AS BIGINT) FROM tn LEFT JOIN msg USING (u) GROUP BY 2""")(_tool_fold)
+
 # --- the own database
 
 
