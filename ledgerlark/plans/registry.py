@@ -195,10 +195,6 @@ query("cumulative_delta", """SELECT model, day, count(*) AS n, CAST(sum(delta) A
 )
 query("session_fold", """SELECT stem, turn_no, count(*) AS messages, CAST(sum(CASE WHEN role = 'assistant' THEN tokens ELSE 0 END) AS BIGINT) AS output, CAST(sum(CASE WHEN role <> 'assistant' THEN tokens ELSE 0 END) AS BIGINT) AS input, max(CASE WHEN role = 'assistant' THEN turn END) AS last_ord, bool_or(role = 'assistant') AS has_usage
   FROM (SELECT 'c' || conv_id AS stem, turn, role, length(text) AS tokens, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS turn_no FROM conversations) GROUP BY 1, 2""")(lambda s, d: S.fold_turns(V.conversation_records(s, d)))
-query("stream_dedup_hourly", "SELECT tool, replace(h, 'T', ' ') AS h, count(*) AS n FROM external GROUP BY 1, 2")(
-    lambda s, d: S.hourly(X.first_wins(V.external(s, d), ["tool", "dedup_key"], ["ord"]).filter("input + cache_read + cache_write + output > 0").withColumn("ts", F.to_timestamp_ntz(F.substring("ts", 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))))
-)
-
 # --- prices and costs
 
 query("price_policy", "SELECT model_canon, unit_input, unit_cache_read, unit_cache_write, unit_output, price_input IS NOT NULL AS price_ok, CASE WHEN price_input IS NULL THEN '' ELSE concat_ws('|', CASE WHEN price_cache_read IS NULL THEN 'cache_read' END, CASE WHEN price_cache_write IS NULL THEN 'cache_write' END, CASE WHEN price_output IS NULL THEN 'output' END) END AS estimated FROM units")(

@@ -11,6 +11,7 @@ from ledgerlark.plans import collect, incremental, views as V, warehouse_store
 from ledgerlark.plans.kept import folder, kept
 from ledgerlark.plans.registry import query
 from ledgerlark.sources import paths as P, readers
+from ledgerlark.streaming import usage
 
 #: of every log's folder: a blank, an umlaut, a plus and per cent signs, which the writer escapes once and a reader's URI twice
 ODD = " ü+x 100%"
@@ -191,3 +192,23 @@ def _usage(spark: SparkSession, d: str, chosen: tuple[str, ...]) -> DataFrame:
 _OWNER = "CASE type WHEN 'click' THEN 'a' WHEN 'view' THEN 'a' WHEN 'error' THEN 'b' WHEN 'signup' THEN 'b' ELSE 'c' END"
 query("claimed_collection", f"""WITH f AS (SELECT *, {_OWNER} AS tool, row_number() OVER (PARTITION BY {_OWNER}, id ORDER BY type, file, line) AS rn FROM raw_records WHERE has OR type = 'error')
  SELECT tool, coalesce(model, '(unknown)') AS model, {_SQL_SUMS} FROM f WHERE rn = 1 AND {_USED} AND tool IN ('a', 'c') GROUP BY 1, 2""")(lambda s, d: _usage(s, d, ("a", "c")))
+
+# --- usage records as a stream
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """Records arrive in files, repeated ones in any batch. Hours are appended when they can't change any more; two late records, which don't count, close the last ones."""
+    root = _root(spark, "stream")
+    used = F.col("input") + F.col("cache_read") + F.col("cache_write") + F.col("output")
+    records = V.external(spark, d).select("tool", "dedup_key", F.to_timestamp_ntz(F.substring("ts", 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp").alias("ts"), used.alias("total"))
+    records.repartition(6).write.parquet(f"{root}/in")
+    for k in (1, 2):
+        records.agg(F.lit("(end)").alias("tool"), F.lit(f"end {k}").alias("dedup_key"), (F.max("ts") + F.make_interval(days=F.lit(200 * k))).alias("ts"), F.lit(1).cast("long").alias("total")).write.mode("append").parquet(f"{root}/in")
+    hours = usage.hourly(usage.deduplicated(usage.read(spark, f"{root}/in", records.schema, 2), "100 days").filter("total > 0"))
+    usage.write(hours, f"{root}/out", f"{root}/state").awaitTermination()
+    out = spark.read.schema(hours.schema).parquet(f"{root}/out").filter("tool <> '(end)'")
+    return out.select("tool", F.date_format("hour", "yyyy-MM-dd HH").alias("h"), "n")
+
+
+# which of several copies comes first is up to the batches, so their tokens aren't compared
+query("stream_dedup_hourly", "SELECT tool, replace(h, 'T', ' ') AS h, count(*) AS n FROM external GROUP BY 1, 2")(_stream)
