@@ -89,12 +89,31 @@ def test_a_tiny_source_does_not_stretch_the_mix(spark):
     assert len(M.plan(table).collect()) < 1.1 * sum(sizes.values())
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 5000), min_size=1, max_size=6), st.integers(1, 70), st.integers(8, 200))
-def test_periods_hold_every_row(rows, block, most):
-    each, times = M.periods(rows, block, most)
-    assert all(k * times * block >= n for k, n in zip(each, rows)) and sum(each) < most + len(rows)
-    assert all(k * times - -(-n // block) < times for k, n in zip(each, rows))
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 200), min_size=1, max_size=9).filter(any), st.integers(1, 90))
+def test_periods_make_the_whole_schedule(slots, period):
+    out = []
+    for k, placed in enumerate(M.states(slots, period)):
+        out += M.run(slots, placed, k * period, min((k + 1) * period, sum(slots)))
+    assert out == M.schedule(slots)
+
+
+@pytest.mark.parametrize("docs", [[10**8, 1000], [10**8, 10**8, 3 * 10**7, 640], [7 * 10**7, 64, 65, 1]])
+def test_deviation_in_mixes_of_many_periods(docs):
+    """Every border, and every slot of some periods, at sizes where shares are far from whole blocks a period."""
+    rows = M.allot(docs, [float(n) ** M.TEMPER for n in docs])
+    slots = [-(-n // M.BLOCK) for n in rows]
+    total, period = sum(slots), 1 << 17
+    every = M.states(slots, period)
+    assert len(every) > 8
+    for k, placed in enumerate(every):
+        t = k * period
+        assert sum(placed) == t and all(abs(p * total - n * t) < total for p, n in zip(placed, slots))
+    for k in (1, len(every) // 2, len(every) - 1):
+        placed = list(every[k])
+        for t, _ in enumerate(M.run(slots, placed, k * period, min((k + 1) * period, total)), k * period):
+            # what has been given before slot t
+            assert all(abs(p * total - n * t) < total for p, n in zip(placed, slots))
 
 
 def test_a_mix_of_many_periods(spark, monkeypatch):
