@@ -194,6 +194,8 @@ class Reader:
         article, main, doubtful = self.region
         self.count += 1
         if name == "article":
+            # reader comments and teasers are often articles of their own
+            self.apart = self.apart or (bool(attributes) and _doubt(attributes) == 2)
             article = article or self.count
         elif name == "main":
             main = main or self.count

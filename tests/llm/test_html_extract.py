@@ -89,3 +89,15 @@ def test_a_long_broken_page_takes_no_longer(piece):
     H.main_text(piece * (1_000_000 // len(piece)))
     H.main_text("<ul>" + "<b>" * 100_000 + piece * 100_000)
     assert time.process_time() - began < 12
+
+
+def test_comments_as_articles():
+    story = "<p>" + "The harbour was quiet, and the boats lay still in the evening light. " * 4 + "</p>"
+    comment = "<p>" + "I was there too, and I liked every minute of it, thank you for the story! " * 4 + "</p>"
+    own = H.main_text(f"<body><article>{story}</article></body>")
+    for mark in ('class="comment"', 'id="comment-7"', 'class="comments-list item"', 'role="complementary"', 'class="related post"', "hidden"):
+        assert H.main_text(f"<body><article>{story}</article><section><article {mark}>{comment}</article></section></body>") == own
+        assert H.main_text(f"<body><article>{story}<article {mark}>{comment}</article></article></body>") == own
+    # names that only contain such a word, or say nothing of the kind, are the article's own
+    for mark in ('class="post"', 'class="story share-price"', 'id="main-content"', ""):
+        assert H.main_text(f"<body><article {mark}>{story}</article></body>") == own
