@@ -131,7 +131,7 @@ def test_every_perturbed_leaf_is_listed(spark):
         new = (not old) if isinstance(old, bool) else old + 1 if isinstance(old, int | float) else old + "!"
         cases += [changed(doc, at, new), changed(doc, at, None)]
         want += [(str(old).lower() if isinstance(old, bool) else str(old), str(new).lower() if isinstance(new, bool) else str(new)), (str(old).lower() if isinstance(old, bool) else str(old), None)]
-        if n > 2:
+        if n > 0:
             break
     every_one = doc
     for at in paths(doc):
