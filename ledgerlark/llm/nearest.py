@@ -34,7 +34,7 @@ from ledgerlark.llm._shared import Tables, bound_batches
 
 TOP = 20
 EVERY = 20  #: ids divisible by it are queries
-SAMPLE_BYTES = 16 << 20  #: of vectors that are fitted on, as floats: 65,536 of 64 components
+SAMPLE_BYTES = 16 << 20  #: of vectors that are fitted on, at four bytes a component: 65,536 of 64
 COVER = 0.97
 FIRST = 48
 SPREAD = 2.0
@@ -50,13 +50,13 @@ BUCKETS, SMALL = 24, 512  #: buckets of a small table, and entries in one at lea
 def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     """Centroids of the rows of x, at most k; starts from distinct rows."""
     distinct = np.unique(x, axis=0)
-    c = distinct[np.random.default_rng(seed).permutation(len(distinct))[:k]].astype(np.float32)
+    c = distinct[np.random.default_rng(seed).permutation(len(distinct))[:k]].astype(np.float64)
     for _ in range(ROUNDS):
         at = _nearest(x, c)
         n = np.bincount(at, minlength=len(c))
         order = np.argsort(at, kind="stable")
         full = np.nonzero(n)[0]
-        sums = np.add.reduceat(x[order].astype(np.float64), (np.cumsum(n) - n)[full], axis=0)
+        sums = np.add.reduceat(x[order], (np.cumsum(n) - n)[full], axis=0)
         c[full] = sums / n[full, None]
     return c
 
@@ -137,11 +137,11 @@ def _encoded(entries: DataFrame, index: Index, width: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cell, code, off = index.encode(V.matrix(batch["x"], width, np.float32))
-                yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("entry", "ids", "x")), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(off, pa.float32())], names=["entry", "ids", "x", "cell", "code", "off"])
+                cell, code, off = index.encode(V.matrix(batch["x"], width))
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("entry", "ids", "x")), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(off)], names=["entry", "ids", "x", "cell", "code", "off"])
 
     kind = dict(entries.dtypes)["x"]
-    return entries.select("entry", "ids", "x").mapInArrow(work, f"entry long, ids array<long>, x {kind}, cell int, code binary, off float")
+    return entries.select("entry", "ids", "x").mapInArrow(work, f"entry long, ids array<long>, x {kind}, cell int, code binary, off double")
 
 
 def _asked(queries: DataFrame, index: Index, width: int, bucket: np.ndarray, start: np.ndarray, home: np.ndarray, parts: np.ndarray) -> DataFrame:
@@ -152,7 +152,7 @@ def _asked(queries: DataFrame, index: Index, width: int, bucket: np.ndarray, sta
             if not batch.num_rows:
                 continue
             entry = batch["entry"].to_numpy()
-            probed = index.probed(V.matrix(batch["x"], width, np.float32))
+            probed = index.probed(V.matrix(batch["x"], width))
             near = probed[:, 0]
             block = home[near] + entry % parts[near]
             row, cells, to = [], [], []
@@ -195,18 +195,17 @@ def _scan(index: Index, width: int, top: int):
         probes = asked["cells"].combine_chunks()
         ends, flat = probes.offsets.to_numpy(), probes.values.to_numpy()
         out_query, out_score, out_entry = [], [], []
-        step = max(1, (4 << 20) // max(WORDS * len(index.words), len(order)))
+        step = max(1, (2 << 20) // max(WORDS * len(index.words), len(order)))
 
         def exact(q: np.ndarray, of: np.ndarray, at: np.ndarray) -> np.ndarray:
             return np.concatenate([(vectors[at[k : k + PAIRS]] * q[of[k : k + PAIRS]]).sum(1) for k in range(0, len(of), PAIRS)] or [np.zeros(0)])
 
         for i in range(0, len(queries), step):
             q = queries[i : i + step]
-            small = q.astype(np.float32)
-            tables, coarse = index.tables(small), small @ index.cells.T
+            tables, coarse = index.tables(q), q @ index.cells.T
             mine = flat[ends[i] : ends[min(i + step, len(queries))]]
             whose = np.repeat(np.arange(len(q)), np.diff(ends[i : i + step + 1]))
-            guess = np.full((len(q), len(order)), -np.inf, np.float32)
+            guess = np.full((len(q), len(order)), -np.inf)
             for a, b in zip(edges[:-1], edges[1:]):
                 who = whose[mine == cell[a]]
                 if len(who):
@@ -222,7 +221,7 @@ def _scan(index: Index, width: int, top: int):
                 full = np.full((len(q), most), -np.inf)
                 full[there.reshape(len(q), most)] = score
                 last = -np.partition(-full, top - 1, axis=1)[:, top - 1]
-            hope = guess + SPREAD * np.linalg.norm(small, axis=1)[:, None] * off
+            hope = guess + SPREAD * np.linalg.norm(q, axis=1)[:, None] * off
             np.put_along_axis(hope, best, -np.inf, 1)
             more_of, more_at = np.nonzero((hope >= last[:, None]) & (hope > -np.inf))
             of, at, score = (np.concatenate(x) for x in ((of, more_of), (at, more_at), (score, exact(q, more_of, more_at))))
@@ -257,7 +256,7 @@ def neighbours(embeddings: DataFrame, top: int = TOP, every: int = EVERY, vector
     drawn = chosen.orderBy("h", "x").select("x").toArrow()  # about `room` rows
     if not n or not drawn.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = Index.fit(V.matrix(drawn["x"], width, np.float32), n)
+    index = Index.fit(V.matrix(drawn["x"], width), n)
     k = len(index.cells)
     lists = tables.keep(_encoded(entries, index, width))
 

@@ -73,6 +73,17 @@ def test_lengths_that_differ_from_one(spark):
     assert recall(spark, rows, "vec_id long, embedding array<double>") >= 0.9
 
 
+def test_huge_and_tiny_vectors(spark):
+    """One vector far beyond the others is found by all that point its way, and doesn't spoil the rest."""
+    rows = mixture(15, 1500, 16, 20, 0.4)
+    rows = [(i, [x * (1e30 if i == 7 else 1e-20 if i == 9 else 1.0) for x in v]) for i, v in rows]
+    got = found(N.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    want = brute(rows, kind=np.float64)
+    hit = [len({v for _, _, v in got[i]} & {v for _, v in near}) / len(near) for i, near in want]
+    assert np.mean(hit) >= 0.9
+    assert all((near[0][1] == 7) == (got[i][0][2] == 7) for i, near in want)
+
+
 def odd():
     rows = mixture(3, 90, 12, 6)
     return rows + [(None, [0.3] * 12), (200, None), (220, [0.0] * 12), (240, [0.1, None] * 6), (260, [float("nan")] * 12), (280, [float("-inf")] * 12), (300, []), (320, [1.0]), (340, [0.5] * 13), (400, [0.25] * 12), (400, [0.25] * 12), (401, [0.25] * 12)]
