@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlark.functions.models import NO_PROJECT, canonical_model, local_day, local_hour, one_decimal
-from ledgerlark.functions.prices import normalized
 from ledgerlark.operators import assembly, cost as C, exports, external as X, warehouse as W
 from ledgerlark.plans.kept import kept
 from ledgerlark.plans.numbering import placed

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlark.operators import external as X, ingest as I, warehouse as W
+from ledgerlark.operators import ingest as I, warehouse as W
 from ledgerlark.plans import collect, incremental, views as V, warehouse_store
 from ledgerlark.plans.kept import folder, kept
 from ledgerlark.plans.registry import query

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlark.operators import compare, payload as P, rollups as Y, warehouse as W
+from ledgerlark.operators import compare, payload as P
 from ledgerlark.plans import views as V
 from ledgerlark.plans.kept import kept
 from ledgerlark.plans.numbering import placed
