@@ -65,15 +65,16 @@ def _frame(f, at: int) -> tuple[bytes, int] | None:
     return None
 
 
+def framed(path: str) -> bool:
+    """Whether a file has frames. Nearly all of those begin with one."""
+    with open(path, "rb") as f:
+        return _find(f, 0, os.path.getsize(path)) >= 0
+
+
 def frames(path: str, low: int = 0, high: int | None = None) -> Iterator[tuple[int, bytes]]:
-    """Position and text of each whole frame that begins in the range; a file without any is one piece of plain text at 0."""
+    """Position and text of each whole frame that begins in the range."""
     high = os.path.getsize(path) if high is None else high
     with open(path, "rb") as f:
-        if _find(f, 0, os.path.getsize(path)) < 0:
-            if low == 0:
-                f.seek(0)
-                yield 0, f.read()
-            return
         at = _find(f, low, high)
         while at >= 0:
             found = _frame(f, at)
@@ -103,12 +104,17 @@ class Reader(DataSourceReader):
             if not os.path.isfile(p):
                 continue  # it went since it was listed
             size = max(1, os.path.getsize(p))
-            step = size if self.kind == "whole" else self.bytes
+            with open(p, "rb") as f:
+                whole = self.kind == "whole" or (self.kind == "frames" and MAGIC not in f.read(BLOCK))
+            step = size if whole else self.bytes
             out += [Range(p, low, min(low + step, size)) for low in range(0, size, step)]
         return out
 
     def _pieces(self, part: Range) -> Iterator[tuple[int, Iterable[bytes]]]:
-        if self.kind == "frames":
+        if self.kind == "frames" and part.low == 0 and not framed(part.path):
+            # plain text under the same kind
+            yield 0, lines(part.path, 0, os.path.getsize(part.path))
+        elif self.kind == "frames":
             for at, text in frames(part.path, part.low, part.high):
                 yield at, text.split(b"\n")
         elif self.kind == "lines":
