@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerlark.operators.payload import Payload
+from ledgerlark.plans.numbering import placed
 from ledgerlark.plans.versions import Versions
 
 
@@ -42,3 +44,14 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, partit
     number = versions.commit(after, content)
     versions.vacuum(keep)
     return number
+
+
+def publish_payload(spark: SparkSession, payload: Payload, root: str) -> int:
+    """Publishes a payload as one version: its JSON document (table document, one row), and the list of all sessions with their places (sessionsAll)."""
+    sessions = placed(payload.sessions_all(), [F.desc("total"), F.col("id")])
+    return publish(spark, {"document": payload.document(), "sessionsAll": sessions}, root)
+
+
+def payload_json(warehouse: Warehouse) -> str:
+    """The document of a published payload, as one text."""
+    return warehouse.table("document").first()["payload"]

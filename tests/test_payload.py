@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import compare as C, payload as P, warehouse as W
+from ledgerlark.plans import warehouse_store
+from ledgerlark.plans.kept import kept
 from ledgerlark.plans.numbering import placed
 
 TURNS = "session_id string, tool string, model_raw string, started_at long, status string, has_usage boolean, cache_read long, cache_write long, input long, output long, reasoning long, total long"
@@ -64,9 +66,10 @@ def test_one_scan_of_turns(spark):
     assert p.models()._jdf.queryExecution().executedPlan().toString().count("session_id") == 0
 
 
-def test_rows_and_document(spark):
+def test_rows_and_document(spark, tmp_path):
     _, _, p = payload(spark)
-    rows = p.rows().select("block", "place", F.to_json("value").alias("v")).collect()
+    whole = kept(p.rows(), "rows")
+    rows = whole.select("block", "place", F.to_json("value").alias("v")).collect()
     by = {}
     for r in sorted(rows, key=lambda r: (r.block, r.place)):
         by.setdefault(r.block, []).append(json.loads(r.v))
@@ -82,8 +85,12 @@ def test_rows_and_document(spark):
     assert doc["meta"]["range_start"] == "" or doc["meta"]["range_start"][:10] <= "2026-01-01"
     assert doc["pricingMeta"]["models"] == len(doc["models"]) and [m["key"] for m in doc["pricing"]] == ["m-1"]
     assert doc["external"][0]["tool"] == "codex" and abs(doc["external"][0]["cost"] - (12 * 2 + 2 * 4) / 1e6) < 1e-12
-    assert C.prefix_broken(p.rows()).count() == 0
-    assert C.nested_differences(C.payload_entries(p.rows()), C.payload_entries(p.rows())).count() == 0
+    assert warehouse_store.publish_payload(spark, p, f"{tmp_path}/payload") == 1
+    shown = warehouse_store.Warehouse.open(spark, f"{tmp_path}/payload")
+    assert json.loads(warehouse_store.payload_json(shown)) == doc
+    assert [r.id for r in shown.table("sessionsAll").orderBy("place").collect()] == [x["id"] for x in by["sessionsAll"]]
+    assert C.prefix_broken(whole).count() == 0
+    assert C.nested_differences(C.payload_entries(whole), C.payload_entries(whole)).count() == 0
 
 
 def entries(spark, doc):
