@@ -48,39 +48,84 @@ def _named(array: Column, value: Column, place: Column, keys: dict[str, tuple[st
     return out
 
 
+def _below(path: Column, name: Column, value: Column, keys: dict[str, tuple[str, ...]]) -> Column:
+    """What a container holds, an array of path, name and value; null where value is none."""
+    array, fields = F.try_variant_get(value, "$", "array<variant>"), F.try_variant_get(value, "$", "map<string,variant>")
+    elements = F.transform(array, lambda x, k: F.struct(F.concat(path, F.lit("["), _named(name, x, k, keys), F.lit("]")).alias("path"), F.lit("").alias("name"), x.alias("value")))
+    members = F.transform(F.map_entries(fields), lambda x: F.struct(F.when(path == "", x["key"]).otherwise(F.concat(path, F.lit("."), x["key"])).alias("path"), x["key"].alias("name"), x["value"].alias("value")))
+    return F.coalesce(elements, members)
+
+
+def _closed(path: Column) -> Column:
+    """How many brackets a path closes."""
+    return F.length(path) - F.length(F.replace(path, F.lit("]")))
+
+
+def _units(entries: DataFrame, keys: dict[str, tuple[str, ...]], cut: int) -> DataFrame:
+    """Entries opened until their paths close `cut` brackets or stand for a leaf: path, name, value, and left, the levels that may still be opened."""
+
+    def opened(path: Column, name: Column, value: Column, left: int) -> Column:
+        this = F.array(F.struct(path.alias("path"), name.alias("name"), value.alias("value"), F.lit(left).alias("left")))
+        if left == 0:
+            return this
+        below = F.flatten(F.transform(_below(path, name, value, keys), lambda x: opened(x["path"], x["name"], x["value"], left - 1)))
+        return F.when(_closed(path) >= cut, this).otherwise(F.coalesce(below, this))
+
+    named = entries.select("path", F.regexp_extract("path", r"([^.\[\]]*)(\[[^\]]*\])?$", 1).alias("name"), "value")
+    return named.select(F.inline(opened(F.col("path"), F.col("name"), F.col("value"), DEPTH)))
+
+
+def _leaves(unit: Column, keys: dict[str, tuple[str, ...]], side: Column | None = None) -> Column:
+    """A unit's leaves that aren't null, an array of path, side and value."""
+    side = F.lit(0) if side is None else side
+
+    def leaf(path: Column, value: Column, text: Column) -> Column:
+        return F.when(value.isNotNull() & ~F.is_variant_null(value), F.array(F.struct(path.alias("path"), side.alias("side"), text.alias("value")))).otherwise(F.array().cast("array<struct<path:string,side:int,value:string>>"))
+
+    def opened(path: Column, name: Column, value: Column, depth: int) -> Column:
+        last = leaf(path, value, F.to_json(value))
+        if depth == DEPTH:
+            return last
+        below = F.flatten(F.transform(_below(path, name, value, keys), lambda x: opened(x["path"], x["name"], x["value"], depth + 1)))
+        return F.when(unit["left"] == depth, last).otherwise(F.coalesce(below, leaf(path, value, _text(value))))
+
+    return opened(unit["path"], unit["name"], unit["value"], 0)
+
+
 def leaves(entries: DataFrame, keys: dict[str, tuple[str, ...]] = KEYS) -> DataFrame:
     """path and value (text) of every leaf that isn't null.
 
     entries: path (text, of where value stands) and value (a variant). A path has names with dots between them and what
-    names an element in brackets: models[m-1].raw_usage[x].total. Containers are opened level by level, all in one plan.
+    names an element in brackets: models[m-1].raw_usage[x].total. Each entry is opened once, down to its leaves, in one projection.
     """
-    level = entries.select("path", F.regexp_extract("path", r"([^.\[\]]*)(\[[^\]]*\])?$", 1).alias("name"), "value")
-    found = []
-    for depth in range(DEPTH + 1):
-        shape = F.schema_of_variant("value")
-        inner = shape.startswith("OBJECT") | shape.startswith("ARRAY")
-        last = F.to_json("value") if depth == DEPTH else _text(F.col("value"))
-        found.append((level if depth == DEPTH else level.filter(~inner)).filter(~F.is_variant_null("value")).select("path", last.alias("value")))
-        if depth == DEPTH:
-            break
-        below = level.filter(inner).withColumnRenamed("value", "outer_").lateralJoin(entries.sparkSession.tvf.variant_explode(F.col("outer_").outer()))
-        array = F.col("key").isNull()
-        step = F.when(array, F.concat("path", F.lit("["), _named(F.col("name"), F.col("value"), F.col("pos"), keys), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))
-        level = below.select(step.alias("path"), F.when(array, F.lit("")).otherwise(F.col("key")).alias("name"), "value")
-    return reduce(DataFrame.unionByName, found)
+    return _units(entries, keys, 1).select(F.struct("path", "name", "value", "left").alias("unit")).select(F.inline(_leaves(F.col("unit"), keys))).drop("side")
 
 
-def _sides(df: DataFrame, name: str) -> DataFrame:
-    # leaves of one path, such as those of elements with the same key, are compared as a whole
-    return df.groupBy(F.col("path").alias(f"{name}_path")).agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias(f"{name}_value"))
+def nested_differences(left: DataFrame, right: DataFrame, keys: dict[str, tuple[str, ...]] = KEYS, tolerance: float = TOLERANCE, cut: int = 1) -> DataFrame:
+    """path, left_value and right_value of every leaf that differs or that one side lacks (null there). Numbers are equal within the tolerance, everything else as text; null is the same as absent. Both sides as leaves() takes them.
 
-
-def nested_differences(left: DataFrame, right: DataFrame, keys: dict[str, tuple[str, ...]] = KEYS, tolerance: float = TOLERANCE) -> DataFrame:
-    """path, left_value and right_value of every leaf that differs or that one side lacks (null there). Numbers are equal within the tolerance, everything else as text; null is the same as absent. Both sides as leaves() takes them."""
-    j = _sides(leaves(left, keys), "left").join(_sides(leaves(right, keys), "right"), F.col("left_path") == F.col("right_path"), "full_outer")
+    What is moved are not leaves but units, values whose path closes `cut` brackets: all leaves below such a beginning, of both sides, are
+    compared in one task's memory, so take a larger cut where many entries share the beginning.
+    """
+    side = lambda df, k: _units(df, keys, cut).select(F.substring_index("path", "]", cut).alias("head"), F.struct(F.lit(k).alias("side"), "path", "name", "value", "left").alias("unit"))
+    units = side(left, 0).unionByName(side(right, 1)).groupBy("head").agg(F.collect_list("unit").alias("units"))
+    each = F.transform("units", lambda u: _leaves(u, keys, u["side"]))
+    rows = units.select("head", F.sort_array(F.flatten(each)).alias("rows"))
+
+    def equal(x: Column, k: Column) -> Column:
+        """Whether a path has one leaf on each side, and both are the same text."""
+        at = lambda n: F.get("rows", k + n)
+        alone = lambda a, b: F.coalesce(at(a)["path"] != x["path"], F.lit(True)) & F.coalesce(at(b)["path"] != x["path"], F.lit(True))
+        same = lambda n: F.coalesce((at(n)["path"] == x["path"]) & (at(n)["side"] != x["side"]) & (at(n)["value"] == x["value"]), F.lit(False))
+        return (same(1) & alone(-1, 2)) | (same(-1) & alone(-2, 1))
+
+    found = rows.select("head", F.inline(F.filter("rows", lambda x, k: ~equal(x, k))))
+    # leaves of one path, such as those of elements with the same key, are compared as a whole; their head is one, so they are in one task already
+    value = lambda k: F.when(F.count_if(F.col("side") == k) > 0, F.array_join(F.array_sort(F.collect_list(F.when(F.col("side") == k, F.col("value")))), "|"))
+    j = found.groupBy("head", "path").agg(value(0).alias("left_value"), value(1).alias("right_value"))
     a, b = (F.col(f"{s}_value").try_cast("double") for s in ("left", "right"))
     same = F.col("left_value").eqNullSafe(F.col("right_value")) | F.coalesce(F.abs(a - b) <= tolerance, F.lit(False))
-    return j.filter(~same).select(F.coalesce("left_path", "right_path").alias("path"), "left_value", "right_value")
+    return j.filter(~same).select("path", "left_value", "right_value")
 
 
 def payload_entries(rows: DataFrame, keys: dict[str, tuple[str, ...]] = KEYS) -> DataFrame:

@@ -166,6 +166,36 @@ def test_order_moves_and_tolerance(spark):
     assert {r.path for r in C.nested_differences(entries(spark, doc), entries(spark, twice)).collect()} == {f"dayModel[2026-01-01|{k}].{f}" for k in "ab" for f in ("d", "key", "n")}
 
 
+def reads(df):
+    """How often a plan reads its input."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+
+
+def test_entries_are_opened_once(spark):
+    df = spark.createDataFrame([("", "1")], "path string, v string").rdd.toDF("path string, v string").select("path", F.parse_json("v").alias("value"))
+    assert reads(C.leaves(df)) == 1
+    assert reads(C.nested_differences(df, df)) == 2
+
+
+def test_differences_by_whatever_entries(spark):
+    """One side is a document, the other its parts; names hold brackets and dots, entries share beginnings, and some levels are too deep."""
+    doc = document() | {"deep": json.loads("[" * 11 + '{"a": "x"}' + "]" * 11), "a[b": {"c.d": 1, "e]": [2, 3]}, "ids": [{"id": "s]1"}], "tools": [{"name": "a"}, {"name": "a"}], "none": None}
+    whole = entries(spark, doc)
+    parts = [(f"models[{m['key']}]", m) for m in doc["models"]] + [(k, v) for k, v in doc.items() if k not in ("models", "list", "deep")] + [(f"list[{i}]", v) for i, v in enumerate(doc["list"])]
+    parts = [p for p in parts if p[0] != "meta"] + [("meta.range", doc["meta"]["range"]), ("meta", {k: v for k, v in doc["meta"].items() if k != "range"})]
+    split = lambda rows: spark.createDataFrame([(p, json.dumps(v)) for p, v in rows], "path string, v string").select("path", F.parse_json("v").alias("value"))
+    deep = C.leaves(whole).filter("path like 'deep%'").collect()
+    assert [(r.path, r.value) for r in deep] == [("deep" + "[0]" * 7, '[[[[{"a":"x"}]]]]')]
+    for cut in (1, 2):
+        got = {(r.path, r.left_value, r.right_value) for r in C.nested_differences(whole, split(parts), cut=cut).collect()}
+        assert got == {(deep[0].path, deep[0].value, None)}
+        # a part given twice, and one that lacks
+        got = {(r.path, r.left_value, r.right_value) for r in C.nested_differences(whole, split([*parts, ("meta", {"flag": True, "version": 13})][1:]), cut=cut).collect()}
+        assert got == {(deep[0].path, deep[0].value, None), ("meta.flag", "true", "true|true"), ("meta.version", "12", "12|13")} | {(r.path, r.value, None) for r in C.leaves(whole).filter("path like 'models[a]%'").collect()}
+    empty = spark.createDataFrame([("x", None)], "path string, v string").select("path", F.parse_json("v").alias("value"))
+    assert C.leaves(empty).count() == 0 and C.nested_differences(empty, empty).count() == 0
+
+
 def test_prefix_rule(spark):
     rows = [("sessionsAll", k, json.dumps({"id": k})) for k in range(1, 46)] + [("sessions", k, json.dumps({"id": k})) for k in range(1, 41)]
     df = lambda r: spark.createDataFrame(r, "block string, place long, v string").select("block", "place", F.parse_json("v").alias("value"))
