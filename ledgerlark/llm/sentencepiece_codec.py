@@ -13,7 +13,8 @@ runs of white space do. So a BPE word with two markers or more is merged here by
 original's rule, and kept for the next time it occurs. So are words of a unigram text that
 spell out a control or byte piece, which the library would take for that piece.
 
-Texts are encoded in batches by several threads. Decoding looks up each piece's bytes in
+Of a BPE model's texts without runs of white space, words are cut at the blanks. The library's model encodes a word that
+a process doesn't know, and the process remembers the ids of up to 2 * WORDS words. All other texts are encoded in batches by several threads. Decoding looks up each piece's bytes in
 numpy; the round trip and parity with the original library are checked on every row
 (parity_share can lower the latter to a share of the rows, chosen by doc_id's hash).
 
@@ -29,6 +30,7 @@ import hashlib
 import os
 import re
 import struct
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -46,6 +48,7 @@ THREADS = 2
 PARITY_SHARE = 1  #: one row in so many is also encoded by the original library
 SLICE = 1 << 18  #: bytes of text encoded at once; the library needs some hundred bytes for each token of them
 KEPT = 50_000  #: words with runs of markers that a process remembers
+WORDS, WORD_CHARS = 200_000, 2_000_000  #: other words that it remembers before it forgets those that it knew before the last so many, and the characters in them
 
 # Fixed values of the format.
 MARK = "▁"
@@ -163,6 +166,11 @@ class Codec:
         self.least = min((score for p, score, kind in self.proto.pieces if kind == NORMAL), default=0.0)
         self.scores = {p: (score, k) for k, (p, score, kind) in enumerate(self.proto.pieces) if kind in (NORMAL, USER_DEFINED)}
         self.known: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}
+        self.word_chars = 0
+        #: whether texts may be put together from words, each with a marker in front and normal as it is
+        self.by_word = self.exact is not None and self.proto.kind == BPE and self.proto.dummy_prefix and not self.proto.charsmap and not self.proto.trim
         if self.exact:
             # the same model, for texts that are normalised already
             self.inner = Tokenizer(self.tokenizer.model)
@@ -170,6 +178,28 @@ class Codec:
             self.inner.normalizer = normalizers.Sequence([])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.tolist() for x in self.arrays(texts)]
+
+    def arrays(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids, as int32."""
+        words = {k: t.split(" ") for k, t in enumerate(texts) if self.by_word and t and "  " not in t and MARK not in t and t[0] != " " != t[-1]}
+        other = iter(self._whole([t for k, t in enumerate(texts) if k not in words]))
+        self._learn(words.values())
+        found = [np.frombuffer(b"".join(map(self.words.__getitem__, words[k])), np.int32) if k in words else np.array(next(other), np.int32) for k in range(len(texts))]
+        if len(self.words) > WORDS or self.word_chars > WORD_CHARS:
+            self.words_before, self.words, self.word_chars = self.words if self.word_chars <= 2 * WORD_CHARS else {}, {}, 0
+        return found
+
+    def _learn(self, texts) -> None:
+        """Adds the words that aren't known yet."""
+        for word in set().union(*texts).difference(self.words):
+            self.words[word] = self.words_before.get(word) or array("i", [x.id for x in self.tokenizer.model.tokenize(MARK + word)]).tobytes()
+            self.word_chars += len(word)
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts that are encoded as a whole."""
+        if not texts:
+            return []
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if self.exact:
             for k, text in enumerate(texts):
@@ -286,8 +316,8 @@ def encode(docs: DataFrame, path: str = MODEL, threads: int = THREADS, text: str
             for i, j, _, _ in W.slices(batch.column(text), SLICE):
                 part = batch.slice(i, j - i)
                 texts = part.column(text).to_pylist()
-                found = codec.encode([t or "" for t in texts])
-                flat = np.concatenate([np.asarray(x, np.int32) for x in found]) if found else np.zeros(0, np.int32)
+                found = codec.arrays([t or "" for t in texts])
+                flat = np.concatenate(found) if found else np.zeros(0, np.int32)
                 at = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 missing = pa.array([t is None for t in texts])
                 column = pa.ListArray.from_arrays(pa.array(at), pa.array(flat), mask=missing) if part.column(text).null_count else pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
@@ -332,14 +362,13 @@ def digests(docs: DataFrame, path: str = MODEL, threads: int = THREADS, parity_s
             for i, j, _, _ in W.slices(batch.column("text"), SLICE):
                 texts = [t or "" for t in batch.column("text").slice(i, j - i).to_pylist()]
                 n, sha, trip, parity = [], [], [], [None] * len(texts)
-                for k, (text, found) in enumerate(zip(texts, codec.encode(texts))):
-                    ids = np.array(found, np.int32)
+                for k, (text, ids) in enumerate(zip(texts, codec.arrays(texts))):
                     n.append(len(ids))
                     sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     want = text.replace(MARK, " ") if plain else codec.normal(text)
                     trip.append(codec.surface(ids) == ((" " if codec.proto.dummy_prefix and want else "") + want).encode())
                     if picked[i + k]:
-                        parity[k] = original.encode(text) == found
+                        parity[k] = original.encode(text) == ids.tolist()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(trip, pa.bool_()), pa.array(parity, pa.bool_())], [x.split()[0] for x in DIGEST.split(", ")])
             del batch
         W.give_back()

@@ -83,3 +83,26 @@ def test_queries(spark):
 def test_parity_is_checked_on_every_row(spark):
     rows = [(k, f"text {k}") for k in range(50)] + [(None, "no id"), (60, None)]
     assert all(x.parity for x in S.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_a_word_is_encoded_once(monkeypatch):
+    """Words are looked up, also when there are more than are remembered, and give what texts encoded as a whole do."""
+    codec = S.Codec(S.load())
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdeäß.,\n▂日🙂<0x41>", k=r.randrange(1, 9))) for _ in range(400)]
+    texts = TEXTS + [" ".join(r.choices(words, k=r.randrange(1, 80))) + r.choice(["", "", " ", "  x"]) for _ in range(200)]
+    want = sentencepiece.SentencePieceProcessor(model_file=S.MODEL).encode(texts)
+    assert codec.encode(texts) == want == codec._whole(texts)
+    asked = []
+    learn = codec._learn
+    monkeypatch.setattr(codec, "_learn", lambda texts: (asked.append(len(codec.words)), learn(texts), asked.append(len(codec.words))))
+    assert codec.encode(texts[::-1]) == want[::-1]
+    assert asked[0] == asked[1] > 300
+    monkeypatch.setattr(S, "WORDS", 50)
+    for k in range(0, len(texts), 10):
+        assert codec.encode(texts[k : k + 10]) == want[k : k + 10]
+        assert len(codec.words) <= 50
+    monkeypatch.setattr(S, "WORD_CHARS", 100)
+    long = " ".join(["y" * 500, "b", "y" * 500])
+    assert codec.encode([long, "b c"]) == sentencepiece.SentencePieceProcessor(model_file=S.MODEL).encode([long, "b c"])
+    assert not codec.words and not codec.words_before
