@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 TOLERANCE = 1e-9
@@ -101,31 +104,89 @@ def leaves(entries: DataFrame, keys: dict[str, tuple[str, ...]] = KEYS) -> DataF
     return _units(entries, keys, 1).select(F.struct("path", "name", "value", "left").alias("unit")).select(F.inline(_leaves(F.col("unit"), keys))).drop("side")
 
 
+class _Number(str):
+    """A number as JSON writes it."""
+
+
+_PARSE = json.JSONDecoder(parse_int=_Number, parse_float=_Number).decode
+_ESCAPES = {c: f"\\u{c:04X}" for c in range(32)} | {ord(c): e for c, e in {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}.items()}
+
+
+def _json(value) -> str:
+    """What to_json writes."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_json(k)}:{_json(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_json, value)) + "]"
+    if isinstance(value, str) and not isinstance(value, _Number):
+        return f'"{value.translate(_ESCAPES)}"'
+    return "null" if value is None else "true" if value is True else "false" if value is False else str(value)
+
+
+def _open(path: str, name: str, value, left: int, keys: dict[str, tuple[str, ...]], found: dict[str, list[str]]) -> None:
+    """Adds to found what _leaves() gives, of a parsed value."""
+    if value is None:
+        return
+    if left == 0:
+        found.setdefault(path, []).append(_json(value))
+    elif isinstance(value, dict):
+        for k, v in value.items():
+            _open(f"{path}.{k}" if path else k, k, v, left - 1, keys, found)
+    elif isinstance(value, list):
+        own = keys.get(name)
+        for k, v in enumerate(value):
+            names = [v.get(x) for x in own] if own and isinstance(v, dict) else [None]
+            place = k if None in names else "|".join(x if isinstance(x, str) else _json(x) for x in names)
+            _open(f"{path}[{place}]", "", v, left - 1, keys, found)
+    else:
+        found.setdefault(path, []).append(value if isinstance(value, str) else _json(value))
+
+
+def _parts(lists: pa.ListArray):
+    """Each list's elements, as tuples of their fields; none where it is null."""
+    elements = zip(*(f.to_pylist() for f in lists.flatten().flatten()))
+    for n in lists.value_lengths().fill_null(0).to_pylist():
+        yield islice(elements, n)
+
+
+def _differing(batches, keys: dict[str, tuple[str, ...]]):
+    """path, left_value and right_value where the text differs, of rows with the units or the leaves of one head."""
+    for batch in batches:
+        out = []
+        for units, rows in zip(_parts(batch.column("units")), _parts(batch.column("rows"))):
+            sides: tuple[dict[str, list[str]], ...] = ({}, {})
+            for side, path, name, left, text in units:
+                if text is not None:
+                    _open(path, name, _PARSE(text), left, keys, sides[side])
+            for path, side, text in rows:
+                sides[side].setdefault(path, []).extend([] if text is None else [text])
+            a, b = sides
+            for path in a if a == b else {**a, **b}:
+                # leaves of one path, such as those of elements with the same key, are compared as a whole
+                x, y = ("|".join(sorted(s[path])) if path in s else None for s in sides)
+                if x != y:
+                    out.append((path, x, y))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)] if out else [pa.array([], pa.string())] * 3, ["path", "left_value", "right_value"])
+
+
 def nested_differences(left: DataFrame, right: DataFrame, keys: dict[str, tuple[str, ...]] = KEYS, tolerance: float = TOLERANCE, cut: int = 1) -> DataFrame:
     """path, left_value and right_value of every leaf that differs or that one side lacks (null there). Numbers are equal within the tolerance, everything else as text; null is the same as absent. Both sides as leaves() takes them.
 
     What is moved are not leaves but units, values whose path closes `cut` brackets: all leaves below such a beginning, of both sides, are
-    compared in one task's memory, so take a larger cut where many entries share the beginning.
+    compared in one task's memory, so take a larger cut where many entries share the beginning. Units are opened as JSON, in batches;
+    those of types that JSON writes in another way than a leaf's text are opened by _leaves().
     """
     side = lambda df, k: _units(df, keys, cut).select(F.substring_index("path", "]", cut).alias("head"), F.struct(F.lit(k).alias("side"), "path", "name", "value", "left").alias("unit"))
     units = side(left, 0).unionByName(side(right, 1)).groupBy("head").agg(F.collect_list("unit").alias("units"))
-    each = F.transform("units", lambda u: _leaves(u, keys, u["side"]))
-    rows = units.select("head", F.sort_array(F.flatten(each)).alias("rows"))
-
-    def equal(x: Column, k: Column) -> Column:
-        """Whether a path has one leaf on each side, and both are the same text."""
-        at = lambda n: F.get("rows", k + n)
-        alone = lambda a, b: F.coalesce(at(a)["path"] != x["path"], F.lit(True)) & F.coalesce(at(b)["path"] != x["path"], F.lit(True))
-        same = lambda n: F.coalesce((at(n)["path"] == x["path"]) & (at(n)["side"] != x["side"]) & (at(n)["value"] == x["value"]), F.lit(False))
-        return (same(1) & alone(-1, 2)) | (same(-1) & alone(-2, 1))
-
-    found = rows.select("head", F.inline(F.filter("rows", lambda x, k: ~equal(x, k))))
-    # leaves of one path, such as those of elements with the same key, are compared as a whole; their head is one, so they are in one task already
-    value = lambda k: F.when(F.count_if(F.col("side") == k) > 0, F.array_join(F.array_sort(F.collect_list(F.when(F.col("side") == k, F.col("value")))), "|"))
-    j = found.groupBy("head", "path").agg(value(0).alias("left_value"), value(1).alias("right_value"))
+
+    # arrays of different types are VARIANT; TIMESTAMP_NTZ and keys of such names go the longer way too
+    special = lambda u: F.coalesce(F.schema_of_variant(u["value"]).rlike("TIMESTAMP|BINARY|VARIANT"), F.lit(False))
+    units = units.withColumn("special", F.exists("units", special))
+    plain = F.transform("units", lambda u: F.struct(u["side"].alias("side"), u["path"].alias("path"), u["name"].alias("name"), u["left"].alias("left"), F.to_json(u["value"]).alias("text")))
+    leaves_ = F.flatten(F.transform("units", lambda u: _leaves(u, keys, u["side"])))
+    found = units.select(F.when(~F.col("special"), plain).alias("units"), F.when(F.col("special"), leaves_).alias("rows")).mapInArrow(lambda batches: _differing(batches, keys), "path string, left_value string, right_value string")
     a, b = (F.col(f"{s}_value").try_cast("double") for s in ("left", "right"))
-    same = F.col("left_value").eqNullSafe(F.col("right_value")) | F.coalesce(F.abs(a - b) <= tolerance, F.lit(False))
-    return j.filter(~same).select("path", "left_value", "right_value")
+    return found.filter(~F.coalesce(F.abs(a - b) <= tolerance, F.lit(False)))
 
 
 def payload_entries(rows: DataFrame, keys: dict[str, tuple[str, ...]] = KEYS) -> DataFrame:

@@ -196,6 +196,24 @@ def test_differences_by_whatever_entries(spark):
     assert C.leaves(empty).count() == 0 and C.nested_differences(empty, empty).count() == 0
 
 
+def test_units_give_the_leaves(spark):
+    """Whichever way a unit is opened, its leaves have the text of leaves()."""
+    texts = ["1", "1.50", "-0.0", "1e2", "1E400", "1e-7", "9" * 30, "9" * 50, "0.0000001", "true", "null", '"x\\u0001\\u001f\\n\\u007f/é\\"\\\\"', '"TIMESTAMP"', '{"a": {"b": [1, 2.0]}}', '{"TIMESTAMP": 1}', "[]", "{}", "[1, \"x\", [2], null]"]
+    texts += ["[" * 9 + t + "]" * 9 for t in texts] + [f'{{"tools": [{{"name": {t}}}, {{"name": null}}, 5], "days": {{"x": {t}}}, "a]": [{{"c": {t}}}]}}' for t in texts]
+    parsed = spark.createDataFrame([(f"p{k}" if k % 2 else f"models[{k}]", t) for k, t in enumerate(texts)], "path string, v string").select("path", F.parse_json("v").alias("value"))
+    typed = spark.sql("""SELECT name AS path, value FROM (SELECT stack(7, 'date', CAST(date'2020-01-01' AS variant), 'ts', CAST(timestamp'2020-01-01 00:00:00' AS variant), 'ntz', CAST(timestamp_ntz'2020-01-01 00:00:00.5' AS variant), 'nan', CAST(double('NaN') AS variant),
+      'float', CAST(float(0.1) AS variant), 'decimal', CAST(CAST(1.50 AS decimal(10, 4)) AS variant), 'binary', CAST(CAST('ab' AS binary) AS variant)) AS (name, value))""")
+    inner = typed.groupBy().agg(F.collect_list("value").alias("x")).select(F.lit("tools[q]").alias("path"), F.to_variant_object(F.struct("x")).alias("value"))
+    every = parsed.union(typed).union(inner).union(typed.select(F.concat(F.lit("models[z].raw_usage["), "path", F.lit("]")), F.to_variant_object(F.array(F.struct(F.col("value").alias("rid"), F.col("value").alias("v")))))).localCheckpoint()
+    nothing = every.limit(0)
+    want = {}
+    for r in C.leaves(every).collect():
+        want.setdefault(r.path, []).append(r.value)
+    for cut in (1, 2):
+        assert {r.path: r.left_value for r in C.nested_differences(every, nothing, cut=cut).collect()} == {p: "|".join(sorted(v)) for p, v in want.items()}
+    assert C.nested_differences(every, every).count() == 0
+
+
 def test_prefix_rule(spark):
     rows = [("sessionsAll", k, json.dumps({"id": k})) for k in range(1, 46)] + [("sessions", k, json.dumps({"id": k})) for k in range(1, 41)]
     df = lambda r: spark.createDataFrame(r, "block string, place long, v string").select("block", "place", F.parse_json("v").alias("value"))
