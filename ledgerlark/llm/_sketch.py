@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlark.llm import _words as W
@@ -97,12 +96,8 @@ def _summed(parts: DataFrame, *by: str) -> DataFrame:
 def collect_levels(parts: DataFrame) -> Levels:
     """Levels from all tasks' chunks, added up in two steps. 8 bytes a cell reach the driver."""
 
-    def salted(stream):
-        salt = TaskContext.get().partitionId() % SALTS
-        for batch in stream:
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array([salt] * len(batch), pa.int32()), batch.column("counts")], ["chunk", "salt", "counts"])
-
-    some = _summed(parts.mapInArrow(salted, "chunk int, salt int, counts binary"), "chunk", "salt")
+    # the salt is a column, as a Python operator on top of the one that counts would double the task's Python workers, which live on
+    some = _summed(parts.select("chunk", (F.spark_partition_id() % SALTS).alias("salt"), "counts"), "chunk", "salt")
     total = np.zeros(CELLS, np.int64)
     for row in _summed(some.select("chunk", "counts"), "chunk").collect():
         total[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = _read(row.counts)

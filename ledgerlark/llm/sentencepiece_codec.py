@@ -14,7 +14,7 @@ original's rule, and kept for the next time it occurs. So are words of a unigram
 spell out a control or byte piece, which the library would take for that piece.
 
 Of a BPE model's texts without runs of white space, words are cut at the blanks. The library's model encodes a word that
-a process doesn't know, and the process remembers the ids of up to 2 * WORDS words. All other texts are encoded in batches by several threads. Decoding looks up each piece's bytes in
+a task doesn't know yet, and the task remembers the ids of up to 2 * WORDS words. All other texts are encoded in batches by several threads. Decoding looks up each piece's bytes in
 numpy; the round trip and parity with the original library are checked on every row
 (parity_share can lower the latter to a share of the rows, chosen by doc_id's hash).
 
@@ -47,7 +47,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
 PARITY_SHARE = 1  #: one row in so many is also encoded by the original library
 SLICE = 1 << 18  #: bytes of text encoded at once; the library needs some hundred bytes for each token of them
-KEPT = 50_000  #: words with runs of markers that a process remembers
+KEPT = 50_000  #: words with runs of markers that a task remembers
 WORDS, WORD_CHARS = 200_000, 2_000_000  #: other words that it remembers before it forgets those that it knew before the last so many, and the characters in them
 
 # Fixed values of the format.
@@ -190,6 +190,10 @@ class Codec:
             self.words_before, self.words, self.word_chars = self.words if self.word_chars <= 2 * WORD_CHARS else {}, {}, 0
         return found
 
+    def forget(self) -> None:
+        """Lets go of all words. Tasks end with it: Python workers live on, and other operators work in them."""
+        self.known, self.words, self.words_before, self.word_chars = {}, {}, {}, 0
+
     def _learn(self, texts) -> None:
         """Adds the words that aren't known yet."""
         for word in set().union(*texts).difference(self.words):
@@ -323,6 +327,7 @@ def encode(docs: DataFrame, path: str = MODEL, threads: int = THREADS, text: str
                 column = pa.ListArray.from_arrays(pa.array(at), pa.array(flat), mask=missing) if part.column(text).null_count else pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names)
             del batch
+        codec.forget()
         W.give_back()
 
     return docs.mapInArrow(work, schema)
@@ -371,6 +376,7 @@ def digests(docs: DataFrame, path: str = MODEL, threads: int = THREADS, parity_s
                         parity[k] = original.encode(text) == ids.tolist()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(trip, pa.bool_()), pa.array(parity, pa.bool_())], [x.split()[0] for x in DIGEST.split(", ")])
             del batch
+        codec.forget()
         W.give_back()
 
     check = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(parity_share)) == 0

@@ -3,6 +3,7 @@ import os
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 
 from ledgerlark.llm import sentencepiece_codec as S
@@ -106,3 +107,15 @@ def test_a_word_is_encoded_once(monkeypatch):
     long = " ".join(["y" * 500, "b", "y" * 500])
     assert codec.encode([long, "b c"]) == sentencepiece.SentencePieceProcessor(model_file=S.MODEL).encode([long, "b c"])
     assert not codec.words and not codec.words_before
+
+
+@pytest.mark.parametrize("call, columns", [(S.encode, {"text": TEXTS}), (S.digests, {"doc_id": list(range(len(TEXTS))), "text": TEXTS, "check": [True] * len(TEXTS)})], ids=["encode", "digests"])
+def test_a_task_leaves_no_words_in_its_process(spark, monkeypatch, call, columns):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    df = df if call is S.digests else df.select("text")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, work, schema: work)
+    work, codec = call(df), S._codec(S.load(), S.THREADS)
+    learned = []
+    monkeypatch.setattr(codec, "_learn", lambda texts, f=codec._learn: (f(texts), learned.append(len(codec.words))))
+    assert sum(len(b) for b in work(iter([pa.RecordBatch.from_pydict(columns)]))) == len(TEXTS) and learned[0]
+    assert not codec.words and not codec.words_before and not codec.known and not codec.word_chars

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from ledgerlark.llm import substring_dedup as S
+from ledgerlark.llm import _sketch, substring_dedup as S
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -110,3 +110,12 @@ def test_rows_that_share_a_doc_id_lose_only_their_own(spark, pass_bytes):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(S.digests(df, pass_bytes=pass_bytes)) == brute(rows, 13)
     assert (2, 40, 0, hashlib.sha256(b.encode()).hexdigest()) in got(S.digests(df))
+
+
+def test_grams_are_counted_by_one_python_operator_a_task(spark, monkeypatch):
+    plans, summed = [], _sketch._summed
+    monkeypatch.setattr(_sketch, "_summed", lambda parts, *by: plans.append(parts._jdf.queryExecution().executedPlan().toString()) or summed(parts, *by))
+    df = spark.createDataFrame([(f"a b c d{k % 3}",) for k in range(50)], "text string").repartition(20)
+    assert _sketch.gram_levels(df, 2, lower=False).total == 150
+    # the first sum reads the counts, the second the first's sums
+    assert [len(re.findall(r"(?m)^[^(\n]*\bMapInArrow\b", x)) for x in plans] == [1, 2]
