@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlark.llm import _words as W
-from ledgerlark.llm._shared import bound_batches
+from ledgerlark.llm._shared import bound_batches, freed_shuffles
 
 ROWS = 2
 BITS = 19
@@ -99,8 +99,9 @@ def collect_levels(parts: DataFrame) -> Levels:
     # the salt is a column, as a Python operator on top of the one that counts would double the task's Python workers, which live on
     some = _summed(parts.select("chunk", (F.spark_partition_id() % SALTS).alias("salt"), "counts"), "chunk", "salt")
     total = np.zeros(CELLS, np.int64)
-    for row in _summed(some.select("chunk", "counts"), "chunk").collect():
-        total[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = _read(row.counts)
+    with freed_shuffles(parts.sparkSession):
+        for row in _summed(some.select("chunk", "counts"), "chunk").collect():
+            total[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = _read(row.counts)
     level = np.zeros(CELLS, np.uint8)
     for k in range(ROWS):
         row = total[k << BITS : (k + 1) << BITS]
