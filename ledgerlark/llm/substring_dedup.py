@@ -14,6 +14,10 @@ holds one at a time. A bucket of more than PASS_BYTES isn't sorted there: its wi
 are written out with 128 bits of hash, and Spark's own aggregation and joins, which
 combine before the shuffle, spill and split, find the smallest doc_id of each.
 
+Disk: the more buckets, the less a slice sends to each, so packed strings are compressed with a
+dictionary, trained on the first part of some texts (it decides sizes only), and numbers travel in as few
+bytes as they need. Fingerprints of texts travel only if rows share a doc_id.
+
 Hot groups: equal packed strings of one slice of a document scan are merged before the
 shuffle. Where more than INLINE documents share one there, only the smallest
 doc_id goes to the bucket, and later slices of the task send none with a larger one; the rest is joined with the
@@ -38,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlark.llm import _sketch, _words as W
-from ledgerlark.llm._shared import Tables, bound_batches, partitions
+from ledgerlark.llm._shared import Tables, bound_batches, freed_shuffles, partitions
 
 WINDOW = 13
 GRAM = 4
@@ -51,6 +55,9 @@ PASS_BYTES = 48 << 20  #: packed bytes that a task sorts by itself
 MOST_PARTS = 1 << 15  #: tasks that buckets are dealt to; beyond it a task has several, one after the other
 COMPARED = 100_000  #: windows whose words are compared at once
 REMEMBERED = 100_000  #: hot strings whose smallest doc_id a task keeps
+SQUEEZE = 3  #: level of zstd that packed strings travel with
+SAMPLE_TEXTS, SAMPLE_CHARS = 1000, 4096  #: texts, and of each the characters, that the dictionary of packed strings is trained on
+DICTIONARY_BYTES = 32 << 10
 NONE = np.iinfo(np.int64).max
 
 _SENT = "part int, bucket long, kind byte, key binary, data binary"
@@ -92,28 +99,45 @@ def _runs(words: W.Words, window: int, gram: int, heavy: np.ndarray):
     return at[good], size[good], low[at[good]]
 
 
+def _ints(x: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as the largest needs, none if all are 0; that number comes first."""
+    top = int(x.max()) if len(x) else 0
+    width = next(w for w in (0, 1, 2, 4, 8) if top < 1 << 8 * w)
+    return bytes([width]) + (x.astype(f"<u{width}").tobytes() if width else b"")
+
+
+def _read_ints(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """What _ints() wrote at `at`, as int64, and where it ends."""
+    width = raw[at]
+    x = np.frombuffer(raw, f"<u{width}", n, at + 1).astype(W.U).view(np.int64) if width else np.zeros(n, np.int64)
+    return x, at + 1 + n * width
+
+
 def _pack(entries: list[bytes], hot: np.ndarray, counts: np.ndarray, rows: np.ndarray, docs: np.ndarray, prints: np.ndarray, pos: np.ndarray) -> bytes:
     """Packed strings with their occurrences: a position in one of the rows (doc_id, fingerprint of the text) that follow once each."""
     used, at = np.unique(rows, return_inverse=True)
-    text = b"\n".join(entries)
-    head = struct.pack("<IIII", len(entries), len(rows), len(used), len(text))
-    return b"".join((head, counts.astype(np.uint16).tobytes(), hot.astype(np.uint8).tobytes(), docs[used].tobytes(), prints[used].tobytes(), at.astype(np.uint32).tobytes(), pos.astype(np.int32).tobytes(), text))
+    low = docs[used].min()
+    # differences to the smallest id wrap around, and back again when they are read
+    numbers = (np.array([len(entries), len(rows), len(used)]), counts - 1, hot, (docs[used] - low).view(W.U), prints[used].view(W.U), at, pos)
+    return b"".join((struct.pack("<q", low), *map(_ints, numbers), b"\n".join(entries)))
 
 
 class Blob:
     """What _pack() has packed."""
 
     def __init__(self, raw: bytes):
-        n, m, rows, size = struct.unpack_from("<IIII", raw)
-        at = 16
-        self.counts = np.frombuffer(raw, np.uint16, n, at).astype(np.int64)
-        self.hot = np.frombuffer(raw, np.uint8, n, at + 2 * n).astype(bool)
-        at += 3 * n
-        row = np.frombuffer(raw, np.uint32, m, at + 16 * rows)
-        self.docs = np.frombuffer(raw, np.int64, rows, at)[row]
-        self.prints = np.frombuffer(raw, np.int64, rows, at + 8 * rows)[row]
-        self.pos = np.frombuffer(raw, np.int32, m, at + 16 * rows + 4 * m)
-        self.text = memoryview(raw)[len(raw) - size :]
+        (n, m, rows), at = _read_ints(raw, 8, 3)
+        counts, at = _read_ints(raw, at, int(n))
+        hot, at = _read_ints(raw, at, int(n))
+        docs, at = _read_ints(raw, at, int(rows))
+        prints, at = _read_ints(raw, at, int(rows))
+        row, at = _read_ints(raw, at, int(m))
+        pos, at = _read_ints(raw, at, int(m))
+        self.counts, self.hot = counts + 1, hot.astype(bool)
+        self.docs = (docs + np.int64(struct.unpack_from("<q", raw)[0]))[row]
+        self.prints = prints[row]
+        self.pos = pos.astype(np.int32)
+        self.text = memoryview(raw)[at:]
 
     def windows(self, window: int):
         """Hash, a second hash, entry, first and last byte of each window."""
@@ -130,10 +154,22 @@ def _hot_key(entry: bytes) -> bytes:
     return hashlib.blake2b(entry, digest_size=16).digest()
 
 
-def _sender(heavy_bits: bytes, window: int, gram: int, buckets: int, parts: int):
+def _dictionary(docs: DataFrame) -> bytes:
+    """A dictionary for zstd, from a bounded sample; empty if there is too little text for one."""
+    some = docs.filter("text is not null").select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_TEXTS)
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [r.text.encode() for r in some.collect()], level=SQUEEZE).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _sender(heavy_bits: bytes, window: int, gram: int, buckets: int, parts: int, dictionary: bytes = b""):
     def send(stream):
         heavy = np.unpackbits(np.frombuffer(heavy_bits, np.uint8)).astype(bool)
-        squeeze = zstandard.ZstdCompressor(level=1)
+        common = zstandard.ZstdCompressionDict(dictionary)
+        if dictionary:
+            common.precompute_compress(level=SQUEEZE)
+        squeeze = zstandard.ZstdCompressor(level=SQUEEZE, dict_data=common)
         known_hot: dict[bytes, int] = {}
         turn = 0
         for rows, raw, at in W.batches("text")(stream):
@@ -142,10 +178,12 @@ def _sender(heavy_bits: bytes, window: int, gram: int, buckets: int, parts: int)
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
             prints = rows.column("print").to_numpy(zero_copy_only=False)
             # a row that a slice repeats adds nothing
-            _, first_row = np.unique(np.stack([ids, prints]), axis=1, return_index=True)
-            single = np.zeros(len(ids), bool)
-            single[first_row] = True
-            use_row &= single
+            valid = np.flatnonzero(use_row)
+            if not len(valid):
+                continue
+            _, first_row = np.unique(np.stack([ids[valid], prints[valid]]), axis=1, return_index=True)
+            use_row = np.zeros(len(ids), bool)
+            use_row[valid[first_row]] = True
             words = W.Words(raw, at)
             begin, size, least = _runs(words, window, gram, heavy)
             row = np.searchsorted(words.first, begin, "right") - 1
@@ -212,9 +250,9 @@ def _found(kind: int, n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *made], ["kind", *kinds])
 
 
-def _bucket(window: int, most: int):
+def _bucket(window: int, most: int, dictionary: bytes = b""):
     def work(stream):
-        loose = zstandard.ZstdDecompressor()
+        loose = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
         held: list[bytes] = []
         now, total, over = None, 0, False
         for batch in stream:
@@ -386,22 +424,30 @@ def _hot_ranges(window: int):
     return work
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a fingerprint of the text, which tells rows of one doc_id apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
+def shared_ids(docs: DataFrame) -> bool:
+    """Do rows share a doc_id? Reads that column only."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("id")).filter("id is not null")
+    with freed_shuffles(docs.sparkSession):
+        return not ids.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
+def _keyed(docs: DataFrame, shared: bool) -> DataFrame:
+    """doc_id, text and a fingerprint of the text, which tells rows of one doc_id apart; 0 where none share one."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.xxhash64("text") if shared else F.lit(0).cast("long")).alias("print"))
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """doc_id, print (xxhash64 of the text), start, len: ranges of words (counted from 0) to remove; ranges of a row may overlap."""
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, pass_bytes: int = PASS_BYTES, shared: bool | None = None) -> DataFrame:
+    """doc_id, print (xxhash64 of the text, or 0 where no rows share a doc_id: see shared_ids()), start, len: ranges of words (counted from 0) to remove; ranges of a row may overlap."""
     bound_batches(docs.sparkSession)
     spark = docs.sparkSession
-    docs = _keyed(docs)
+    docs = _keyed(docs, shared_ids(docs) if shared is None else shared)
+    dictionary = _dictionary(docs)
     heavy, total = heavy_cells(docs, gram)
     buckets = max(partitions(spark), int(WORD_BYTES * total / bucket_bytes) + 1)
     parts = min(buckets, MOST_PARTS)  # a part has every MOST_PARTS-th bucket
-    sent = docs.mapInArrow(_sender(heavy, window, gram, buckets, parts), _SENT)
+    sent = docs.mapInArrow(_sender(heavy, window, gram, buckets, parts, dictionary), _SENT)
     dealt = sent.repartitionById(parts, F.col("part")).sortWithinPartitions("bucket")
-    found = Tables(spark, "substrings").keep(dealt.mapInArrow(_bucket(window, pass_bytes), _FOUND))
+    found = Tables(spark, "substrings").keep(dealt.mapInArrow(_bucket(window, pass_bytes, dictionary), _FOUND))
     # buckets that no task sorts
     loose = found.filter(F.col("kind") == WINDOWS)
     lows = loose.groupBy("h", "h2").agg(F.min("doc_id").alias("low"))
@@ -432,21 +478,25 @@ def _covered(rows: pa.RecordBatch, words: W.Words) -> np.ndarray:
     return np.cumsum(gone)[:-1] > 0
 
 
-def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """docs with array<struct<start, len>> as its last column, null where nothing goes."""
+def with_ranges(docs: DataFrame, ranges: DataFrame, shared: bool) -> DataFrame:
+    """docs with array<struct<start, len>> as its last column, null where nothing goes; shared as for the ranges."""
     name, own_id, own_print = "ranges", "ranged_id", "ranged_print"
     while {name, own_id, own_print} & set(docs.columns):
         name, own_id, own_print = name + "_", own_id + "_", own_print + "_"
     # a set: rows that are repeated have the same ranges
     grouped = ranges.groupBy(F.col("doc_id").alias(own_id), F.col("print").alias(own_print)).agg(F.collect_set(F.struct("start", "len")).alias(name))
-    return docs.join(grouped, (docs["doc_id"].cast("long") == F.col(own_id)) & (F.xxhash64(docs["text"]) == F.col(own_print)), "left").select(*(docs[c] for c in docs.columns), name)
+    same = docs["doc_id"].cast("long") == F.col(own_id)
+    if shared:
+        same &= F.xxhash64(docs["text"]) == F.col(own_print)
+    return docs.join(grouped, same, "left").select(*(docs[c] for c in docs.columns), name)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The rows of docs, with every repeated word gone from `text`. A text that loses words has its other words joined by single spaces; others stay as they are."""
     names = docs.columns
     typed = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    joined = with_ranges(typed, repeated_ranges(docs, window, gram))
+    shared = shared_ids(docs)
+    joined = with_ranges(typed, repeated_ranges(docs, window, gram, shared=shared), shared)
     schema = typed.select(*names).schema
 
     def cut(stream):
@@ -468,7 +518,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = with_ranges(base, repeated_ranges(base, window, gram, bucket_bytes, pass_bytes))
+    shared = shared_ids(base)
+    joined = with_ranges(base, repeated_ranges(base, window, gram, bucket_bytes, pass_bytes, shared), shared)
 
     def digest(stream):
         for rows, raw, at in W.batches("text")(stream):

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from ledgerlark.llm import _sketch, substring_dedup as S
@@ -119,3 +120,46 @@ def test_grams_are_counted_by_one_python_operator_a_task(spark, monkeypatch):
     assert _sketch.gram_levels(df, 2, lower=False).total == 150
     # the first sum reads the counts, the second the first's sums
     assert [len(re.findall(r"(?m)^[^(\n]*\bMapInArrow\b", x)) for x in plans] == [1, 2]
+
+
+@pytest.mark.parametrize("width", [0, 1, 2, 4, 8])
+def test_packed_numbers_come_back(width):
+    top = (1 << 8 * width) - 1
+    values = np.array([0, top, top // 3, top], np.uint64)
+    raw = S._ints(values)
+    assert len(raw) == 1 + width * len(values)
+    back, at = S._read_ints(b"ab" + raw + b"rest", 2, len(values))
+    assert (back.view(np.uint64) == values).all() and at == 2 + len(raw)
+
+
+def test_packed_strings_come_back():
+    docs, prints = np.array([-(2**63), 2**63 - 1, 5, 0]), np.array([-1, 2**62, 0, 7])
+    rows, pos = np.array([0, 1, 3, 1]), np.array([0, 70_000, 3, 1])
+    blob = S.Blob(S._pack([b"a b", b"c d"], np.array([True, False]), np.array([1, 3]), rows, docs, prints, pos))
+    assert (blob.docs == docs[rows]).all() and (blob.prints == prints[rows]).all() and (blob.pos == pos).all()
+    assert blob.counts.tolist() == [1, 3] and blob.hot.tolist() == [True, False] and bytes(blob.text) == b"a b\nc d"
+
+
+def test_what_travels_stays_small_in_many_buckets(spark):
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice(["tha", "en", "ing", "ly", "er", "on"]) for _ in range(r.randrange(1, 5))) for _ in range(3000)]
+    docs = spark.createDataFrame([(10_000 + d, " ".join(r.choice(vocabulary) for _ in range(400))) for d in range(600)], "doc_id long, text string").coalesce(1)
+    size = sum(len(x.text) for x in docs.collect())
+    heavy, _ = S.heavy_cells(docs, 4)
+    dictionary = S._dictionary(docs)
+    assert 0 < len(dictionary) <= S.DICTIONARY_BYTES
+    sent = {}
+    for buckets in (20, 2000):
+        rows = S._keyed(docs, S.shared_ids(docs)).mapInArrow(S._sender(heavy, 13, 4, buckets, buckets, dictionary), S._SENT)
+        sent[buckets] = sum(len(x.data) for x in rows.collect())
+    assert sent[20] < 0.9 * size
+    assert sent[2000] < 1.3 * sent[20]
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_a_row_without_id_hides_none(spark, shared):
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(None, passage), (None, "x y"), (0, passage), (5, passage + " end")] + [(7, "a"), (7, "b")] * shared
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert S.shared_ids(df) == shared
+    assert got(S.digests(df)) == brute(rows, 13)
